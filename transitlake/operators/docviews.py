@@ -81,32 +81,26 @@ class DocViews:
                          trafic: DataFrame) -> "DocViews":
         """Unwind stored collections (nested parquet written by the nest jobs).
 
-        Arrets documents may be split into overflow parts (``part`` > 0) that
-        repeat the stop fields and carry further sensor/timetable chunks; the
-        stop-level and district-level views read part 0 only.
+        Documents split into overflow parts (``part`` > 0, see
+        ``operators.nest``) repeat the parent fields and carry further chunks:
+        parent-level views read part 0, child-level views read every part.
         """
-        has_part = "part" in arrets.columns
-        head = arrets.filter(F.col("part") == 0) if has_part else arrets
-        stops = head.select("id_arret", "nom", "id_ligne",
-                            F.get(F.col("location.coordinates"), 1).alias("latitude"),
-                            F.get(F.col("location.coordinates"), 0).alias("longitude"))
-        districts = head.select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
+        def head(df):
+            return df.filter(F.col("part") == 0) if "part" in df.columns else df
+
+        coords = F.col("location.coordinates")
+        stops = head(arrets).select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
+                                    F.get(coords, 0).alias("longitude"))
+        districts = head(arrets).select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
             "id_arret", "id_ligne", F.col("q.id_quartier").alias("id_quartier"), F.col("q.nom").alias("quartier_nom"))
-        cap = arrets.select("id_arret", "nom", "id_ligne", F.col("location").alias("stop_location"),
-                            F.explode("capteurs").alias("c"))
-        sensors = (cap.select("id_arret", "nom", "id_ligne",
-                              F.get(F.col("stop_location.coordinates"), 1).alias("latitude"),
-                              F.get(F.col("stop_location.coordinates"), 0).alias("longitude"),
-                              F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
-                              F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
-                              F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
-                   .dropDuplicates(["id_arret", "id_capteur"]) if has_part else
-                   cap.select("id_arret", "nom", "id_ligne",
-                              F.get(F.col("stop_location.coordinates"), 1).alias("latitude"),
-                              F.get(F.col("stop_location.coordinates"), 0).alias("longitude"),
-                              F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
-                              F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
-                              F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude")))
+        cap = arrets.select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
+                            F.get(coords, 0).alias("longitude"), F.explode("capteurs").alias("c"))
+        sensors = cap.select("id_arret", "nom", "id_ligne", "latitude", "longitude",
+                             F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
+                             F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
+                             F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
+        if "part" in arrets.columns:
+            sensors = sensors.dropDuplicates(["id_arret", "id_capteur"])
         measures = (cap.select(F.col("c.id_capteur").alias("id_capteur"), F.explode("c.mesures").alias("m"))
                     .select("id_capteur", F.col("m.horodatage").alias("horodatage"),
                             F.col("m.valeur").alias("valeur"), F.col("m.unite").alias("unite")))
@@ -117,8 +111,13 @@ class DocViews:
                                     F.col("chauffeur.id_chauffeur").alias("id_chauffeur"),
                                     F.col("chauffeur.nom").alias("chauffeur_nom"),
                                     F.col("chauffeur.date_embauche").alias("date_embauche"))
-        traffic = trafic.select("id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement",
-                                F.size(F.coalesce("incidents", F.array())).cast("long").alias("n_incidents"))
+        n_inc = F.size(F.coalesce("incidents", F.array())).cast("long")
+        base = ["id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement"]
+        if "part" in trafic.columns:
+            sizes = trafic.groupBy("id_trafic").agg(F.sum(n_inc).alias("n_incidents"))
+            traffic = head(trafic).select(*base).join(sizes, "id_trafic").select(*base, "n_incidents")
+        else:
+            traffic = trafic.select(*base, n_inc.alias("n_incidents"))
         incidents = trafic.select("id_trafic", F.explode("incidents").alias("i")).select(
             "id_trafic", "i.description", "i.gravite", "i.horodatage")
         return DocViews(lignes, stops, districts, sensors, measures, timetable, vehicles, traffic, incidents)

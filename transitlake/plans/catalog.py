@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from transitlake.operators import districts, nest
 from transitlake.operators.docviews import DocViews
-from transitlake.plans import reports_doc, reports_rel
+from transitlake.plans import products, quality, reports_doc, reports_rel
 from transitlake.sources.binding import Network, bind_network
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,79 @@ def _doc(fn, **kw) -> Query:
     return lambda spark, sf_dir: rounded(fn(_docs(spark, sf_dir), **kw))
 
 
+def _product(fn) -> Query:
+    """fn(docs) → DataFrame, rounded."""
+    return lambda spark, sf_dir: rounded(fn(_docs(spark, sf_dir)))
+
+
+def _over_doc(letter: str, fn, **kw) -> Query:
+    """A dashboard figure over the document-profile result of one report."""
+    return lambda spark, sf_dir: rounded(fn(reports_doc.REPORTS[letter](_docs(spark, sf_dir)), **kw))
+
+
+def _nest_summary_arrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = nest.nest_arrets(_net(spark, sf_dir))
+    return docs.select("id_arret", "part", F.size("quartiers").cast("long").alias("n_quartiers"),
+                       F.size("capteurs").cast("long").alias("n_capteurs"),
+                       F.aggregate("capteurs", F.lit(0), lambda acc, c: acc + F.size(c["mesures"]))
+                       .cast("long").alias("n_mesures"),
+                       F.size("horaires").cast("long").alias("n_horaires"))
+
+
+def _nest_vehicules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = nest.nest_vehicules(_net(spark, sf_dir))
+    return v.select("id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite",
+                    F.col("chauffeur.id_chauffeur").alias("id_chauffeur"), F.col("chauffeur.nom").alias("chauffeur_nom"),
+                    F.col("chauffeur.date_embauche").alias("date_embauche"))
+
+
+def _nest_trafic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = nest.nest_trafic(_net(spark, sf_dir))
+    return t.select("id_trafic", "part", "id_ligne", "retard_minutes", F.size("incidents").cast("long").alias("n_incidents"),
+                    F.aggregate("incidents", F.lit(0).cast("long"), lambda acc, i: acc + i["gravite"])
+                    .alias("sum_gravite"))
+
+
+def _quartiers_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = districts.quartiers_from_wkt(_net(spark, sf_dir).Quartier)
+    ring = F.get(F.col("geometry.coordinates"), 0)
+    return rounded(docs.select("id_quartier", "nom", F.size(ring).alias("n_points"),
+                               F.get(F.get(ring, 0), 0).alias("first_lon"), F.get(F.get(ring, 0), 1).alias("first_lat"),
+                               F.get(F.get(ring, F.size(ring) - 1), 0).alias("last_lon"),
+                               "is_real_paris"))
+
+
+def _quartier_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = _net(spark, sf_dir)
+    q, _ = districts.quartiers_from_wkt(net.Quartier)
+    return q, DocViews.from_network(net)
+
+
+def _d10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = _quartier_layer(spark, sf_dir)
+    return rounded(products.quartier_features(d, q).drop("geometry"))
+
+
+def _d10_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = _quartier_layer(spark, sf_dir)
+    return products.feature_collection_lines(products.quartier_features(d, q))
+
+
+def _board(**kw) -> Query:
+    return _product(lambda d: products.stop_board(d, **kw))
+
+
+def _parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = _net(spark, sf_dir)
+    d = DocViews.from_network(net)
+    out = None
+    for letter in reports_rel.REPORTS:
+        part = quality.parity(letter, rounded(reports_rel.REPORTS[letter](net)),
+                              rounded(reports_doc.REPORTS[letter](d)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for letter, fn in reports_rel.REPORTS.items():
@@ -51,4 +125,46 @@ def build() -> dict[str, Query]:
     q["R_i_rel_trunc"] = _rel(reports_rel.report_i, truncate=True)
     for letter, fn in reports_doc.REPORTS.items():
         q[f"R_{letter}_doc"] = _doc(fn)
+    q["W1_corr_positional"] = _doc(reports_doc.report_i_positional)
+
+    q["D01_line_vehicle_map"] = _product(products.line_vehicle_map)
+    q["D02_stop_line_counts"] = _product(products.stop_line_counts)
+    q["D03_line_options"] = _product(products.line_options)
+    q["D03_vehicle_options"] = _product(products.vehicle_options)
+    q["D04_stop_board"] = _board()
+    q["D04_stop_board_medium"] = _board(co2_level="medium")
+    q["D04_stop_board_diesel_low"] = _board(vehicle_type="Diesel", co2_level="low")
+    q["D04_stop_board_line_7"] = _board(id_ligne=7)
+    q["D05_co2_trend"] = _product(lambda d: products.co2_trend(d, products.stop_board(d)))
+    q["D06_stop_markers"] = _product(lambda d: products.stop_markers(products.stop_board(d)))
+    q["D06_map_centre"] = _product(lambda d: products.map_centre(products.stop_board(d)))
+    q["D07_heat_points"] = _product(products.heat_points)
+    q["D08_stop_details"] = _product(products.stop_details)
+    q["D09_co2_by_quartier"] = _product(products.co2_by_quartier)
+    q["D10_quartier_features"] = _d10
+    q["D10_feature_json"] = _d10_json
+    q["D11_noise_axis"] = _over_doc("e", products.noise_axis)
+    q["D12_temp_extremes"] = _over_doc("j", products.temp_extremes)
+    q["D12_temp_bounds"] = _over_doc("j", lambda j: products.temp_bounds(products.temp_extremes(j)))
+    q["D13_worst_lines"] = _over_doc("a", products.worst_lines)
+    q["D14_drivers_10"] = _over_doc("k", products.drivers_ranked)
+    q["D14_drivers_bounds"] = _over_doc("k", lambda k: products.drivers_bounds(products.drivers_ranked(k)))
+    q["D15_co2_histogram"] = _over_doc("d", products.co2_histogram)
+    q["D16_delay_class_counts"] = _over_doc("n", products.delay_class_counts)
+    q["D17_daily_passengers"] = _over_doc("b", products.daily_passengers)
+    q["D18_electric_ranked"] = _over_doc("l", products.electric_ranked)
+    q["D18_corr_ranked"] = _over_doc("i", products.corr_ranked)
+    q["D18_incident_scatter"] = _over_doc("c", products.incident_scatter)
+    q["D19_punctuality_pct"] = _over_doc("g", products.punctuality_pct)
+    q["D20_selection_mix"] = _product(lambda d: products.selection_mix(products.stop_board(d)))
+
+    q["M1_nest_lignes"] = lambda spark, sf_dir: nest.nest_lignes(_net(spark, sf_dir))
+    q["M2_nest_arrets"] = _nest_summary_arrets
+    q["M3_nest_vehicules"] = _nest_vehicules
+    q["M4_nest_trafic"] = _nest_trafic
+    q["M6_quartiers_from_wkt"] = _quartiers_wkt
+    q["M7_load_statistics"] = lambda spark, sf_dir: nest.load_statistics(_net(spark, sf_dir))
+
+    q["Q1_parity"] = _parity
+    q["Q3_integrity"] = lambda spark, sf_dir: quality.integrity(_net(spark, sf_dir))
     return q

@@ -189,3 +189,28 @@ REPORTS = {
     "g": report_g, "h": report_h, "i": report_i, "j": report_j, "k": report_k, "l": report_l,
     "m": report_m, "n": report_n,
 }
+
+
+def report_i_positional(d: DocViews) -> DataFrame:
+    """Correlation of each line's CO2 values and delays paired by list
+    position (traffic in id order, measures in stop / sensor / time order),
+    cut to the shorter list; lines with fewer than two pairs or an undefined
+    correlation are left out. A separate variant, not report i."""
+    from transitlake.operators.positional import with_position
+    t = with_position(d.traffic.select("id_ligne", "id_trafic", "retard_minutes"), ["id_ligne"],
+                      ["id_trafic", "retard_minutes"])
+    sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret", "id_ligne")
+    co2 = with_position(d.measures.join(sensors, "id_capteur")
+                        .select("id_ligne", "id_arret", "id_capteur", "horodatage", "valeur"),
+                        ["id_ligne"], ["id_arret", "id_capteur", "horodatage", "valeur"])
+    x = F.when(~F.isnan("valeur") & F.col("retard_minutes").isNotNull(), F.col("valeur"))
+    y = F.when(~F.isnan("valeur"), F.col("retard_minutes").cast("double"))
+    mom = (t.join(co2, ["id_ligne", "pos"])
+           .groupBy("id_ligne")
+           .agg(F.count(F.lit(1)).alias("N_raw"), F.count(x).alias("N"), F.sum(x).alias("Sx"), F.sum(y).alias("Sy"),
+                F.sum(x * x).alias("Sxx"), F.sum(y * y).alias("Syy"), F.sum(x * y).alias("Sxy")))
+    corr = F.when(F.col("N") > 1, pearson("N", "Sx", "Sy", "Sxx", "Syy", "Sxy"))
+    return (mom.filter(F.col("N_raw") > 1).join(_lines(d), "id_ligne")
+            .select("id_ligne", "nom_ligne", corr.alias("correlation"))
+            .filter(F.col("correlation").isNotNull())
+            .orderBy("nom_ligne", "id_ligne").select("nom_ligne", "correlation"))

@@ -193,4 +193,7 @@ VIEW_SQL: dict[str, str] = {
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the binding views as CTEs (DuckDB oracle text)."""
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in VIEW_SQL.items())
+    head = sql.lstrip()
+    if head[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{head[4:].lstrip()}"
     return f"WITH {ctes}\n{sql}"
