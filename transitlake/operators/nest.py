@@ -75,9 +75,14 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
                        F.col("unite"))
     m_chunks = chunked_lists(net.Mesure, "id_capteur", measure,
                              F.struct("horodatage", "valeur", "unite"), max_items)
-    sensors = net.Capteur.filter(F.col("id_arret").isNotNull()).join(m_chunks, "id_capteur", "left")
+    # every sensor is listed in part 0 (with an empty chunk if need be); further
+    # parts list only the sensors that have measures there
+    caps = net.Capteur.filter(F.col("id_arret").isNotNull())
+    sensor_parts = (caps.select("id_capteur", F.lit(0).cast("long").alias("part"))
+                    .unionByName(m_chunks.select("id_capteur", "part")).distinct())
+    sensors = caps.join(sensor_parts, "id_capteur").join(m_chunks, ["id_capteur", "part"], "left")
     sensors = sensors.select(
-        "id_arret", F.coalesce("part", F.lit(0).cast("long")).alias("part"),
+        "id_arret", "part",
         F.struct(F.col("id_capteur"), F.col("type_capteur"), _point("longitude", "latitude").alias("location"),
                  F.coalesce("items", F.array().cast(S.CAPTEUR_DOC["mesures"].dataType)).alias("mesures"))
         .alias("cap"))
