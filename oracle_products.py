@@ -177,7 +177,8 @@ GROUP BY 1""",
     ROUND(co2_ppm, 6) AS co2_ppm,
     CASE WHEN co2_ppm > 550 THEN 'darkred' WHEN co2_ppm > 480 THEN 'red' WHEN co2_ppm > 400 THEN 'orange'
          ELSE 'green' END AS couleur,
-    CASE WHEN nb_lignes > 1 THEN 'exchange' ELSE 'bus' END AS icone
+    CASE WHEN nb_lignes > 1 THEN 'exchange' ELSE 'bus' END AS icone,
+    arret || ' (' || CAST(co2_ppm AS VARCHAR) || ' ppm)' AS infobulle
 FROM ({BOARD}) b""",
     "D06_map_centre": f"""SELECT ROUND(COALESCE(AVG(latitude), 48.8566), 6) AS centre_lat,
     ROUND(COALESCE(AVG(longitude), 2.3522), 6) AS centre_lon FROM ({BOARD}) b""",
@@ -193,7 +194,10 @@ WHERE valeur > 0 AND NOT isnan(valeur)""",
     ROUND(latitude, 6) AS lat, ROUND(longitude, 6) AS lon, id_ligne AS ligne,
     ROUND(ps.co2, 6) AS co2, ROUND(ps.bruit, 6) AS bruit, ROUND(ps.temp, 6) AS temp,
     CASE WHEN COALESCE(ps.co2, 0) > 500 THEN 'red' WHEN COALESCE(ps.co2, 0) > 400 THEN 'orange' ELSE 'green' END
-        AS couleur
+        AS couleur,
+    COALESCE(printf('%.1f', ROUND(ps.co2, 1)), 'N/A') AS co2_txt,
+    COALESCE(printf('%.1f', ROUND(ps.bruit, 1)), 'N/A') AS bruit_txt,
+    COALESCE(printf('%.1f', ROUND(ps.temp, 1)), 'N/A') AS temp_txt
 FROM Arret LEFT JOIN ({_per_stop(False)}) ps ON ps.id_arret = Arret.id_arret""",
     "D09_co2_by_quartier": f"SELECT id_quartier, nom_quartier, ROUND(avg_co2, 6) AS avg_co2 FROM ({D09}) q",
     "D10_quartier_features": f"""SELECT w.id_quartier, w.nom, ROUND(ROUND(COALESCE(q.avg_co2, 0.0), 2), 6) AS avg_co2,

@@ -87,7 +87,7 @@ def _quartiers_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "is_real_paris"))
 
 
-def _quartier_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quartier_layer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DocViews]:
     net = _net(spark, sf_dir)
     q, _ = districts.quartiers_from_wkt(net.Quartier)
     return q, DocViews.from_network(net)

@@ -147,8 +147,9 @@ def stop_markers(board: DataFrame) -> DataFrame:
     v = F.col("co2_ppm")
     colour = (F.when(v > 550, "darkred").when(v > 480, "red").when(v > 400, "orange").otherwise("green"))
     icon = F.when(F.col("nb_lignes") > 1, "exchange").otherwise("bus")
+    tooltip = F.concat(F.col("arret"), F.lit(" ("), F.col("co2_ppm").cast("string"), F.lit(" ppm)"))
     return board.select("id_arret", "arret", "latitude", "longitude", "co2_ppm",
-                        colour.alias("couleur"), icon.alias("icone"))
+                        colour.alias("couleur"), icon.alias("icone"), tooltip.alias("infobulle"))
 
 
 def map_centre(board: DataFrame) -> DataFrame:
@@ -181,7 +182,14 @@ def stop_details(d: DocViews) -> DataFrame:
         F.coalesce(F.when(F.col("nom") != "", F.col("nom")), F.lit(NAMELESS_STOP)).alias("nom"),
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("id_ligne").alias("ligne"),
         nan_to_null("co2").alias("co2"), nan_to_null("bruit").alias("bruit"), nan_to_null("temp").alias("temp"),
-        F.when(co2 > 500, "red").when(co2 > 400, "orange").otherwise("green").alias("couleur"))
+        F.when(co2 > 500, "red").when(co2 > 400, "orange").otherwise("green").alias("couleur"),
+        *[_reading_text(c).alias(f"{c}_txt") for c in ("co2", "bruit", "temp")])
+
+
+def _reading_text(c: str):
+    """Popup text of a reading: one decimal, or N/A when missing."""
+    v = nan_to_null(c)
+    return F.coalesce(F.format_string("%.1f", F.round(v, 1)), F.lit("N/A"))
 
 
 def co2_by_quartier(d: DocViews) -> DataFrame:

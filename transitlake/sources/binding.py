@@ -62,13 +62,13 @@ def _stop_lon(key):
     return F.lit(2.3) + (key % 77) / F.lit(1000.0)
 
 
-_BOUND: dict[tuple[int, str], Network] = {}
+_BOUND: dict[tuple[str, int, str], Network] = {}
 
 
 def bind_network(spark: SparkSession, sf_dir: str) -> Network:
     """The 11 tables over ``sf_dir``. The lazy plans are memoised per session
     and folder, so repeated queries skip file listing and schema reads."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir.rstrip("/"))
     if key not in _BOUND:
         _BOUND[key] = _bind(spark, sf_dir)
     return _BOUND[key]
