@@ -81,7 +81,7 @@ def _nest_trafic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quartiers_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = districts.quartiers_from_wkt(_net(spark, sf_dir).Quartier)
     ring = F.get(F.col("geometry.coordinates"), 0)
-    return rounded(docs.select("id_quartier", "nom", F.size(ring).alias("n_points"),
+    return rounded(docs.select("id_quartier", "nom", F.size(ring).cast("long").alias("n_points"),
                                F.get(F.get(ring, 0), 0).alias("first_lon"), F.get(F.get(ring, 0), 1).alias("first_lat"),
                                F.get(F.get(ring, F.size(ring) - 1), 0).alias("last_lon"),
                                "is_real_paris"))
