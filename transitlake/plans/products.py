@@ -133,10 +133,9 @@ def co2_trend(d: DocViews, selection: DataFrame | None = None,
         stops = stops.join(selection.select(F.col("arret").alias("nom")).distinct(), "nom", "left_semi")
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret") \
         .join(stops.select("id_arret"), "id_arret", "left_semi")
-    per_sensor_day = d.measures.groupBy("id_capteur", day_of("horodatage").alias("date")).agg(
-        F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
-    return (per_sensor_day.join(sensors, "id_capteur")
-            .groupBy("date").agg((F.sum("s") / F.sum("n")).alias("moyenne_co2"))
+    return (d.measures.join(sensors.select("id_capteur"), "id_capteur")
+            .groupBy(day_of("horodatage").alias("date"))
+            .agg((F.sum("valeur") / F.count(F.lit(1))).alias("moyenne_co2"))
             .orderBy(F.asc_nulls_first("date"))
             .select("date", nan_to_null("moyenne_co2").alias("moyenne_co2")))
 

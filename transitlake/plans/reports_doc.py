@@ -106,13 +106,11 @@ def correlation_moments_doc(d: DocViews) -> DataFrame:
     whose two values are present (the client-side correlation drops the rest).
     """
     x = F.when(~F.isnan("valeur"), F.col("valeur"))
-    per_sensor_day = (d.measures.groupBy("id_capteur", day_of("horodatage").alias("jour"))
-                      .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
-                           F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_ligne")
-    co2 = (per_sensor_day.join(sensors, "id_capteur")
-           .groupBy("id_ligne", "jour")
-           .agg(*[F.sum(c).alias(c) for c in ("n_all", "n", "sx", "sxx")]))
+    co2 = (d.measures.join(sensors, "id_capteur")
+           .groupBy("id_ligne", day_of("horodatage").alias("jour"))
+           .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
+                F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
     y = F.col("retard_minutes").cast("double")
     traffic = (d.traffic.groupBy(F.col("id_ligne").alias("t_line"), day_of("horodatage").alias("t_jour"))
                .agg(F.count(F.lit(1)).alias("m_all"), F.count(y).alias("m"),

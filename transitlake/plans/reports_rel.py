@@ -161,20 +161,24 @@ def correlation_moments_rel(net: Network) -> DataFrame:
     """Per line: the pair moments of (CO2 value, delay) over all pairs that share
     line and day, without materialising the pairs (factored form).
 
+    Each side is reduced to one row per (line, day) before the join: measures
+    go through the CO2 sensor → line map (a dimension, broadcast by AQE when
+    small) so the reduction is bounded by lines × days, whatever the
+    measurement frequency.
+
     Per (line, day) keep n, Σx, Σx² of measures and m, Σy, Σy² of traffic;
     over the pairs COUNT(*) = Σ n·m, SUM(x) = Σ Σx·m, SUM(x·y) = Σ Σx·Σy, …
     n and m count all rows (COUNT(*) semantics); the sums skip NULLs.
     """
     x = F.col("valeur")
-    per_sensor_day = (net.Mesure.filter(F.col("horodatage").isNotNull())
-                      .groupBy("id_capteur", day_of("horodatage").alias("jour"))
-                      .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
-    caps = net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret")
-    stops = net.Arret.select("id_arret", "id_ligne")
-    lines = net.Ligne.select("id_ligne", "nom_ligne")
-    co2 = (per_sensor_day.join(caps, "id_capteur").join(stops, "id_arret").join(lines, "id_ligne")
-           .groupBy("id_ligne", "nom_ligne", "jour")
-           .agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx")))
+    # sensor → line map of the CO2 sensors (a dimension: one row per sensor)
+    sensor_line = (net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret")
+                   .join(net.Arret.select("id_arret", "id_ligne"), "id_arret")
+                   .join(net.Ligne.select("id_ligne", "nom_ligne"), "id_ligne")
+                   .select("id_capteur", "id_ligne", "nom_ligne"))
+    co2 = (net.Mesure.filter(F.col("horodatage").isNotNull()).join(sensor_line, "id_capteur")
+           .groupBy("id_ligne", "nom_ligne", day_of("horodatage").alias("jour"))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
     y = F.col("retard_minutes")
     traffic = (net.Trafic.filter(F.col("horodatage").isNotNull())
                .groupBy("id_ligne", day_of("horodatage").alias("jour"))
