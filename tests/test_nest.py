@@ -73,3 +73,18 @@ def test_load_statistics(net):
     stats = dict(rows(nest.load_statistics(net)))
     assert stats["mesures"] == net.Mesure.count()
     assert stats["arrets"] == net.Arret.count()
+
+
+def test_collections_roundtrip_through_parquet(spark, net, tmp_path):
+    """S8 write of the collections, S3 read back with nested pruning, same reports."""
+    from transitlake.sources.files import write_collection
+    root = str(tmp_path)
+    colls = {"lignes": nest.nest_lignes(net), "arrets": nest.nest_arrets(net, max_items=7),
+             "vehicules": nest.nest_vehicules(net), "trafic": nest.nest_trafic(net, max_items=7)}
+    for name, df in colls.items():
+        write_collection(df, f"{root}/{name}", max_records_per_file=500)
+    back = DocViews.from_collections(*(spark.read.parquet(f"{root}/{n}")
+                                       for n in ("lignes", "arrets", "vehicules", "trafic")))
+    flat = DocViews.from_network(net)
+    for letter in ("b", "d", "e", "i", "m"):
+        assert rows(rounded(D.REPORTS[letter](back))) == rows(rounded(D.REPORTS[letter](flat)))

@@ -47,6 +47,12 @@ def parse_ts(text) -> Column:
     return F.try_to_timestamp(col_(text)).cast("timestamp_ntz")
 
 
+def parse_ts_strict(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Strict parse: under ANSI mode a malformed value fails the job (the
+    load step of the reference stops on a bad date)."""
+    return F.to_timestamp_ntz(col_(text), F.lit(fmt))
+
+
 def day_of_text(text) -> Column:
     return day_of(parse_ts(text))
 

@@ -103,14 +103,46 @@ def stop_board(d: DocViews, id_ligne: int | None = None, vehicle_type: str | Non
         stops = stops.join(targets, "id_ligne", "left_semi")
     if id_ligne is not None:
         stops = stops.filter(F.col("id_ligne") == F.lit(id_ligne))
+    return _board_columns(_board_rows(d, stops).filter(_co2_filter(co2_level)))
+
+
+class StopBoard:
+    """Dashboard refresh (D4 + D20 + D5 per selector change): the stop-level
+    wide table (one row per stop: sensors summarised, district, vehicle type,
+    connections) is built once and cached; each call only filters it. The
+    cached table has one row per stop, so its size is bounded by the stop
+    count, not by the measures."""
+
+    def __init__(self, d: DocViews):
+        self.docs = d
+        self.wide = (_board_rows(d, d.stops)
+                     .select("*", F.col("id_ligne").alias("_line"), F.col("v_type").alias("_first_type"))
+                     .persist())
+
+    def select(self, id_ligne: int | None = None, vehicle_type: str | None = None,
+               co2_level: str | None = "all") -> DataFrame:
+        rows_ = self.wide
+        if vehicle_type is not None:
+            rows_ = rows_.filter(F.col("_first_type") == vehicle_type)
+        if id_ligne is not None:
+            rows_ = rows_.filter(F.col("_line") == F.lit(id_ligne))
+        return _board_columns(rows_.filter(_co2_filter(co2_level)))
+
+    def release(self) -> None:
+        self.wide.unpersist()
+
+
+def _board_rows(d: DocViews, stops: DataFrame) -> DataFrame:
     first_district = d.stop_districts.groupBy("id_arret").agg(
         F.min_by("quartier_nom", "id_quartier").alias("quartier"), F.count(F.lit(1)).alias("nq"))
-    board = (stops.join(_sensor_means(d, with_db_test=True), "id_arret", "left")
-             .withColumn("co2", F.coalesce("co2", F.lit(0.0)))
-             .filter(_co2_filter(co2_level))
-             .join(first_district, "id_arret", "left")
-             .join(lvm.withColumnRenamed("type_vehicule", "v_type"), "id_ligne", "left")
-             .join(stop_line_counts(d), "nom", "left"))
+    return (stops.join(_sensor_means(d, with_db_test=True), "id_arret", "left")
+            .withColumn("co2", F.coalesce("co2", F.lit(0.0)))
+            .join(first_district, "id_arret", "left")
+            .join(line_vehicle_map(d).withColumnRenamed("type_vehicule", "v_type"), "id_ligne", "left")
+            .join(stop_line_counts(d), "nom", "left"))
+
+
+def _board_columns(board: DataFrame) -> DataFrame:
     return board.select(
         "id_arret",
         F.col("nom").alias("arret"),

@@ -169,10 +169,10 @@ def report_l(d: DocViews, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(d: DocViews) -> DataFrame:
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select(
         "id_capteur", F.col("cap_latitude").alias("latitude"), F.col("cap_longitude").alias("longitude"))
-    return (d.measures.select("id_capteur", "valeur").join(sensors, "id_capteur")
+    return (d.measures.select("id_capteur", "horodatage", "valeur").join(sensors, "id_capteur")
+            .orderBy("id_capteur", "horodatage", "valeur")
             .select("id_capteur", "latitude", "longitude", nan_to_null("valeur").alias("valeur"),
-                    pollution_level_doc("valeur").alias("niveau_pollution"))
-            .orderBy("id_capteur"))
+                    pollution_level_doc("valeur").alias("niveau_pollution")))
 
 
 def report_n(d: DocViews) -> DataFrame:

@@ -241,10 +241,12 @@ def report_l(net: Network, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(net: Network) -> DataFrame:
     """CO2 band of every CO2 measure (row-level; NULL value falls in the ELSE band)."""
     caps = net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "latitude", "longitude")
-    return (net.Mesure.select("id_capteur", "valeur").join(caps, "id_capteur")
+    # time and value break ties inside a sensor, so the range partitioning of
+    # the sort can split one very large sensor over many tasks
+    return (net.Mesure.select("id_capteur", "horodatage", "valeur").join(caps, "id_capteur")
+            .orderBy("id_capteur", "horodatage", "valeur")
             .select("id_capteur", "latitude", "longitude", "valeur",
-                    pollution_level("valeur").alias("niveau_pollution"))
-            .orderBy("id_capteur"))
+                    pollution_level("valeur").alias("niveau_pollution")))
 
 
 def report_n(net: Network) -> DataFrame:
