@@ -84,6 +84,7 @@ class DocViews:
         Documents split into overflow parts (``part`` > 0, see
         ``operators.nest``) repeat the parent fields and carry further chunks:
         parent-level views read part 0, child-level views read every part.
+        The stored arrays are exploded, never collected.
         """
         def head(df):
             return df.filter(F.col("part") == 0) if "part" in df.columns else df
@@ -91,19 +92,17 @@ class DocViews:
         coords = F.col("location.coordinates")
         stops = head(arrets).select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
                                     F.get(coords, 0).alias("longitude"))
-        districts = head(arrets).select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
+        # every child sits in exactly one part; parent fields repeat in each part
+        districts = arrets.select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
             "id_arret", "id_ligne", F.col("q.id_quartier").alias("id_quartier"), F.col("q.nom").alias("quartier_nom"))
-        def unwind_sensors(df):
-            return df.select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
-                             F.get(coords, 0).alias("longitude"), F.explode("capteurs").alias("c"))
-
-        # part 0 lists every sensor of the stop; later parts only carry more measures
-        sensors = unwind_sensors(head(arrets)).select(
-            "id_arret", "nom", "id_ligne", "latitude", "longitude",
-            F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
-            F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
-            F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
-        cap = unwind_sensors(arrets)
+        cap = arrets.select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
+                            F.get(coords, 0).alias("longitude"), F.explode("capteurs").alias("c"))
+        sensors = cap.select("id_arret", "nom", "id_ligne", "latitude", "longitude",
+                             F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
+                             F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
+                             F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
+        if "part" in arrets.columns:  # a sensor has one entry per measure chunk
+            sensors = sensors.distinct()
         measures = (cap.select(F.col("c.id_capteur").alias("id_capteur"), F.explode("c.mesures").alias("m"))
                     .select("id_capteur", F.col("m.horodatage").alias("horodatage"),
                             F.col("m.valeur").alias("valeur"), F.col("m.unite").alias("unite")))

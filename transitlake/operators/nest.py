@@ -6,9 +6,11 @@ list can be arbitrarily long (one sensor may own a third of all measures),
 so lists are cut into chunks of at most about ``max_items`` elements: the
 children of a parent with c rows are spread over ceil(2c / max_items)
 parts by a hash of a scan-time row id (deterministic on recomputation), and
-a parent with several parts is stored as several documents (``part`` 0
-holds the full parent fields and every short list; parts > 0 repeat the
-parent fields and carry further chunks). With ``max_items`` above every
+a parent with several parts is stored as several documents (every part
+repeats the parent fields; each child appears in exactly one part). Lists of
+list entries are chunked the same way: a stop's sensor entries (one per
+sensor and measure chunk) and its districts, so no document grows with the
+data whatever the skew. With ``max_items`` above every
 group size, each parent is exactly one document, as in the reference.
 ``DocViews.from_collections`` unwinds either form.
 """
@@ -42,15 +44,22 @@ def require_unique(df: DataFrame, key: str, job: str) -> None:
         raise ValueError(f"{job}: key {key} repeats in the right-hand table (many-to-one expected)")
 
 
-def chunked_lists(df: DataFrame, key: str, item: Column, order: Column, max_items: int) -> DataFrame:
+def chunked_lists(df: DataFrame, key: str, item: Column, order: Column, max_items: int,
+                  salt_cols: list[str] | None = None) -> DataFrame:
     """(key, part, items): children of each parent as sorted lists of at most
-    ~max_items. Counts per key are a partial/final aggregate; the salt is a
-    hash of a scan-time id, so a hot key is spread over many tasks."""
-    tagged = df.filter(F.col(key).isNotNull()).withColumn("_rid", F.monotonically_increasing_id())
-    counts = tagged.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    ~max_items. Counts per key are a partial/final aggregate; the salt spreads
+    a hot key over many tasks. ``salt_cols`` must identify a child uniquely
+    (deterministic hash); without them the salt is a scan-time row id, so
+    ``df`` must then be a plain scan/projection (same ids on recomputation)."""
+    base = df.filter(F.col(key).isNotNull())
+    if salt_cols:
+        salt = F.xxhash64(*[F.col(c) for c in salt_cols])
+    else:
+        base = base.withColumn("_rid", F.monotonically_increasing_id())
+        salt = F.xxhash64("_rid", key)
+    counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_c") * 2 / F.lit(max_items))).cast("long")
-    salted = tagged.join(counts, key).withColumn(
-        "part", F.pmod(F.xxhash64("_rid", key), parts).cast("long"))
+    salted = base.join(counts, key).withColumn("part", F.pmod(salt, parts).cast("long"))
     return (salted.groupBy(key, "part")
             .agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), item.alias("_i")))).alias("_l"))
             .select(key, "part", F.transform("_l", lambda x: x["_i"]).alias("items")))
@@ -75,20 +84,17 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
                        F.col("unite"))
     m_chunks = chunked_lists(net.Mesure, "id_capteur", measure,
                              F.struct("horodatage", "valeur", "unite"), max_items)
-    # every sensor is listed in part 0 (with an empty chunk if need be); further
-    # parts list only the sensors that have measures there
+    # one entry per (sensor, measure chunk); a sensor without measures gets one
+    # entry with an empty list. Entries are then chunked per stop like any list.
     caps = net.Capteur.filter(F.col("id_arret").isNotNull())
-    sensor_parts = (caps.select("id_capteur", F.lit(0).cast("long").alias("part"))
-                    .unionByName(m_chunks.select("id_capteur", "part")).distinct())
-    sensors = caps.join(sensor_parts, "id_capteur").join(m_chunks, ["id_capteur", "part"], "left")
-    sensors = sensors.select(
-        "id_arret", "part",
-        F.struct(F.col("id_capteur"), F.col("type_capteur"), _point("longitude", "latitude").alias("location"),
-                 F.coalesce("items", F.array().cast(S.CAPTEUR_DOC["mesures"].dataType)).alias("mesures"))
-        .alias("cap"))
-    cap_lists = sensors.groupBy("id_arret", "part").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("cap.id_capteur").alias("_o"), F.col("cap").alias("_i"))))
-        .alias("_l")).select("id_arret", "part", F.transform("_l", lambda x: x["_i"]).alias("capteurs"))
+    sensor_parts = (caps.select("id_capteur", F.lit(0).cast("long").alias("mpart"))
+                    .unionByName(m_chunks.select("id_capteur", F.col("part").alias("mpart"))).distinct())
+    entries = (caps.join(sensor_parts, "id_capteur")
+               .join(m_chunks.withColumnRenamed("part", "mpart"), ["id_capteur", "mpart"], "left"))
+    entry = F.struct(F.col("id_capteur"), F.col("type_capteur"), _point("longitude", "latitude").alias("location"),
+                     F.coalesce("items", F.array().cast(S.CAPTEUR_DOC["mesures"].dataType)).alias("mesures"))
+    cap_lists = chunked_lists(entries, "id_arret", entry, F.struct("id_capteur", "mpart"), max_items,
+                              salt_cols=["id_capteur", "mpart"]).withColumnRenamed("items", "capteurs")
 
     h = net.Horaire
     h_item = F.struct(F.col("id_vehicule"), F.date_format("heure_prevue", TS_TEXT).alias("heure_prevue"),
@@ -98,13 +104,13 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
     h_lists = chunked_lists(h, "id_arret", h_item, F.struct("id_horaire"), max_items) \
         .withColumnRenamed("items", "horaires")
 
-    q = (net.ArretQuartier.join(net.Quartier.select("id_quartier", "nom"), "id_quartier")
-         .groupBy("id_arret")
-         .agg(F.sort_array(F.collect_list(F.struct("id_quartier", "nom"))).alias("quartiers"))
-         .withColumn("part", F.lit(0).cast("long")))
+    bridge = net.ArretQuartier.join(net.Quartier.select("id_quartier", "nom"), "id_quartier")
+    q = chunked_lists(bridge, "id_arret", F.struct("id_quartier", "nom"), F.struct("id_quartier", "nom"),
+                      max_items, salt_cols=["id_arret", "id_quartier"]).withColumnRenamed("items", "quartiers")
 
     keys = (net.Arret.select("id_arret", F.lit(0).cast("long").alias("part"))
             .unionByName(cap_lists.select("id_arret", "part"))
+            .unionByName(q.select("id_arret", "part"))
             .unionByName(h_lists.select("id_arret", "part")).distinct())
     docs = (net.Arret.join(keys, "id_arret")
             .join(q, ["id_arret", "part"], "left")
