@@ -8,7 +8,7 @@ from transitlake import schema as S
 
 
 def _rr(expr: str) -> str:
-    return f"ROUND({expr}, 6)"
+    return f"(ROUND({expr}, 6) + CAST(0 AS DOUBLE))"
 
 
 def _cls_case(with_db: bool) -> str:
@@ -65,9 +65,9 @@ WHERE {' AND '.join(cond)}"""
 
 
 def _round_board(sql: str) -> str:
-    return f"""SELECT id_arret, arret, quartier, type_vehicule, nb_lignes, ROUND(latitude, 6) AS latitude,
-    ROUND(longitude, 6) AS longitude, ROUND(co2_ppm, 6) AS co2_ppm, ROUND(bruit_db, 6) AS bruit_db,
-    ROUND(temp_c, 6) AS temp_c FROM ({sql}) b"""
+    return f"""SELECT id_arret, arret, quartier, type_vehicule, nb_lignes, (ROUND(latitude, 6) + CAST(0 AS DOUBLE)) AS latitude,
+    (ROUND(longitude, 6) + CAST(0 AS DOUBLE)) AS longitude, (ROUND(co2_ppm, 6) + CAST(0 AS DOUBLE)) AS co2_ppm, (ROUND(bruit_db, 6) + CAST(0 AS DOUBLE)) AS bruit_db,
+    (ROUND(temp_c, 6) + CAST(0 AS DOUBLE)) AS temp_c FROM ({sql}) b"""
 
 
 BOARD = board_sql()
@@ -112,7 +112,7 @@ m AS (
           FROM t JOIN c ON t.id_ligne = c.id_ligne AND t.pos = c.pos) t
     GROUP BY t.id_ligne),
 r AS (SELECT id_ligne, n_raw, CASE WHEN n > 1 THEN {_pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} END AS corr FROM m)
-SELECT nom_ligne, ROUND(corr, 6) AS correlation
+SELECT nom_ligne, (ROUND(corr, 6) + CAST(0 AS DOUBLE)) AS correlation
 FROM r JOIN Ligne ON Ligne.id_ligne = r.id_ligne
 WHERE n_raw > 1 AND corr IS NOT NULL"""
 
@@ -153,7 +153,7 @@ st AS (SELECT MIN(avg_co2) AS lo, MAX(avg_co2) AS hi FROM d),
 w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20 ELSE 1.0 END AS width FROM st),
 b AS (SELECT type_vehicule, LEAST(CAST(floor((avg_co2 - lo) / width) AS INTEGER), 19) AS bin, lo, width
       FROM d, w WHERE avg_co2 IS NOT NULL)
-SELECT type_vehicule, bin, ROUND(lo + bin * width, 6) AS bin_start, ROUND(lo + (bin + 1) * width, 6) AS bin_end,
+SELECT type_vehicule, bin, (ROUND(lo + bin * width, 6) + CAST(0 AS DOUBLE)) AS bin_start, (ROUND(lo + (bin + 1) * width, 6) + CAST(0 AS DOUBLE)) AS bin_end,
        COUNT(*) AS n
 FROM b GROUP BY type_vehicule, bin, lo, width"""
 
@@ -173,16 +173,16 @@ FROM {STOP_MEASURES}
 WHERE type_capteur = 'CO2'
   AND (Arret.nom IN (SELECT arret FROM ({BOARD}) b) OR (SELECT COUNT(*) FROM ({BOARD}) b) > 2000)
 GROUP BY 1""",
-    "D06_stop_markers": f"""SELECT id_arret, arret, ROUND(latitude, 6) AS latitude, ROUND(longitude, 6) AS longitude,
-    ROUND(co2_ppm, 6) AS co2_ppm,
+    "D06_stop_markers": f"""SELECT id_arret, arret, (ROUND(latitude, 6) + CAST(0 AS DOUBLE)) AS latitude, (ROUND(longitude, 6) + CAST(0 AS DOUBLE)) AS longitude,
+    (ROUND(co2_ppm, 6) + CAST(0 AS DOUBLE)) AS co2_ppm,
     CASE WHEN co2_ppm > 550 THEN 'darkred' WHEN co2_ppm > 480 THEN 'red' WHEN co2_ppm > 400 THEN 'orange'
          ELSE 'green' END AS couleur,
     CASE WHEN nb_lignes > 1 THEN 'exchange' ELSE 'bus' END AS icone,
     arret || ' (' || CAST(co2_ppm AS VARCHAR) || ' ppm)' AS infobulle
 FROM ({BOARD}) b""",
-    "D06_map_centre": f"""SELECT ROUND(COALESCE(AVG(latitude), 48.8566), 6) AS centre_lat,
-    ROUND(COALESCE(AVG(longitude), 2.3522), 6) AS centre_lon FROM ({BOARD}) b""",
-    "D07_heat_points": f"""SELECT id_arret, ROUND(lat, 6) AS lat, ROUND(lon, 6) AS lon, ROUND(valeur, 6) AS valeur FROM (
+    "D06_map_centre": f"""SELECT (ROUND(COALESCE(AVG(latitude), 48.8566), 6) + CAST(0 AS DOUBLE)) AS centre_lat,
+    (ROUND(COALESCE(AVG(longitude), 2.3522), 6) + CAST(0 AS DOUBLE)) AS centre_lon FROM ({BOARD}) b""",
+    "D07_heat_points": f"""SELECT id_arret, (ROUND(lat, 6) + CAST(0 AS DOUBLE)) AS lat, (ROUND(lon, 6) + CAST(0 AS DOUBLE)) AS lon, (ROUND(valeur, 6) + CAST(0 AS DOUBLE)) AS valeur FROM (
     SELECT Arret.id_arret, ANY_VALUE(Arret.latitude) AS lat, ANY_VALUE(Arret.longitude) AS lon,
            {_doc_avg('valeur')} AS valeur
     FROM {STOP_MEASURES}
@@ -191,37 +191,37 @@ FROM ({BOARD}) b""",
     GROUP BY Arret.id_arret) h
 WHERE valeur > 0 AND NOT isnan(valeur)""",
     "D08_stop_details": f"""SELECT Arret.id_arret, COALESCE(NULLIF(Arret.nom, ''), 'Arrêt sans nom') AS nom,
-    ROUND(latitude, 6) AS lat, ROUND(longitude, 6) AS lon, id_ligne AS ligne,
-    ROUND(ps.co2, 6) AS co2, ROUND(ps.bruit, 6) AS bruit, ROUND(ps.temp, 6) AS temp,
+    (ROUND(latitude, 6) + CAST(0 AS DOUBLE)) AS lat, (ROUND(longitude, 6) + CAST(0 AS DOUBLE)) AS lon, id_ligne AS ligne,
+    (ROUND(ps.co2, 6) + CAST(0 AS DOUBLE)) AS co2, (ROUND(ps.bruit, 6) + CAST(0 AS DOUBLE)) AS bruit, (ROUND(ps.temp, 6) + CAST(0 AS DOUBLE)) AS temp,
     CASE WHEN COALESCE(ps.co2, 0) > 500 THEN 'red' WHEN COALESCE(ps.co2, 0) > 400 THEN 'orange' ELSE 'green' END
         AS couleur,
     COALESCE(printf('%.1f', ROUND(ps.co2, 1)), 'N/A') AS co2_txt,
     COALESCE(printf('%.1f', ROUND(ps.bruit, 1)), 'N/A') AS bruit_txt,
     COALESCE(printf('%.1f', ROUND(ps.temp, 1)), 'N/A') AS temp_txt
 FROM Arret LEFT JOIN ({_per_stop(False)}) ps ON ps.id_arret = Arret.id_arret""",
-    "D09_co2_by_quartier": f"SELECT id_quartier, nom_quartier, ROUND(avg_co2, 6) AS avg_co2 FROM ({D09}) q",
-    "D10_quartier_features": f"""SELECT w.id_quartier, w.nom, ROUND(ROUND(COALESCE(q.avg_co2, 0.0), 2), 6) AS avg_co2,
+    "D09_co2_by_quartier": f"SELECT id_quartier, nom_quartier, (ROUND(avg_co2, 6) + CAST(0 AS DOUBLE)) AS avg_co2 FROM ({D09}) q",
+    "D10_quartier_features": f"""SELECT w.id_quartier, w.nom, (ROUND(ROUND(COALESCE(q.avg_co2, 0.0), 2), 6) + CAST(0 AS DOUBLE)) AS avg_co2,
     COALESCE(q.nom_quartier, w.nom) AS nom_complet
 FROM ({WKT}) w LEFT JOIN ({D09}) q ON q.id_quartier = w.id_quartier""",
-    "D11_noise_axis": f"""SELECT ROUND(MIN(avg_bruit) * 0.98, 6) AS y_min, ROUND(MAX(avg_bruit) * 1.01, 6) AS y_max
+    "D11_noise_axis": f"""SELECT (ROUND(MIN(avg_bruit) * 0.98, 6) + CAST(0 AS DOUBLE)) AS y_min, (ROUND(MAX(avg_bruit) * 1.01, 6) + CAST(0 AS DOUBLE)) AS y_max
 FROM {_over('e')} e""",
-    "D12_temp_extremes": f"SELECT nom_ligne, ROUND(avg_temperature, 6) AS avg_temperature, groupe FROM ({_TEMP_EXTREMES}) x",
-    "D12_temp_bounds": f"""SELECT ROUND(MIN(avg_temperature) * 0.99, 6) AS y_min, ROUND(MAX(avg_temperature) * 1.01, 6) AS y_max
+    "D12_temp_extremes": f"SELECT nom_ligne, (ROUND(avg_temperature, 6) + CAST(0 AS DOUBLE)) AS avg_temperature, groupe FROM ({_TEMP_EXTREMES}) x",
+    "D12_temp_bounds": f"""SELECT (ROUND(MIN(avg_temperature) * 0.99, 6) + CAST(0 AS DOUBLE)) AS y_min, (ROUND(MAX(avg_temperature) * 1.01, 6) + CAST(0 AS DOUBLE)) AS y_max
 FROM ({_TEMP_EXTREMES}) x""",
-    "D13_worst_lines": f"""SELECT nom_ligne, ROUND(avg_retard, 6) AS avg_retard FROM (
+    "D13_worst_lines": f"""SELECT nom_ligne, (ROUND(avg_retard, 6) + CAST(0 AS DOUBLE)) AS avg_retard FROM (
     SELECT * FROM {_over('a')} a ORDER BY avg_retard DESC NULLS LAST, nom_ligne LIMIT 15) x""",
-    "D14_drivers_10": f"""SELECT chauffeur_nom, ROUND(avg_retard_minutes, 6) AS avg_retard_minutes FROM ({_DRIVERS}) x""",
-    "D14_drivers_bounds": f"""SELECT ROUND(MIN(avg_retard_minutes) * 0.90, 6) AS y_min,
-    ROUND(MAX(avg_retard_minutes) * 1.05, 6) AS y_max FROM ({_DRIVERS}) x""",
+    "D14_drivers_10": f"""SELECT chauffeur_nom, (ROUND(avg_retard_minutes, 6) + CAST(0 AS DOUBLE)) AS avg_retard_minutes FROM ({_DRIVERS}) x""",
+    "D14_drivers_bounds": f"""SELECT (ROUND(MIN(avg_retard_minutes) * 0.90, 6) + CAST(0 AS DOUBLE)) AS y_min,
+    (ROUND(MAX(avg_retard_minutes) * 1.05, 6) + CAST(0 AS DOUBLE)) AS y_max FROM ({_DRIVERS}) x""",
     "D15_co2_histogram": _HIST,
     "D16_delay_class_counts": f"""SELECT classification_retard, COUNT(*) AS nb_lignes FROM {_over('n')} n
 WHERE classification_retard IS NOT NULL GROUP BY classification_retard""",
-    "D17_daily_passengers": f"""SELECT jour, ROUND(AVG(avg_passagers), 6) AS avg_passagers FROM {_over('b')} b
+    "D17_daily_passengers": f"""SELECT jour, (ROUND(AVG(avg_passagers), 6) + CAST(0 AS DOUBLE)) AS avg_passagers FROM {_over('b')} b
 WHERE jour IS NOT NULL GROUP BY jour""",
     "D18_electric_ranked": DOC["R_l_doc"],
     "D18_corr_ranked": DOC["R_i_doc"],
     "D18_incident_scatter": DOC["R_c_doc"],
-    "D19_punctuality_pct": f"""SELECT ROUND(taux_sans_retard * 100, 6) AS ponctualite_pct,
+    "D19_punctuality_pct": f"""SELECT (ROUND(taux_sans_retard * 100, 6) + CAST(0 AS DOUBLE)) AS ponctualite_pct,
     printf('%.2f%%', ROUND(taux_sans_retard * 100, 2)) AS ponctualite_txt FROM {_over('g')} g""",
     "D20_selection_mix": f"""SELECT type_vehicule, COUNT(*) AS nombre FROM ({BOARD}) b
 WHERE type_vehicule IS NOT NULL GROUP BY type_vehicule""",
@@ -241,8 +241,8 @@ FROM Vehicule v LEFT JOIN Chauffeur c ON c.id_chauffeur = v.id_chauffeur""",
     (SELECT COUNT(*) FROM Incident i WHERE i.id_trafic = t.id_trafic) AS n_incidents,
     CAST(COALESCE((SELECT SUM(gravite) FROM Incident i WHERE i.id_trafic = t.id_trafic), 0) AS BIGINT) AS sum_gravite
 FROM Trafic t""",
-    "M6_quartiers_from_wkt": f"""SELECT id_quartier, nom, n_points, ROUND(ring[1][1], 6) AS first_lon,
-    ROUND(ring[1][2], 6) AS first_lat, ROUND(ring[1][1], 6) AS last_lon, FALSE AS is_real_paris
+    "M6_quartiers_from_wkt": f"""SELECT id_quartier, nom, n_points, (ROUND(ring[1][1], 6) + CAST(0 AS DOUBLE)) AS first_lon,
+    (ROUND(ring[1][2], 6) + CAST(0 AS DOUBLE)) AS first_lat, (ROUND(ring[1][1], 6) + CAST(0 AS DOUBLE)) AS last_lon, FALSE AS is_real_paris
 FROM ({WKT}) w""",
     "M7_load_statistics": """SELECT 'lignes' AS collection, COUNT(*) AS n FROM Ligne
 UNION ALL SELECT 'arrets', COUNT(*) FROM Arret

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from transitlake.sources.binding import BUS_TYPE, with_views
 
-R6 = "ROUND({}, 6)"
+R6 = "(ROUND({}, 6) + CAST(0 AS DOUBLE))"  # + 0.0 folds -0.0 into 0.0
 _ROUND = [True]
 
 

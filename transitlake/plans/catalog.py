@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select([F.round(F.col(f.name), digits).alias(f.name)
+    return df.select([(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                       for f in df.schema.fields])
 
