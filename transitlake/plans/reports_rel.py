@@ -18,10 +18,6 @@ from transitlake.functions.calc import (day_of, delay_class, pearson, pollution_
 from transitlake.sources.binding import BUS_TYPE, Network
 
 
-def _line_names(net: Network) -> DataFrame:
-    return net.Ligne.select("id_ligne", "nom_ligne")
-
-
 def _traffic_by_line(net: Network) -> DataFrame:
     """Σ delay, non-NULL count and row count per line id (Trafic reduced once)."""
     return net.Trafic.groupBy("id_ligne").agg(
