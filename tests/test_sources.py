@@ -72,3 +72,16 @@ def test_schema_catalogue(spark):
     pk = {(r["table"], r["column"]) for r in cat.filter("pk").collect()}
     assert ("ArretQuartier", "id_arret") in pk and ("Ligne", "id_ligne") in pk
     assert cat.filter(F.col("table") == "Horaire").count() == 6
+
+
+def test_network_materialise_roundtrip(spark, tmp_path):
+    from transitlake.plans import reports_rel as R
+    from transitlake.sources.binding import read_network, write_network
+    net = bind_network(spark, SF_SMALL)
+    write_network(net, str(tmp_path))
+    back = read_network(spark, str(tmp_path))
+    for name, df in net.tables().items():
+        other = back.tables()[name]
+        assert df.schema == other.schema or [f.name for f in df.schema] == [f.name for f in other.schema]
+        assert df.exceptAll(other).count() == 0 and other.exceptAll(df).count() == 0, name
+    assert R.report_a(back).collect() == R.report_a(net).collect()

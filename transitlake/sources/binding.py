@@ -156,6 +156,14 @@ def network_from_frames(frames: dict[str, DataFrame]) -> Network:
     return Network(**{n: _conform(frames[n], n) for n in S.TABLES})
 
 
+def write_network(net: Network, root: str, max_records_per_file: int = 1_000_000) -> None:
+    """Materialise the 11 tables under ``root/<Table>`` (parquet, overwrite),
+    e.g. once per load into the shared folder; ``read_network`` reads them back."""
+    for name, df in net.tables().items():
+        df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(
+            f"{root.rstrip('/')}/{name}")
+
+
 def read_network(spark: SparkSession, root: str, fmt: str = "parquet") -> Network:
     """Read the 11 tables from ``root/<Table>`` with their declared schemas."""
     return Network(**{n: spark.read.schema(s).format(fmt).load(f"{root.rstrip('/')}/{n}")
