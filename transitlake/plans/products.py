@@ -268,12 +268,20 @@ def noise_axis(e: DataFrame) -> DataFrame:
 def temp_extremes(j: DataFrame, k: int = 10) -> DataFrame:
     """The k warmest then the k coldest lines (the same line can be in
     both when there are fewer than 2k lines). Missing means sort after
-    every value, so they fall into the cold tail."""
-    v = F.col("avg_temperature")
-    top = j.orderBy(v.desc_nulls_last(), "nom_ligne").limit(k).withColumn("groupe", F.lit("top"))
-    bottom = j.orderBy(v.isNull().desc(), v.asc(), F.col("nom_ligne").desc()).limit(k) \
-        .withColumn("groupe", F.lit("bottom"))
-    return top.unionByName(bottom)
+    every value, so they fall into the cold tail. One pass over the report:
+    each line is tagged for both groups and ranked inside its group (the
+    window holds one row per line)."""
+    from pyspark.sql import Window
+    v, top = F.col("avg_temperature"), F.col("groupe") == "top"
+    tagged = j.select("nom_ligne", "avg_temperature",
+                      F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("groupe"))
+    w = Window.partitionBy("groupe").orderBy(
+        F.when(top, v.isNull()).otherwise(v.isNotNull()).asc(),
+        F.when(top, -v).otherwise(v).asc(),
+        F.when(top, F.col("nom_ligne")).asc(),
+        F.when(~top, F.col("nom_ligne")).desc())
+    return (tagged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            .orderBy(F.col("groupe").desc(), "_r").drop("_r"))
 
 
 def temp_bounds(extremes: DataFrame) -> DataFrame:

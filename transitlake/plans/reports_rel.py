@@ -88,23 +88,17 @@ def report_c(net: Network) -> DataFrame:
 
 def report_d(net: Network) -> DataFrame:
     """Mean CO2 per vehicle. The mean depends only on the line (factored form):
-    (Σ, n) per line, joined to the vehicles of the line. Measures whose line
-    is unknown or has no vehicle form one NULL-vehicle row."""
+    (Σ, n) per line — one pass over the measures — then one LEFT join to the
+    vehicles of the line. Measures whose line is unknown or has no vehicle
+    meet no vehicle and form the single NULL-vehicle row, as in the SQL."""
     per_line = (_stop_line_key(net, _sensor_sums_by_stop(net, "CO2"))
                 .groupBy("L").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     veh = net.Vehicule.select("id_vehicule", "immatriculation", "type_vehicule", "id_ligne")
-    with_vehicle = (veh.join(per_line, veh.id_ligne == per_line.L)
-                    .groupBy("id_vehicule")
-                    .agg(F.first("immatriculation").alias("immatriculation"),
-                         F.first("type_vehicule").alias("type_vehicule"),
-                         safe_div(F.sum("s"), F.sum("n")).alias("avg_co2")))
-    vehicle_lines = veh.select(F.col("id_ligne").alias("L")).filter(F.col("L").isNotNull()).distinct()
-    orphan = (per_line.join(vehicle_lines, "L", "left_anti")
-              .groupBy(F.lit(None).cast("long").alias("id_vehicule"))
-              .agg(F.lit(None).cast("string").alias("immatriculation"),
-                   F.lit(None).cast("string").alias("type_vehicule"),
-                   safe_div(F.sum("s"), F.sum("n")).alias("avg_co2")))
-    return (with_vehicle.unionByName(orphan)
+    return (per_line.join(veh, per_line.L == veh.id_ligne, "left")
+            .groupBy("id_vehicule")
+            .agg(F.first("immatriculation").alias("immatriculation"),
+                 F.first("type_vehicule").alias("type_vehicule"),
+                 safe_div(F.sum("s"), F.sum("n")).alias("avg_co2"))
             .orderBy(F.asc_nulls_first("immatriculation"), "id_vehicule")
             .select("immatriculation", "type_vehicule", "avg_co2"))
 
