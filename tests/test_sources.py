@@ -85,3 +85,19 @@ def test_network_materialise_roundtrip(spark, tmp_path):
         assert df.schema == other.schema or [f.name for f in df.schema] == [f.name for f in other.schema]
         assert df.exceptAll(other).count() == 0 and other.exceptAll(df).count() == 0, name
     assert R.report_a(back).collect() == R.report_a(net).collect()
+
+
+def test_session_time_zone_does_not_move_days(spark):
+    """Timestamps are wall-clock values: a non-UTC session gives the same days."""
+    from transitlake.plans import reports_rel as R
+    from transitlake.sources import binding
+    base = sorted(R.report_b(bind_network(spark, SF_SMALL)).collect(), key=str)
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    try:
+        net = binding._bind(spark, SF_SMALL)
+        assert sorted(R.report_b(net).collect(), key=str) == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
