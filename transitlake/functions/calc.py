@@ -80,6 +80,18 @@ def delay_class(avg) -> Column:
     return band(avg, DELAY_BANDS, DELAY_ELSE)
 
 
+# Largest dimension (rows) that the reports broadcast explicitly.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df, max_rows: int | None = None):
+    """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows
+    (default ``BROADCAST_MAX_ROWS``), else None so the caller takes its
+    shuffle-based plan. Only for dimensions (the count is one small job)."""
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.count() <= limit else None
+
+
 def int_div_trunc(a, b) -> Column:
     """Integer division truncating toward zero on longs; NULL when b is 0."""
     a, b = col_(a), col_(b)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import day_of, nan_to_null
+from transitlake.functions.calc import broadcast_if_small, day_of, nan_to_null
 from transitlake.operators.docviews import DocViews
 from transitlake.plans import reports_doc
 
@@ -165,9 +165,17 @@ def co2_trend(d: DocViews, selection: DataFrame | None = None,
         stops = stops.join(selection.select(F.col("arret").alias("nom")).distinct(), "nom", "left_semi")
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret") \
         .join(stops.select("id_arret"), "id_arret", "left_semi")
-    return (d.measures.join(sensors.select("id_capteur"), "id_capteur")
-            .groupBy(day_of("horodatage").alias("date"))
-            .agg((F.sum("valeur") / F.count(F.lit(1))).alias("moyenne_co2"))
+    keys = sensors.select("id_capteur")
+    small = broadcast_if_small(keys)
+    if small is not None:  # map-side filter of the measures, no fact shuffle
+        daily = d.measures.join(small, "id_capteur").groupBy(day_of("horodatage").alias("date")) \
+            .agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
+    else:  # reduce per (sensor, day) first, then keep the selected sensors
+        daily = (d.measures.groupBy("id_capteur", day_of("horodatage").alias("date"))
+                 .agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
+                 .join(keys, "id_capteur", "left_semi")
+                 .groupBy("date").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    return (daily.select("date", (F.col("s") / F.col("n")).alias("moyenne_co2"))
             .orderBy(F.asc_nulls_first("date"))
             .select("date", nan_to_null("moyenne_co2").alias("moyenne_co2")))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import (day_of, day_of_text, delay_class, nan_to_null, pearson,
+from transitlake.functions.calc import (broadcast_if_small, day_of, day_of_text, delay_class, nan_to_null, pearson,
                                         pollution_level_doc, safe_div)
 from transitlake.operators.docviews import DocViews
 from transitlake.sources.binding import BUS_TYPE
@@ -107,10 +107,18 @@ def correlation_moments_doc(d: DocViews) -> DataFrame:
     """
     x = F.when(~F.isnan("valeur"), F.col("valeur"))
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_ligne")
-    co2 = (d.measures.join(sensors, "id_capteur")
-           .groupBy("id_ligne", day_of("horodatage").alias("jour"))
-           .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
-                F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+    small = broadcast_if_small(sensors)
+    if small is not None:  # map-side lookup of the line, no shuffle of the measures
+        co2 = (d.measures.join(small, "id_capteur")
+               .groupBy("id_ligne", day_of("horodatage").alias("jour"))
+               .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
+                    F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+    else:  # reduce per (sensor, day) first, then join the reduced rows
+        per_sensor_day = d.measures.groupBy("id_capteur", day_of("horodatage").alias("jour")).agg(
+            F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"), F.sum(x).alias("sx"),
+            F.sum(x * x).alias("sxx"))
+        co2 = (per_sensor_day.join(sensors, "id_capteur").groupBy("id_ligne", "jour")
+               .agg(*[F.sum(c).alias(c) for c in ("n_all", "n", "sx", "sxx")]))
     y = F.col("retard_minutes").cast("double")
     traffic = (d.traffic.groupBy(F.col("id_ligne").alias("t_line"), day_of("horodatage").alias("t_jour"))
                .agg(F.count(F.lit(1)).alias("m_all"), F.count(y).alias("m"),

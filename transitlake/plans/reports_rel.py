@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import (day_of, delay_class, pearson, pollution_level, safe_div)
+from transitlake.functions.calc import (broadcast_if_small, day_of, delay_class, pearson, pollution_level,
+                                        safe_div)
 from transitlake.sources.binding import BUS_TYPE, Network
 
 
@@ -151,10 +152,11 @@ def correlation_moments_rel(net: Network) -> DataFrame:
     """Per line: the pair moments of (CO2 value, delay) over all pairs that share
     line and day, without materialising the pairs (factored form).
 
-    Each side is reduced to one row per (line, day) before the join: measures
-    go through the CO2 sensor → line map (a dimension, broadcast by AQE when
-    small) so the reduction is bounded by lines × days, whatever the
-    measurement frequency.
+    Each side is reduced to one row per (line, day) before the join. Measures
+    reach their line through the CO2 sensor → line map: broadcast when a
+    count proves it small (no shuffle of the measures at all), otherwise the
+    measures are first reduced per (sensor, day) and only those rows are
+    joined.
 
     Per (line, day) keep n, Σx, Σx² of measures and m, Σy, Σy² of traffic;
     over the pairs COUNT(*) = Σ n·m, SUM(x) = Σ Σx·m, SUM(x·y) = Σ Σx·Σy, …
@@ -166,9 +168,20 @@ def correlation_moments_rel(net: Network) -> DataFrame:
                    .join(net.Arret.select("id_arret", "id_ligne"), "id_arret")
                    .join(net.Ligne.select("id_ligne", "nom_ligne"), "id_ligne")
                    .select("id_capteur", "id_ligne", "nom_ligne"))
-    co2 = (net.Mesure.filter(F.col("horodatage").isNotNull()).join(sensor_line, "id_capteur")
-           .groupBy("id_ligne", "nom_ligne", day_of("horodatage").alias("jour"))
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+    measures = net.Mesure.filter(F.col("horodatage").isNotNull())
+    small = broadcast_if_small(sensor_line)
+    if small is not None:
+        # map-side: each measure finds its line in the broadcast map, no fact shuffle
+        co2 = (measures.join(small, "id_capteur")
+               .groupBy("id_ligne", "nom_ligne", day_of("horodatage").alias("jour"))
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+    else:
+        # large sensor dimension: reduce per (sensor, day) first, then join the reduced rows
+        per_sensor_day = measures.groupBy("id_capteur", day_of("horodatage").alias("jour")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+        co2 = (per_sensor_day.join(sensor_line, "id_capteur")
+               .groupBy("id_ligne", "nom_ligne", "jour")
+               .agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx")))
     y = F.col("retard_minutes")
     traffic = (net.Trafic.filter(F.col("horodatage").isNotNull())
                .groupBy("id_ligne", day_of("horodatage").alias("jour"))
