@@ -92,6 +92,12 @@ def broadcast_if_small(df, max_rows: int | None = None):
     return F.broadcast(df) if df.count() <= limit else None
 
 
+def sized_dimension(df):
+    """The dimension itself, broadcast when a count proves it small."""
+    small = broadcast_if_small(df)
+    return small if small is not None else df
+
+
 def int_div_trunc(a, b) -> Column:
     """Integer division truncating toward zero on longs; NULL when b is 0."""
     a, b = col_(a), col_(b)

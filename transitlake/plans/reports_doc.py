@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import (broadcast_if_small, day_of, day_of_text, delay_class, nan_to_null, pearson,
-                                        pollution_level_doc, safe_div)
+from transitlake.functions.calc import (broadcast_if_small, day_of, day_of_text, delay_class, nan_to_null,
+                                        pearson, pollution_level_doc, safe_div, sized_dimension)
 from transitlake.operators.docviews import DocViews
 from transitlake.sources.binding import BUS_TYPE
 
 
+
 def _lines(d: DocViews) -> DataFrame:
     return d.lignes.select("id_ligne", "nom_ligne")
 
@@ -177,6 +178,7 @@ def report_l(d: DocViews, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(d: DocViews) -> DataFrame:
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select(
         "id_capteur", F.col("cap_latitude").alias("latitude"), F.col("cap_longitude").alias("longitude"))
+    sensors = sized_dimension(sensors)  # map-side join when counted small
     return (d.measures.select("id_capteur", "horodatage", "valeur").join(sensors, "id_capteur")
             .orderBy("id_capteur", "horodatage", "valeur")
             .select("id_capteur", "latitude", "longitude", nan_to_null("valeur").alias("valeur"),
@@ -206,6 +208,7 @@ def report_i_positional(d: DocViews) -> DataFrame:
     t = with_position(d.traffic.select("id_ligne", "id_trafic", "retard_minutes"), ["id_ligne"],
                       ["id_trafic", "retard_minutes"])
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret", "id_ligne")
+    sensors = sized_dimension(sensors)
     co2 = with_position(d.measures.join(sensors, "id_capteur")
                         .select("id_ligne", "id_arret", "id_capteur", "horodatage", "valeur"),
                         ["id_ligne"], ["id_arret", "id_capteur", "horodatage", "valeur"])

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.functions.calc import (broadcast_if_small, day_of, delay_class, pearson, pollution_level,
-                                        safe_div)
+                                        safe_div, sized_dimension)
 from transitlake.sources.binding import BUS_TYPE, Network
 
 
+
 def _traffic_by_line(net: Network) -> DataFrame:
     """Σ delay, non-NULL count and row count per line id (Trafic reduced once)."""
     return net.Trafic.groupBy("id_ligne").agg(
@@ -244,6 +245,7 @@ def report_l(net: Network, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(net: Network) -> DataFrame:
     """CO2 band of every CO2 measure (row-level; NULL value falls in the ELSE band)."""
     caps = net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "latitude", "longitude")
+    caps = sized_dimension(caps)  # map-side join when the sensor table is counted small
     # time and value break ties inside a sensor, so the range partitioning of
     # the sort can split one very large sensor over many tasks
     return (net.Mesure.select("id_capteur", "horodatage", "valeur").join(caps, "id_capteur")
