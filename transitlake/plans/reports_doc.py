@@ -19,7 +19,6 @@ from transitlake.operators.docviews import DocViews
 from transitlake.sources.binding import BUS_TYPE
 
 
-
 def _lines(d: DocViews) -> DataFrame:
     return d.lignes.select("id_ligne", "nom_ligne")
 

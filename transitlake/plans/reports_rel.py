@@ -19,7 +19,6 @@ from transitlake.functions.calc import (broadcast_if_small, day_of, delay_class,
 from transitlake.sources.binding import BUS_TYPE, Network
 
 
-
 def _traffic_by_line(net: Network) -> DataFrame:
     """Σ delay, non-NULL count and row count per line id (Trafic reduced once)."""
     return net.Trafic.groupBy("id_ligne").agg(
