@@ -83,18 +83,32 @@ def delay_class(avg) -> Column:
 # Largest dimension (rows) that the reports broadcast explicitly.
 BROADCAST_MAX_ROWS = 2_000_000
 
+# Row counts of dimension frames, memoised per frame object (the bound tables
+# are reused for the whole session, so each dimension is counted once).
+_ROWS: dict[int, tuple[object, int]] = {}
 
-def broadcast_if_small(df, max_rows: int | None = None):
+
+def counted_rows(df) -> int:
+    hit = _ROWS.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = (df, df.count())
+        _ROWS[id(df)] = hit
+    return hit[1]
+
+
+def broadcast_if_small(df, max_rows: int | None = None, bound_of=None):
     """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows
     (default ``BROADCAST_MAX_ROWS``), else None so the caller takes its
-    shuffle-based plan. Only for dimensions (the count is one small job)."""
+    shuffle-based plan. ``bound_of`` may name a base table whose row count
+    bounds ``df`` (e.g. the sensor table for a map derived from it); the
+    count is taken once per frame and session. Only for dimensions."""
     limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.count() <= limit else None
+    return F.broadcast(df) if counted_rows(df if bound_of is None else bound_of) <= limit else None
 
 
-def sized_dimension(df):
+def sized_dimension(df, bound_of=None):
     """The dimension itself, broadcast when a count proves it small."""
-    small = broadcast_if_small(df)
+    small = broadcast_if_small(df, bound_of=bound_of)
     return small if small is not None else df
 
 

@@ -33,8 +33,17 @@ def _net(spark: SparkSession, sf_dir: str) -> Network:
     return bind_network(spark, sf_dir)
 
 
+_DOCS: dict[int, tuple[Network, DocViews]] = {}
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DocViews:
-    return DocViews.from_network(bind_network(spark, sf_dir))
+    """Document views of the bound network, built once per bound network."""
+    net = bind_network(spark, sf_dir)
+    hit = _DOCS.get(id(net))
+    if hit is None or hit[0] is not net:
+        hit = (net, DocViews.from_network(net))
+        _DOCS[id(net)] = hit
+    return hit[1]
 
 
 def _rel(fn, **kw) -> Query:

@@ -166,7 +166,7 @@ def co2_trend(d: DocViews, selection: DataFrame | None = None,
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret") \
         .join(stops.select("id_arret"), "id_arret", "left_semi")
     keys = sensors.select("id_capteur")
-    small = broadcast_if_small(keys)
+    small = broadcast_if_small(keys, bound_of=d.sensors)
     if small is not None:  # map-side filter of the measures, no fact shuffle
         daily = d.measures.join(small, "id_capteur").groupBy(day_of("horodatage").alias("date")) \
             .agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))

@@ -107,7 +107,7 @@ def correlation_moments_doc(d: DocViews) -> DataFrame:
     """
     x = F.when(~F.isnan("valeur"), F.col("valeur"))
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_ligne")
-    small = broadcast_if_small(sensors)
+    small = broadcast_if_small(sensors, bound_of=d.sensors)
     if small is not None:  # map-side lookup of the line, no shuffle of the measures
         co2 = (d.measures.join(small, "id_capteur")
                .groupBy("id_ligne", day_of("horodatage").alias("jour"))
@@ -177,7 +177,7 @@ def report_l(d: DocViews, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(d: DocViews) -> DataFrame:
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select(
         "id_capteur", F.col("cap_latitude").alias("latitude"), F.col("cap_longitude").alias("longitude"))
-    sensors = sized_dimension(sensors)  # map-side join when counted small
+    sensors = sized_dimension(sensors, bound_of=d.sensors)  # map-side join when counted small
     return (d.measures.select("id_capteur", "horodatage", "valeur").join(sensors, "id_capteur")
             .orderBy("id_capteur", "horodatage", "valeur")
             .select("id_capteur", "latitude", "longitude", nan_to_null("valeur").alias("valeur"),
@@ -207,7 +207,7 @@ def report_i_positional(d: DocViews) -> DataFrame:
     t = with_position(d.traffic.select("id_ligne", "id_trafic", "retard_minutes"), ["id_ligne"],
                       ["id_trafic", "retard_minutes"])
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret", "id_ligne")
-    sensors = sized_dimension(sensors)
+    sensors = sized_dimension(sensors, bound_of=d.sensors)
     co2 = with_position(d.measures.join(sensors, "id_capteur")
                         .select("id_ligne", "id_arret", "id_capteur", "horodatage", "valeur"),
                         ["id_ligne"], ["id_arret", "id_capteur", "horodatage", "valeur"])

@@ -169,7 +169,7 @@ def correlation_moments_rel(net: Network) -> DataFrame:
                    .join(net.Ligne.select("id_ligne", "nom_ligne"), "id_ligne")
                    .select("id_capteur", "id_ligne", "nom_ligne"))
     measures = net.Mesure.filter(F.col("horodatage").isNotNull())
-    small = broadcast_if_small(sensor_line)
+    small = broadcast_if_small(sensor_line, bound_of=net.Capteur)
     if small is not None:
         # map-side: each measure finds its line in the broadcast map, no fact shuffle
         co2 = (measures.join(small, "id_capteur")
@@ -244,7 +244,7 @@ def report_l(net: Network, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(net: Network) -> DataFrame:
     """CO2 band of every CO2 measure (row-level; NULL value falls in the ELSE band)."""
     caps = net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "latitude", "longitude")
-    caps = sized_dimension(caps)  # map-side join when the sensor table is counted small
+    caps = sized_dimension(caps, bound_of=net.Capteur)  # map-side join when the sensor table is small
     # time and value break ties inside a sensor, so the range partitioning of
     # the sort can split one very large sensor over many tasks
     return (net.Mesure.select("id_capteur", "horodatage", "valeur").join(caps, "id_capteur")
