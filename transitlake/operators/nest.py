@@ -44,13 +44,15 @@ def require_unique(df: DataFrame, key: str, job: str) -> None:
         raise ValueError(f"{job}: key {key} repeats in the right-hand table (many-to-one expected)")
 
 
-def chunked_lists(df: DataFrame, key: str, item: Column, order: Column, max_items: int,
+def chunked_lists(df: DataFrame, key: str, item: Column, order: Column | None, max_items: int,
                   salt_cols: list[str] | None = None) -> DataFrame:
     """(key, part, items): children of each parent as sorted lists of at most
     ~max_items. Counts per key are a partial/final aggregate; the salt spreads
     a hot key over many tasks. ``salt_cols`` must identify a child uniquely
     (deterministic hash); without them the salt is a scan-time row id, so
-    ``df`` must then be a plain scan/projection (same ids on recomputation)."""
+    ``df`` must then be a plain scan/projection (same ids on recomputation).
+    ``order=None`` sorts the items by their own fields (cheaper than a
+    separate sort key)."""
     base = df.filter(F.col(key).isNotNull())
     if salt_cols:
         salt = F.xxhash64(*[F.col(c) for c in salt_cols])
@@ -60,8 +62,10 @@ def chunked_lists(df: DataFrame, key: str, item: Column, order: Column, max_item
     counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_c") * 2 / F.lit(max_items))).cast("long")
     salted = base.join(counts, key).withColumn("part", F.pmod(salt, parts).cast("long"))
-    return (salted.groupBy(key, "part")
-            .agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), item.alias("_i")))).alias("_l"))
+    grouped = salted.groupBy(key, "part")
+    if order is None:
+        return grouped.agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return (grouped.agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), item.alias("_i")))).alias("_l"))
             .select(key, "part", F.transform("_l", lambda x: x["_i"]).alias("items")))
 
 
@@ -82,8 +86,7 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
         require_not_null(net.Arret, ["id_ligne"], "nest_arrets")
     measure = F.struct(F.col("horodatage"), F.coalesce(F.col("valeur"), F.lit(float("nan"))).alias("valeur"),
                        F.col("unite"))
-    m_chunks = chunked_lists(net.Mesure, "id_capteur", measure,
-                             F.struct("horodatage", "valeur", "unite"), max_items)
+    m_chunks = chunked_lists(net.Mesure, "id_capteur", measure, None, max_items)  # ordered by time, value, unit
     # one entry per (sensor, measure chunk); a sensor without measures gets one
     # entry with an empty list. Entries are then chunked per stop like any list.
     caps = net.Capteur.filter(F.col("id_arret").isNotNull())
@@ -105,7 +108,7 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
         .withColumnRenamed("items", "horaires")
 
     bridge = net.ArretQuartier.join(net.Quartier.select("id_quartier", "nom"), "id_quartier")
-    q = chunked_lists(bridge, "id_arret", F.struct("id_quartier", "nom"), F.struct("id_quartier", "nom"),
+    q = chunked_lists(bridge, "id_arret", F.struct("id_quartier", "nom"), None,
                       max_items, salt_cols=["id_arret", "id_quartier"]).withColumnRenamed("items", "quartiers")
 
     keys = (net.Arret.select("id_arret", F.lit(0).cast("long").alias("part"))
