@@ -317,7 +317,12 @@ def drivers_bounds(top: DataFrame) -> DataFrame:
 
 def co2_histogram(ddf: DataFrame, bins: int = 20) -> DataFrame:
     """Histogram of mean CO2 per vehicle, split by vehicle type, over
-    ``bins`` equal-width bins spanning the global range."""
+    ``bins`` equal-width bins spanning the global range. The input (one row
+    per vehicle) is checkpointed once into the shared checkpoint folder, so
+    the range pass and the binning pass do not both recompute it."""
+    from transitlake.session import checkpoint_dir
+    checkpoint_dir(ddf.sparkSession)
+    ddf = ddf.select("type_vehicule", "avg_co2").checkpoint(eager=True)
     lo, hi = ddf.agg(F.min("avg_co2"), F.max("avg_co2")).first()
     if lo is None:
         return ddf.sparkSession.createDataFrame(
