@@ -161,8 +161,14 @@ def co2_trend(d: DocViews, selection: DataFrame | None = None,
     (a D4 frame); above ``whole_network_over`` selected rows, or with no
     selection, the whole network. Columns: date (Date), moyenne_co2."""
     stops = d.stops
-    if selection is not None and selection.count() <= whole_network_over:
-        stops = stops.join(selection.select(F.col("arret").alias("nom")).distinct(), "nom", "left_semi")
+    if selection is not None:
+        # the selected names (at most one row per stop) are materialised once
+        # in the shared checkpoint folder: counted, then used as the filter
+        from transitlake.session import checkpoint_dir
+        checkpoint_dir(selection.sparkSession)
+        names = selection.select(F.col("arret").alias("nom")).checkpoint(eager=True)
+        if names.count() <= whole_network_over:
+            stops = stops.join(names.distinct(), "nom", "left_semi")
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret") \
         .join(stops.select("id_arret"), "id_arret", "left_semi")
     keys = sensors.select("id_capteur")
