@@ -90,10 +90,8 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
     # one entry per (sensor, measure chunk); a sensor without measures gets one
     # entry with an empty list. Entries are then chunked per stop like any list.
     caps = net.Capteur.filter(F.col("id_arret").isNotNull())
-    sensor_parts = (caps.select("id_capteur", F.lit(0).cast("long").alias("mpart"))
-                    .unionByName(m_chunks.select("id_capteur", F.col("part").alias("mpart"))).distinct())
-    entries = (caps.join(sensor_parts, "id_capteur")
-               .join(m_chunks.withColumnRenamed("part", "mpart"), ["id_capteur", "mpart"], "left"))
+    entries = (caps.join(m_chunks.withColumnRenamed("part", "mpart"), "id_capteur", "left")
+               .withColumn("mpart", F.coalesce("mpart", F.lit(0).cast("long"))))
     entry = F.struct(F.col("id_capteur"), F.col("type_capteur"), _point("longitude", "latitude").alias("location"),
                      F.coalesce("items", F.array().cast(S.CAPTEUR_DOC["mesures"].dataType)).alias("mesures"))
     cap_lists = chunked_lists(entries, "id_arret", entry, F.struct("id_capteur", "mpart"), max_items,
