@@ -1,0 +1,84 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from transitlake.llm import secrets
+from transitlake.llm.common import table
+from transitlake.llm.registry import op9_secret_scan
+
+ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def brute(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24])
+
+
+def as_text(found):
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found)
+
+
+def check(docs, got):
+    assert len(got) == len(docs)
+    for r in got:
+        want = brute(docs[r["doc_id"]] or "")
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in want) for i in range(3)], r
+        assert r["base_sha256"] == hashlib.sha256(as_text(want).encode()).hexdigest()
+
+
+def test_whole_table_against_the_patterns(spark):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    got = op9_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_assign"] for r in got) > 3 and sum(r["n_hex"] for r in got) > 3
+    check(docs, got)
+
+
+PLANTED = [
+    "token: token: abcdefgh", "PassWord = 'hunter22' API_KEY=abc", "api_key:x apikey=\"abcdef.ghi\"", "é🎉 secret=abcdefg 🎉 secret=abcdefg",
+    "AKIA" + "A" * 16 + " AKIAAKIA" + "B" * 12 + " AKIA" + "C" * 15, "0" * 24 + "g" + "a" * 23 + "x" + "b" * 40, "token=" + "f" * 32,
+    "passwd='" + "x" * 20000, "secret" * 3000, "a" * 50000, "passwd:::secret==abcdef", "token = \n abcdefgh", "", None,
+    "-----BEGIN RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij", "key secret:'" + "0123456789abcdef" * 3 + "'",
+]
+
+
+def test_planted_cases_nulls_and_repeats(spark):
+    rows = [(i, t, "x", 1) for i, t in enumerate(PLANTED)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, blob string, spans int")
+    got = secrets.secret_scan(df)[0].collect()
+    assert len(got) == len(rows) + 3
+    check(dict((r[0], r[1]) for r in rows), secrets.secret_scan(df.dropDuplicates(["doc_id"]))[0].collect())
+    by = {r["doc_id"]: r for r in got}
+    assert [s.split(":")[0] for s in by[14]["spans"].split(",")] == ["pem", "jwt"]
+
+
+def test_ledger_scans_only_unseen_blobs(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg"), (2, "token=abcdefg"), (3, "plain")], "doc_id long, text string")
+    report, ledger = secrets.secret_scan(df)
+    assert ledger.count() == 2 and report.where("n_assign = 1").count() == 2
+    more = df.unionByName(spark.createDataFrame([(4, "token=hijklmn"), (5, "plain")], "doc_id long, text string"))
+    versions = secrets.addressed(more)
+    assert secrets.update_ledger(versions, ledger).count() == 1
+    report, full = secrets.secret_scan(more, ledger)
+    assert full.count() == 3 and report.where("n_assign = 1").count() == 3
+    other_rules = ledger.withColumn("rules", F.lit("old"))
+    assert secrets.update_ledger(versions, other_rules).count() == 3
+
+
+def test_redaction_masks_every_span_and_nothing_else(spark):
+    rows = [(i, t, len(t or ""), "s") for i, t in enumerate(PLANTED)]
+    got = secrets.redact_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = PLANTED[r["doc_id"]]
+        assert (r["text"] is None) == (text is None) and r["n_chars"] == len(r["text"] or "")
+        if not brute(text or "") and "BEGIN" not in (text or ""):
+            assert r["text"] == text
+        for s, _, e in brute(text or ""):
+            assert text[s:e] not in r["text"]
+
+
+def test_empty_table(spark):
+    assert secrets.secret_scan(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
