@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def map_texts(docs: DataFrame, columns: str, fn: Callable[[], Callable[[list[str]], dict]]) -> DataFrame:
+    """(doc_id, *columns) of ``docs`` (doc_id, text): ``fn()`` gives, once a task, the function from a batch of
+    texts to the new columns. The ids go through as they are, in Arrow, nulls included."""
+    def run(batches):
+        work = fn()
+        for b in batches:
+            new = work(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **new})
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost
     executors, and every later pass sees the same rows."""

@@ -17,10 +17,9 @@ import hashlib
 import re
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from transitlake.llm.common import texts
+from transitlake.llm.common import map_texts, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -134,13 +133,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     and all spans as ``kind:start:end`` by kind, then start."""
     docs = texts(docs)
 
-    def scan(batches):
-        for b in batches:
-            found = [find(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], **{f"n_{k}": [len(f[k]) for f in found] for k in BASE},
+    def scan(batch):
+        found = [find(t) for t in batch]
+        return {**{f"n_{k}": [len(f[k]) for f in found] for k in BASE},
                 "base_sha256": [hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found],
-                "spans": [joined(f, KINDS) for f in found]})
+                "spans": [joined(f, KINDS) for f in found]}
 
-    return docs.mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-                            + "".join(f"n_{k} long, " for k in BASE) + "base_sha256 string, spans string")
+    return map_texts(docs, "".join(f"n_{k} long, " for k in BASE) + "base_sha256 string, spans string", lambda: scan)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import texts
+from transitlake.llm.common import map_texts, texts
 
 FREQUENT = 1 << 16
 PER_TASK = 1 << 12
@@ -124,14 +124,10 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     table = docs.sparkSession.sparkContext.broadcast(
         dict(zip(pieces, PieceCounts.get(path).lengths(pieces))))
 
-    def count(batches):
+    def start():
         c = PieceCounts.get(path)
         c.frequent = table.value
-        for b in batches:
-            n = c.count(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in b["text"]],
-                                "n_tokens": n})
+        return lambda batch: {"n_bytes": [len(t.encode()) for t in batch], "n_tokens": c.count(batch)}
 
-    counted = docs.mapInPandas(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-                                      "n_bytes long, n_tokens long")
+    counted = map_texts(docs, "n_bytes long, n_tokens long", start)
     return counted.withColumn("over_limit", F.col("n_tokens") > over)
