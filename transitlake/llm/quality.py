@@ -31,7 +31,7 @@ from transitlake.llm.common import map_texts, materialize, texts
 
 BUCKETS = 1 << 14
 DIMS = 64
-NONZERO = 4
+NONZERO = 2
 REACH = 2
 TRAIN_ROWS = 20_000
 HIDDEN = 32
@@ -59,7 +59,13 @@ _BUCKET = _Buckets()
 
 
 def word_ids(text: str) -> np.ndarray:
-    return np.fromiter(map(_BUCKET.__getitem__, _TOKENS(text)), dtype=np.int64)
+    return np.fromiter(map(_BUCKET.__getitem__, _TOKENS(text)), dtype=np.uint16)
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """(doc_id, ids): each text's word buckets as 16-bit numbers; a text is split into words once."""
+    return materialize(map_texts(docs, "ids binary", lambda: lambda batch: {
+        "ids": [word_ids(t).tobytes() for t in batch]}), "words")
 
 
 def index_vectors(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +88,7 @@ def context_sums(ids: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.n
 
 
 def word_vectors(docs: DataFrame, seed: int = SEED) -> np.ndarray:
-    """The word table: unit vectors, from all documents, centred on the corpus mean."""
+    """The word table: unit vectors, from all ``encoded`` documents, centred on the corpus mean."""
     def sums(batches):
         places, signs = index_vectors(seed)
         total, seen = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS, dtype=np.int64)
@@ -94,8 +100,8 @@ def word_vectors(docs: DataFrame, seed: int = SEED) -> np.ndarray:
             np.add(seen, np.bincount(ids[ids >= 0], minlength=BUCKETS), out=seen)
 
         for b in batches:
-            for t in b["text"]:
-                ids = word_ids(t)
+            for raw in b["ids"]:
+                ids = np.frombuffer(raw, np.uint16).astype(np.int64)
                 for at in range(0, len(ids), FLUSH_WORDS):  # a very long text comes in pieces that overlap by nothing
                     held += [ids[at:at + FLUSH_WORDS], gap]
                     size += len(held[-2])
@@ -107,7 +113,7 @@ def word_vectors(docs: DataFrame, seed: int = SEED) -> np.ndarray:
         used = np.nonzero(seen)[0]
         yield pd.DataFrame({"b": used, "n": seen[used], "v": pd.Series(list(np.rint(total[used]).astype(np.int64)), dtype=object)})
 
-    parts = docs.select("text").mapInPandas(sums, "b long, n long, v array<long>")
+    parts = docs.select("ids").mapInPandas(sums, "b long, n long, v array<long>")
     rows = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS)])
     got = rows.toArrow()
     m, n = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS)
@@ -120,14 +126,19 @@ def word_vectors(docs: DataFrame, seed: int = SEED) -> np.ndarray:
     return m.astype(np.float32)
 
 
-def pooled(text: str, table: np.ndarray) -> np.ndarray:
-    ids = word_ids(text)
-    if not len(ids):
-        return np.zeros(2 * DIMS, dtype=np.float32)
-    used, n = np.unique(ids, return_counts=True)
-    v, share = table[used].astype(np.float64), n / len(ids)
-    mean = share @ v
-    return np.concatenate([mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0))]).astype(np.float32)
+class Pool:
+    """Features of a document's words: mean and standard deviation of their vectors."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.squares = table, table * table
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        if not len(ids):
+            return np.zeros(2 * DIMS, dtype=np.float32)
+        used, n = np.unique(ids, return_counts=True)
+        share = (n / len(ids)).astype(np.float32)
+        mean = share @ self.table[used]
+        return np.concatenate([mean, np.sqrt(np.maximum(share @ self.squares[used] - mean * mean, 0))])
 
 
 class Network:
@@ -186,11 +197,14 @@ def held_out() -> F.Column:
 
 
 def features(docs: DataFrame, table) -> DataFrame:
-    """(doc_id, x) with ``table`` the broadcast word vectors; x are float32 bytes."""
-    def pool(batch):
-        return {"x": [pooled(t, table.value).tobytes() for t in batch]}
+    """(doc_id, x) of ``encoded`` documents with ``table`` the broadcast word vectors; x are float32 bytes."""
+    def pool(batches):
+        pooled = Pool(table.value)
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": [
+                pooled(np.frombuffer(raw, np.uint16)).tobytes() for raw in b.column("ids").to_pylist()]})
 
-    return map_texts(docs, "x binary", lambda: pool)
+    return docs.mapInArrow(pool, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
 
 
 def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Network:
@@ -204,7 +218,7 @@ def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    docs = texts(docs)
+    docs = encoded(texts(docs))
     table = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     feats = materialize(features(docs, table), "features")
     net = train(feats, labels)
@@ -221,13 +235,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be of quality, unchanged."""
-    plain = texts(docs)
+    plain = encoded(texts(docs))
     table = docs.sparkSession.sparkContext.broadcast(word_vectors(plain))
     net = train(features(plain, table), labels)
 
     def keep(batches):
+        pooled = Pool(table.value)
         for b in batches:
-            x = np.array([pooled(t or "", table.value) for t in b.column("text").to_pylist()]).reshape(len(b), 2 * DIMS)
+            x = np.array([pooled(word_ids(t or "")) for t in b.column("text").to_pylist()]).reshape(len(b), 2 * DIMS)
             yield b.filter(pa.array(net.scores(x) >= ACCEPT))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitlake.llm import embed_dedup, mixing, pii, quality, secrets, tokens, topk
+from transitlake.llm import buckets, embed_dedup, minhash, mixing, pii, preference, quality, secrets, tokens, topk
 from transitlake.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.neighbours(table(spark, sf_dir, "conversations"))
+
+
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -39,9 +51,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_token_counts, op5_embedding_near_dedup, op6_pii, op7_top_k, op8_quality, op9_secret_scan, op10_mixing)
+    named = (op1_minhash_near_dedup, op2_token_counts, op3_preference_format, op4_length_buckets, op5_embedding_near_dedup,
+             op6_pii, op7_top_k, op8_quality, op9_secret_scan, op10_mixing)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_format": preference.ORACLE_SQL, "op7_top_k": topk.ORACLE_SQL}

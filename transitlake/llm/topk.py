@@ -138,3 +138,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     w = Window.partitionBy("size", "qb", "slot", "query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
+
+
+ORACLE_SQL = """
+with part as (
+    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score
+    from part q join part d on q.vec_id <> d.vec_id and len(q.v) = len(d.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
