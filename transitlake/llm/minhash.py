@@ -26,7 +26,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -35,16 +34,18 @@ from transitlake.llm.common import components, map_texts, materialize, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
-TABLE = 1 << 16
+TABLE = 1 << 14
 LEADERS = 8
-CACHE = 1 << 18
 SEED = 1
-PIECE = 2048
+PIECE, PIECE_BYTES = 2048, 1 << 20
 
+BASE = 0x9E3779B97F4A7C55
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
+_PLACE = np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
@@ -53,42 +54,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    up, down = np.full(PIECE_BYTES + 1, BASE, np.uint64), np.full(PIECE_BYTES + 1, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
-_HASH = _WordHashes()
+_UP, _DOWN = _powers()
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the text's lower-cased words, which blanks part: differences of one running
+    polynomial over its bytes, piece by piece (a word longer than a piece counts as several)."""
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        piece = data[at:at + PIECE_BYTES]
+        blank = _BLANK[piece]
+        if at + len(piece) < len(data) and blank.any():
+            n = len(blank) - int(blank[::-1].argmax())
+            piece, blank = piece[:n], blank[:n]
+        at += len(piece)
+        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece + np.uint64(1)) * _UP[:len(piece)], out=total[1:])
+        start, end = edge[::2], edge[1::2]
+        out.append(mixed((total[end] - total[start]) * _DOWN[start]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def digest(words: list[str]) -> bytes | None:
+def digest(h: np.ndarray) -> bytes | None:
     """The address of a text's words; None without words."""
-    return hashlib.blake2b("\x1f".join(words).encode(), digest_size=16).digest() if words else None
-
-
-def hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
 
 
-def shingle_weights(words: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes and their TF-IDF weights."""
-    h = hashes(words)
+def shingle_weights(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of a text's word hashes, and their TF-IDF weights."""
     k = min(SHINGLE, len(h))
-    w = idf[h & np.uint64(DF_BUCKETS - 1)]
     n = len(h) - k + 1
+    word = idf[(h & np.uint64(DF_BUCKETS - 1)).view(np.int64)]
     s, weight = np.zeros(n, np.uint64), np.zeros(n, np.float32)
     for i in range(k):
-        s = mixed(s + h[i:i + n] + _MIX[2])
-        weight += w[i:i + n]
-    s, first, count = np.unique(s, return_index=True, return_counts=True)
-    return s, weight[first] / k * count
+        s += h[i:i + n] * _PLACE[i]
+        weight += word[i:i + n]
+    s, weight = mixed(s), weight / np.float32(k)
+    order = s.argsort(kind="stable")
+    s, weight = s[order], weight[order]
+    new = np.flatnonzero(np.diff(s, prepend=~s[:1]))
+    if len(new) < n:
+        s, weight = s[new], weight[new] * np.diff(new, append=n).astype(np.float32)
+    return s, weight
 
 
 def similarity(a: tuple, b: tuple) -> float:
@@ -117,17 +135,24 @@ class Sampler:
         who, level = np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.float32)
         every = np.arange(self.samples)
         for at in range(0, len(s), PIECE):
-            part, ln_w = s[at:at + PIECE], np.log(w[at:at + PIECE]).astype(np.float32)[:, None]
-            place = ((part[:, None] * self.times) >> np.uint64(48)).astype(np.intp)
-            r, beta = self.r.take(place), self.beta.take(place)
-            t = np.floor(ln_w * self.inverse.take(place) + beta)
-            a = self.ln_c.take(place) - r * (t - beta + 1)
-            low = a.argmin(axis=0)
-            value = a[low, every]
+            part, ln_w = s[at:at + PIECE], np.log(w[at:at + PIECE])
+            place = ((self.times[:, None] * part) >> np.uint64(64 - TABLE.bit_length() + 1)).view(np.int64)
+            beta = self.beta.take(place, mode="clip")
+            t = self.inverse.take(place, mode="clip")
+            t *= ln_w
+            t += beta
+            np.floor(t, out=t)  # the weight's level, t = floor(ln w / r + beta)
+            y = t - beta
+            y += 1
+            y *= self.r.take(place, mode="clip")
+            a = self.ln_c.take(place, mode="clip")
+            a -= y  # ln a = ln c - r (t - beta + 1); equal values go to the smaller shingle hash
+            low = a.argmin(axis=1)
+            value = a[every, low]
             better = value < best
             best[better] = value[better]
             who[better] = part[low[better]]
-            level[better] = t[low[better], every[better]]
+            level[better] = t[every[better], low[better]]
         one = mixed(who ^ mixed(level.astype(np.int64).view(np.uint64) + _MIX[2])).reshape(BANDS, ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for i in range(ROWS):
@@ -141,8 +166,8 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         df, n = np.zeros(DF_BUCKETS, np.int64), 0
         for b in batches:
             for t in b["text"]:
-                used = np.unique(hashes(words_of(t)) & np.uint64(DF_BUCKETS - 1))
-                df[used.astype(np.intp)] += 1
+                used = np.unique(hashes(t) & np.uint64(DF_BUCKETS - 1)).view(np.int64)
+                df[used] += 1
                 n += len(used) > 0
         used = np.nonzero(df)[0]
         yield pd.DataFrame({"b": np.append(used, -1), "n": np.append(df[used], n)})
@@ -163,10 +188,10 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         def sign(batch):
             rids, keys, done = [], [], {}
             for t in batch:
-                words = words_of(t)
-                rid = digest(words)
+                h = hashes(t)
+                rid = digest(h)
                 if rid is not None and rid not in done:
-                    done[rid] = sampler.bands(*shingle_weights(words, idf.value)).tolist()
+                    done[rid] = sampler.bands(*shingle_weights(h, idf.value)).tolist()
                 rids.append(rid)
                 keys.append(done.get(rid))
             return {"rid": pa.array(rids, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
@@ -188,8 +213,8 @@ def verified(pairs: DataFrame, held: DataFrame, idf) -> DataFrame:
             keep = []
             for b, tb, ta in zip(x.column("b").to_pylist(), x.column("tb").to_pylist(), x.column("ta").to_pylist()):
                 if b != last:
-                    last, of_last = b, shingle_weights(words_of(tb), idf.value)
-                keep.append(similarity(shingle_weights(words_of(ta), idf.value), of_last) >= THRESHOLD)
+                    last, of_last = b, shingle_weights(hashes(tb), idf.value)
+                keep.append(similarity(shingle_weights(hashes(ta), idf.value), of_last) >= THRESHOLD)
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
@@ -204,7 +229,7 @@ def candidate_texts(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     """(rid, text) of the representatives in some bucket, one text each."""
     wanted = buckets.select("rid", "low").distinct()
     addressed = map_texts(docs, "rid binary, text string", lambda: lambda batch: {
-        "rid": pa.array([digest(words_of(t)) for t in batch], pa.binary()), "text": batch})
+        "rid": pa.array([digest(hashes(t)) for t in batch], pa.binary()), "text": batch})
     one = addressed.withColumn("low", _identity())
     return one.join(wanted, ["rid", "low"]).groupBy("rid").agg(F.first("text").alias("text"))
 
@@ -225,7 +250,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def address(batches):
         for b in batches:
-            rids = [digest(words_of(t or "")) for t in b.column("text").to_pylist()]
+            rids = [digest(hashes(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rids, pa.binary())], [*b.schema.names, "_rid"])
 
     rows = docs.mapInArrow(address, StructType([*docs.schema.fields, StructField("_rid", BinaryType())]))

@@ -1,11 +1,12 @@
 """Token counts by a two-tier map-side lookup.
 
 A byte-level BPE never merges across pre-tokens, so a text's token count is the sum of its
-pre-tokens' token counts. Tier one is a broadcast table of the corpus's most frequent pre-tokens and
-their lengths (at most ``FREQUENT`` entries); tier two is a bounded cache in each Python worker that
-encodes what the table misses, a batch at a time. Pre-tokens are never shuffled: the table comes
+pre-tokens' token counts. Pre-tokens are looked up with the punctuation glued to them (a run: what stands
+between two single blanks). Tier one is a broadcast table of the corpus's most frequent runs and their
+token lengths (at most ``FREQUENT`` entries); tier two is a bounded cache in each Python worker that
+encodes what the table misses. Pre-tokens are never shuffled: the table comes
 from per-task tallies over all rows, each of which hands on at most ``PER_TASK`` entries.
-Which pre-tokens are in the table changes the speed only, never a count.
+Which runs are in the table changes the speed only, never a count.
 
 Nulls and edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids
 give a row each; extra columns are ignored; an empty table gives an empty result.
@@ -13,9 +14,12 @@ give a row each; extra columns are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 from collections import Counter
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +29,6 @@ from transitlake.llm.common import map_texts, texts
 FREQUENT = 1 << 16
 PER_TASK = 1 << 12
 CACHE = 1 << 19
-CHUNK_CHARS = 1 << 20
 OVER = 512
 
 # The pre-token pattern of byte-level BPE vocabularies of this kind.
@@ -41,78 +44,126 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PieceCounts:
+# A single blank between two visible characters: pre-tokens never reach across it from the left.
+_BLANKS = regex.compile(r"\s\s").search
+_GAP = regex.compile(r"(?<=\S) (?=\S)").split
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that a byte-level vocabulary writes for bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranks_of(model: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids of a byte-level BPE model if its ids follow the order of its merges, so that merging by
+    the lowest id is merging by the first rule; else None."""
+    vocab, letters = model["vocab"], _byte_letters()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab.get(a + b) for a, b in merges]
+    single = {t: i for t, i in vocab.items() if len(t) == 1}
+    if None in ids or any(x >= y for x, y in zip(ids, ids[1:])) or len(single) < 256 or max(single.values()) >= min(ids):
+        return None
+    known = set(ids) | set(single.values())
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if i in known}
+
+
+class RunCounts:
     """Token counts of texts; one per tokenizer file in each process."""
 
     _by_path: dict = {}
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            ranks = ranks_of(json.load(f)["model"])
+        self.quick = Encoding("runs", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.pieces = regex.compile(PATTERN).findall
         self.unsure = regex.compile(_UNSURE).search
         self.frequent: dict[str, int] = {}
         self.cache: dict[str, int] = {}
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64) if ranks else None
+        for token, i in (ranks or {}).items():
+            self.widths[i] = len(token)
 
     @classmethod
-    def get(cls, path: str) -> "PieceCounts":
+    def get(cls, path: str) -> "RunCounts":
         if path not in cls._by_path:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def split(self, text: str) -> tuple[int, list[str]]:
-        """Number of special tokens, and the pre-tokens between them."""
+    def length(self, run: str) -> int:
+        if self.quick:
+            return len(self.quick.encode_ordinary(run))
+        return self.whole(run)
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def parts(self, text: str) -> tuple[int, list[str]]:
+        """Number of special tokens, and the texts between them."""
         if self.special is None or not self.special.search(text):
-            return 0, self.pieces(text)
+            return 0, [text]
         parts = self.special.split(text)
-        return len(parts) - 1, [p for part in parts for p in self.pieces(part)]
-
-    def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def count(self, batch: list[str]) -> list[int]:
-        out: list[int] = []
-        chunk: list[str] = []
-        size = 0
-        for t in batch:
-            chunk.append(t)
-            size += len(t)
-            if size >= CHUNK_CHARS:
-                out += self._chunk(chunk)
-                chunk, size = [], 0
-        return out + self._chunk(chunk)
-
-    def _chunk(self, chunk: list[str]) -> list[int]:
-        found = [None if self.unsure(t) else self.split(t) for t in chunk]
+        return len(parts) - 1, [p for p in parts if p]
+
+    def count(self, text: str) -> int:
+        if self.unsure(text):
+            return self.whole(text)
+        n, parts = self.parts(text)
         if len(self.cache) > CACHE:
             self.cache.clear()
         frequent, cache = self.frequent, self.cache
-        new = [p for p in set().union(*(f[1] for f in found if f)) if p not in frequent and p not in cache]
-        cache.update(zip(new, self.lengths(new)))
-        whole = iter(self.lengths([t for t, f in zip(chunk, found) if f is None]))
-        get, miss = frequent.get, cache.__getitem__
-        return [next(whole) if f is None else f[0] + sum(get(p) or miss(p) for p in f[1]) for f in found]
-
-
-def frequent_pieces(docs: DataFrame, path: str) -> list[str]:
-    """The corpus's most frequent pre-tokens, from tallies that each task keeps bounded."""
+        for part in parts:
+            first, runs = runs_of(part)
+            new = set(runs).difference(frequent).difference(cache)
+            if new:
+                cache.update(self.lengths(new))
+            # a run is in one of the two tiers
+            n += self.length(first) + sum(map(frequent.get, runs, repeat(0))) + sum(map(cache.get, runs, repeat(0)))
+        return n
+
+    def lengths(self, runs) -> dict[str, int]:
+        """Token counts of runs after a blank: they are encoded as one text, and its tokens dealt out by their bytes."""
+        alone = [r for r in runs if not r or r[-1].isspace()] if self.quick else runs
+        out = {r: self.length(" " + r) for r in alone}
+        runs = [r for r in runs if r not in out]
+        if runs:
+            token_ends = self.widths[self.quick.encode_ordinary(" " + " ".join(runs))].cumsum()
+            run_ends = np.cumsum([len(r.encode()) + 1 for r in runs])
+            out.update(zip(runs, np.diff(np.searchsorted(token_ends, run_ends, side="right"), prepend=0).tolist()))
+        return out
+
+
+def runs_of(text: str) -> tuple[str, list[str]]:
+    """The text's first run and the others without the blank before them. A run is a pre-token with what is glued to it:
+    runs part at single blanks between visible characters."""
+    runs = _GAP(text) if _BLANKS(text) else text.split(" ")
+    return runs[0], runs[1:]
+
+
+def frequent_runs(docs: DataFrame, path: str) -> list[str]:
+    """The corpus's most frequent runs, from tallies that each task keeps bounded."""
     def tally(batches):
-        c = PieceCounts.get(path)
+        c = RunCounts.get(path)
         seen: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 if not c.unsure(t):
-                    seen.update(c.split(t)[1])
+                    for part in c.parts(t)[1]:
+                        seen.update(runs_of(part)[1])
                 if len(seen) > CACHE:
                     seen = Counter(dict(seen.most_common(CACHE // 4)))
         top = seen.most_common(PER_TASK)
-        yield pd.DataFrame({"piece": [p.encode() for p, _ in top], "n": [n for _, n in top]})
+        yield pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    rows = (docs.select("text").mapInPandas(tally, "piece binary, n long").groupBy("piece")
-            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT).collect())
-    return [bytes(r["piece"]).decode() for r in rows]
+    rows = (docs.select("text").mapInArrow(tally, "run string, n long").groupBy("run")
+            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(FREQUENT).collect())
+    return [r["run"] for r in rows]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) -> DataFrame:
@@ -120,14 +171,13 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     than ``over`` tokens. ``path`` is the tokenizer's file."""
     path = path or default_tokenizer_path()
     docs = texts(docs)
-    pieces = frequent_pieces(docs, path)
-    table = docs.sparkSession.sparkContext.broadcast(
-        dict(zip(pieces, PieceCounts.get(path).lengths(pieces))))
+    runs = frequent_runs(docs, path)
+    table = docs.sparkSession.sparkContext.broadcast(RunCounts.get(path).lengths(runs) if runs else {})
 
     def start():
-        c = PieceCounts.get(path)
+        c = RunCounts.get(path)
         c.frequent = table.value
-        return lambda batch: {"n_bytes": [len(t.encode()) for t in batch], "n_tokens": c.count(batch)}
+        return lambda batch: {"n_bytes": [len(t.encode()) for t in batch], "n_tokens": [c.count(t) for t in batch]}
 
     counted = map_texts(docs, "n_bytes long, n_tokens long", start)
     return counted.withColumn("over_limit", F.col("n_tokens") > over)
