@@ -1,0 +1,115 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+
+from transitlake.llm import minhash
+from transitlake.llm.common import on_workers, table
+from transitlake.llm.registry import op1_minhash_near_dedup
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """Classes by plain Jaccard of word shingles, and the pairs' similarities."""
+    sets = [shingles(t) for _, t in rows]
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            having[x].append(i)
+    common = defaultdict(int)
+    for own in having.values():
+        for a in range(len(own)):
+            for b in range(a):
+                common[own[b], own[a]] += 1
+    near = {k: v / (len(sets[k[0]]) + len(sets[k[1]]) - v) for k, v in common.items()}
+    top = list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for (a, b), j in near.items():
+        if j >= 0.8:
+            x, y = root(a), root(b)
+            top[max(x, y)] = min(x, y)
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}, near
+
+
+def near_copies(seed=7):
+    """Families of texts that differ in a few words, far from the threshold, and single texts."""
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(400)]
+    rows = []
+    for family in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 400, 3000]))]
+        for member in range(rng.choice([1, 2, 5, 40])):
+            t = list(base)
+            for _ in range(len(t) // 300 if member else 0):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            if member % 3 == 1:
+                t.append("extra%d" % member)
+            rows.append((len(rows), " ".join(t)))
+    passage = [rng.choice(words) for _ in range(60)]
+    for i in range(60):  # a passage that many unlike documents share
+        rows.append((len(rows), " ".join([rng.choice(words) for _ in range(60)] + passage + [rng.choice(words) for _ in range(60)])))
+    return rows
+
+
+def test_planted_families(spark):
+    on_workers(spark)
+    rows = near_copies()
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_whole_table(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").collect()]
+    want, near = brute(docs)
+    got = {r["doc_id"]: r["class_id"] for r in op1_minhash_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    sure = {k: j for k, j in near.items() if j >= 0.85 or j < 0.7}
+    for (a, b), j in sure.items():
+        a, b = docs[a][0], docs[b][0]
+        assert (got[a] == got[b]) >= (j >= 0.85)
+    assert sum(got[k] != want[k] for k in want) <= 2
+
+
+def test_defined_cases(spark):
+    on_workers(spark)
+    long = " ".join(f"t{i}" for i in range(60000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE\ttwo "), (6, "one two three"), (7, long), (8, long + " end"), (9, "x" * 100000),
+            (9, "x" * 100000), (None, "same text as one with an id"), (11, "same text as one with an id"), (None, "alone and without an id"), (4, "one two")]
+    df = spark.createDataFrame([(*r, "s", 1, "k") for r in rows], "doc_id long, text string, source string, n int, keys string")
+    got = sorted(((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in minhash.classes(df).collect()))
+    assert got == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True), (8, 7, False), (9, 9, True),
+                          (9, 9, True), (-1, 11, False), (11, 11, True), (-1, -1, True), (4, 4, True)])
+    kept = minhash.deduplicated(df).collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 2, 3, 4, 6, 7, 9, 11]
+    assert set(map(tuple, kept)) <= {(*r, "s", 1, "k") for r in rows}
+    assert minhash.classes(df.limit(0)).count() == 0 and minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_samples_agree_as_often_as_the_weights_do():
+    rng = np.random.default_rng(0)
+    idf = np.linspace(1, 2, minhash.DF_BUCKETS).astype(np.float32)
+    sampler, want, got = minhash.Sampler(), [], []
+    for _ in range(150):
+        s = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+        w = (1 + rng.random(len(s))).astype(np.float32)
+        cut = rng.integers(150, 300)
+        a, b = (s[:cut], w[:cut]), (s[300 - cut:], w[300 - cut:] * np.float32(1.1))
+        want.append(minhash.similarity(a, b) ** minhash.ROWS)
+        got.append((sampler.bands(*a) == sampler.bands(*b)).mean())
+    assert abs(np.mean(want) - np.mean(got)) < 0.03 and idf.dtype == np.float32
+
+
+def test_word_hashes_do_not_depend_on_blanks_case_or_pieces(monkeypatch):
+    text = "Ab  cdé\tef\n" * 50
+    h = minhash.hashes(text)
+    assert len(h) == 150 and (h == minhash.hashes(" ".join(text.lower().split()))).all()
+    monkeypatch.setattr(minhash, "PIECE_BYTES", 16)
+    assert (minhash.hashes(text) == h).all()
+    assert len(minhash.hashes("x" * 40)) == 3

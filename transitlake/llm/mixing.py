@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.llm.common import materialize
@@ -137,3 +137,18 @@ def _mixed(rows: DataFrame, seed: int) -> DataFrame:
     return (ranked.join(more, ["skey", "size"])
             .select(*[c for c in rows.columns if c not in ("skey", "size")], "size", "source_size", "target",
                     (F.col("size") * copies).alias("taken"), copies.alias("copies")))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it. Equal rows share their copies."""
+    key = F.xxhash64("doc_id", "source", "text")
+    rows = docs.select("doc_id", source_key(F.col("source")).alias("skey"), words(F.col("text")).alias("size"),
+                       key.alias("k"), F.col("doc_id").alias("id"))
+    taken = (_mixed(rows, seed).groupBy("k", "id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+             .where("copies > 0").select(F.col("k").alias("_k"), F.struct("id").alias("_id"), F.col("copies").alias("_copies"),
+                                         F.col("alike").alias("_alike")))
+    n = F.row_number().over(Window.partitionBy("_k", "_id").orderBy(F.lit(0)))
+    own = F.floor(F.col("_copies") / F.col("_alike")) + (F.col("_n") <= F.col("_copies") % F.col("_alike")).cast("long")
+    return (docs.withColumn("_k", key).withColumn("_id", F.struct(F.col("doc_id").alias("id"))).join(taken, ["_k", "_id"])
+            .withColumn("_n", n).where(own > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), own)))
+            .select(*docs.columns))

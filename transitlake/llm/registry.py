@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from transitlake.llm import buckets, embed_dedup, minhash, mixing, pii, preference, quality, secrets, tokens, topk
 from transitlake.llm.common import table
 
@@ -53,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_minhash_near_dedup, op2_token_counts, op3_preference_format, op4_length_buckets, op5_embedding_near_dedup,
              op6_pii, op7_top_k, op8_quality, op9_secret_scan, op10_mixing)
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
