@@ -102,7 +102,7 @@ def test_samples_agree_as_often_as_the_weights_do():
         cut = rng.integers(150, 300)
         a, b = (s[:cut], w[:cut]), (s[300 - cut:], w[300 - cut:] * np.float32(1.1))
         want.append(minhash.similarity(a, b) ** minhash.ROWS)
-        got.append((sampler.bands(*a) == sampler.bands(*b)).mean())
+        got.append((sampler.bands(*a)[0] == sampler.bands(*b)[0]).mean())
     assert abs(np.mean(want) - np.mean(got)) < 0.03 and idf.dtype == np.float32
 
 
