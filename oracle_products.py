@@ -3,12 +3,9 @@ positional variant W1 and the quality checks (see oracle_twins.py)."""
 
 from __future__ import annotations
 
-from oracle_twins import DOC, RAW_DOC, REL, _doc_avg, _pearson
+from oracle_twins import DOC, RAW_DOC, REL, doc_avg as _doc_avg, rounded as _rr
 from transitlake import schema as S
-
-
-def _rr(expr: str) -> str:
-    return f"(ROUND({expr}, 6) + CAST(0 AS DOUBLE))"
+from transitlake.plans.catalog import OTHER_TYPE
 
 
 def _cls_case(with_db: bool) -> str:
@@ -103,15 +100,11 @@ c AS (
            row_number() OVER (PARTITION BY Arret.id_ligne
                               ORDER BY Arret.id_arret, Capteur.id_capteur, Mesure.horodatage, Mesure.valeur) - 1 AS pos
     FROM {STOP_MEASURES} WHERE Capteur.type_capteur = 'CO2'),
-m AS (
-    SELECT t.id_ligne, COUNT(*) AS n_raw, COUNT(*) FILTER (WHERE ok) AS n,
-           SUM(x) FILTER (WHERE ok) AS sx, SUM(y) FILTER (WHERE ok) AS sy,
-           SUM(x * x) FILTER (WHERE ok) AS sxx, SUM(y * y) FILTER (WHERE ok) AS syy,
-           SUM(x * y) FILTER (WHERE ok) AS sxy
-    FROM (SELECT t.id_ligne, x, y, x IS NOT NULL AND y IS NOT NULL AS ok
-          FROM t JOIN c ON t.id_ligne = c.id_ligne AND t.pos = c.pos) t
-    GROUP BY t.id_ligne),
-r AS (SELECT id_ligne, n_raw, CASE WHEN n > 1 THEN {_pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} END AS corr FROM m)
+pairs AS (SELECT t.id_ligne, x, y, x IS NOT NULL AND y IS NOT NULL AS ok FROM t JOIN c ON t.id_ligne = c.id_ligne AND t.pos = c.pos),
+r AS (SELECT id_ligne, COUNT(*) AS n_raw,
+             CASE WHEN COUNT(*) FILTER (WHERE ok) > 1 AND var_pop(x) FILTER (WHERE ok) > 0 AND var_pop(y) FILTER (WHERE ok) > 0
+                  THEN corr(x, y) FILTER (WHERE ok) END AS corr
+      FROM pairs GROUP BY id_ligne)
 SELECT nom_ligne, (ROUND(corr, 6) + CAST(0 AS DOUBLE)) AS correlation
 FROM r JOIN Ligne ON Ligne.id_ligne = r.id_ligne
 WHERE n_raw > 1 AND corr IS NOT NULL"""
@@ -157,6 +150,62 @@ SELECT type_vehicule, bin, (ROUND(lo + bin * width, 6) + CAST(0 AS DOUBLE)) AS b
        COUNT(*) AS n
 FROM b GROUP BY type_vehicule, bin, lo, width"""
 
+
+def _trend(condition: str) -> str:
+    return f"""SELECT strftime(CAST(Mesure.horodatage AS DATE), '%Y-%m-%d') AS date, {_rr(_doc_avg('valeur'))} AS moyenne_co2
+FROM {STOP_MEASURES} WHERE type_capteur = 'CO2' AND {condition} GROUP BY 1"""
+
+
+def _ranked(letter: str, column: str, order: str, where: str = "TRUE") -> str:
+    return f"""SELECT nom, {_rr(column)} AS {column}, rang FROM (
+    SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rang FROM {_over(letter)} x) y WHERE {where}"""
+
+
+def _nested_stops(k: int) -> str:
+    """Documents of the stop collection in parts of k children: sizes and sums that depend on values and order."""
+    return f"""WITH cp AS (
+    SELECT c.id_arret, c.id_capteur, m.horodatage, m.valeur, m.unite, m.id_capteur IS NOT NULL AS present,
+           (row_number() OVER (PARTITION BY c.id_arret ORDER BY c.id_capteur, m.horodatage NULLS FIRST, m.valeur, m.unite) - 1) // {k} AS part
+    FROM Capteur c LEFT JOIN Mesure m ON m.id_capteur = c.id_capteur WHERE c.id_arret IS NOT NULL),
+ci AS (
+    SELECT *, dense_rank() OVER (PARTITION BY id_arret, part ORDER BY id_capteur) AS e,
+           row_number() OVER (PARTITION BY id_arret, part, id_capteur ORDER BY horodatage, valeur, unite) AS i FROM cp),
+cs AS (
+    SELECT id_arret, part, COUNT(DISTINCT id_capteur) AS n_capteurs, COUNT(*) FILTER (WHERE present) AS n_mesures,
+           SUM((e * 31 + i) * (id_capteur % 97 + CAST(round(valeur * 10) AS BIGINT) + day(horodatage))) FILTER (WHERE present) AS sum_mesures
+    FROM ci GROUP BY ALL),
+hp AS (SELECT *, row_number() OVER (PARTITION BY id_arret ORDER BY id_horaire) - 1 AS pos FROM Horaire WHERE id_arret IS NOT NULL),
+hs AS (
+    SELECT id_arret, pos // {k} AS part, COUNT(*) AS n_horaires,
+           SUM((pos % {k} + 1) * (id_vehicule + COALESCE(passagers_estimes, -1) + day(heure_prevue))) AS sum_horaires
+    FROM hp GROUP BY ALL),
+qp AS (
+    SELECT b.id_arret, q.id_quartier, row_number() OVER (PARTITION BY b.id_arret ORDER BY q.id_quartier, q.nom) - 1 AS pos
+    FROM ArretQuartier b JOIN Quartier q ON q.id_quartier = b.id_quartier),
+qs AS (SELECT id_arret, pos // {k} AS part, COUNT(*) AS n_quartiers, SUM((pos % {k} + 1) * id_quartier) AS sum_quartiers FROM qp GROUP BY ALL),
+keys AS (
+    SELECT id_arret, part FROM cs UNION SELECT id_arret, part FROM hs UNION SELECT id_arret, part FROM qs
+    UNION SELECT id_arret, 0 FROM Arret)
+SELECT a.id_arret, CAST(k.part AS BIGINT) AS part, {", ".join(f"CAST(COALESCE({c}, 0) AS BIGINT) AS {c}" for c in (
+        "n_quartiers", "n_capteurs", "n_mesures", "n_horaires", "sum_quartiers", "sum_mesures", "sum_horaires"))}
+FROM Arret a JOIN keys k ON k.id_arret = a.id_arret LEFT JOIN cs ON cs.id_arret = a.id_arret AND cs.part = k.part
+    LEFT JOIN hs ON hs.id_arret = a.id_arret AND hs.part = k.part LEFT JOIN qs ON qs.id_arret = a.id_arret AND qs.part = k.part"""
+
+
+def _nested_traffic(k: int) -> str:
+    return f"""WITH ip AS (SELECT *, row_number() OVER (PARTITION BY id_trafic ORDER BY horodatage, id_incident) - 1 AS pos FROM Incident),
+ps AS (SELECT id_trafic, pos // {k} AS part, COUNT(*) AS n, SUM((pos % {k} + 1) * (gravite * 100 + day(horodatage))) AS s FROM ip GROUP BY ALL)
+SELECT t.id_trafic, CAST(COALESCE(ps.part, 0) AS BIGINT) AS part, t.id_ligne, t.retard_minutes,
+    CAST(COALESCE(ps.n, 0) AS BIGINT) AS n_incidents, CAST(COALESCE(ps.s, 0) AS BIGINT) AS sum_incidents
+FROM Trafic t LEFT JOIN ps ON ps.id_trafic = t.id_trafic"""
+
+
+# The features that the district jobs read: valid districts in id order.
+_FEATURES = f"(SELECT *, row_number() OVER (ORDER BY id_quartier) - 1 AS idx FROM ({WKT}) w)"
+_SYNTH = "(SELECT *, row_number() OVER (ORDER BY id_quartier, nom) - 1 AS idx FROM Quartier)"
+_MAPPING = f"""(SELECT s.id_quartier, s.nom AS nom_synthetique, f.nom AS nom_reel, 0 AS arrondissement, f.idx AS index_geojson, f.ring
+    FROM {_SYNTH} s JOIN {_FEATURES} f ON f.idx = s.idx)"""
+
 PRODUCTS: dict[str, str] = {
     "W1_corr_positional": W1,
     "D01_line_vehicle_map": "SELECT id_ligne, v_type AS type_vehicule FROM (" + LVM + ") l",
@@ -167,12 +216,11 @@ PRODUCTS: dict[str, str] = {
     "D04_stop_board_medium": _round_board(board_sql(co2_level="medium")),
     "D04_stop_board_diesel_low": _round_board(board_sql(vehicle_type="Diesel", co2_level="low")),
     "D04_stop_board_line_7": _round_board(board_sql(id_ligne=7)),
-    "D05_co2_trend": f"""SELECT strftime(CAST(Mesure.horodatage AS DATE), '%Y-%m-%d') AS date,
-    {_rr(_doc_avg('valeur'))} AS moyenne_co2
-FROM {STOP_MEASURES}
-WHERE type_capteur = 'CO2'
-  AND (Arret.nom IN (SELECT arret FROM ({BOARD}) b) OR (SELECT COUNT(*) FROM ({BOARD}) b) > 2000)
-GROUP BY 1""",
+    "D04_stop_board_high": _round_board(board_sql(co2_level="high")),
+    "D04_stop_board_other_type": _round_board(board_sql(id_ligne=7, vehicle_type=OTHER_TYPE)),
+    "D05_co2_trend": _trend(f"Arret.nom IN (SELECT arret FROM ({board_sql(vehicle_type='Electrique')}) b)"),
+    "D05_co2_trend_line_7": _trend(f"Arret.nom IN (SELECT arret FROM ({board_sql(id_ligne=7, co2_level='high')}) b)"),
+    "D05_co2_trend_network": _trend("TRUE"),
     "D06_stop_markers": f"""SELECT id_arret, arret, (ROUND(latitude, 6) + CAST(0 AS DOUBLE)) AS latitude, (ROUND(longitude, 6) + CAST(0 AS DOUBLE)) AS longitude,
     (ROUND(co2_ppm, 6) + CAST(0 AS DOUBLE)) AS co2_ppm,
     CASE WHEN co2_ppm > 550 THEN 'darkred' WHEN co2_ppm > 480 THEN 'red' WHEN co2_ppm > 400 THEN 'orange'
@@ -187,7 +235,6 @@ FROM ({BOARD}) b""",
            {_doc_avg('valeur')} AS valeur
     FROM {STOP_MEASURES}
     WHERE regexp_matches(type_capteur, '(?i)CO2|Pollution')
-      AND (Arret.latitude IS NOT NULL OR Arret.longitude IS NOT NULL)
     GROUP BY Arret.id_arret) h
 WHERE valeur > 0 AND NOT isnan(valeur)""",
     "D08_stop_details": f"""SELECT Arret.id_arret, COALESCE(NULLIF(Arret.nom, ''), 'Arrêt sans nom') AS nom,
@@ -203,14 +250,23 @@ FROM Arret LEFT JOIN ({_per_stop(False)}) ps ON ps.id_arret = Arret.id_arret""",
     "D10_quartier_features": f"""SELECT w.id_quartier, w.nom, (ROUND(ROUND(COALESCE(q.avg_co2, 0.0), 2), 6) + CAST(0 AS DOUBLE)) AS avg_co2,
     COALESCE(q.nom_quartier, w.nom) AS nom_complet
 FROM ({WKT}) w LEFT JOIN ({D09}) q ON q.id_quartier = w.id_quartier""",
+    "D10_feature_json": f"""SELECT id_quartier, CAST(to_json({{'type': 'Feature', 'id': id_quartier,
+    'properties': {{'id_quartier': id_quartier, 'nom': nom, 'avg_co2': avg_co2, 'nom_complet': nom_complet}},
+    'geometry': {{'type': 'Polygon', 'coordinates': [CASE WHEN n_points > len(ring) THEN list_append(ring, ring[1]) ELSE ring END]}}}}) AS VARCHAR) AS feature
+FROM (SELECT w.id_quartier, w.nom, w.ring, w.n_points, ROUND(COALESCE(q.avg_co2, 0.0), 2) AS avg_co2, COALESCE(q.nom_quartier, w.nom) AS nom_complet
+      FROM ({WKT}) w LEFT JOIN ({D09}) q ON q.id_quartier = w.id_quartier) x""",
     "D11_noise_axis": f"""SELECT (ROUND(MIN(avg_bruit) * 0.98, 6) + CAST(0 AS DOUBLE)) AS y_min, (ROUND(MAX(avg_bruit) * 1.01, 6) + CAST(0 AS DOUBLE)) AS y_max
 FROM {_over('e')} e""",
-    "D12_temp_extremes": f"SELECT nom_ligne, (ROUND(avg_temperature, 6) + CAST(0 AS DOUBLE)) AS avg_temperature, groupe FROM ({_TEMP_EXTREMES}) x",
+    "D12_temp_extremes": f"""SELECT nom_ligne, {_rr('avg_temperature')} AS avg_temperature, groupe,
+    CAST(row_number() OVER (ORDER BY groupe DESC, CASE WHEN groupe = 'top' THEN avg_temperature IS NULL ELSE avg_temperature IS NOT NULL END,
+        CASE WHEN groupe = 'top' THEN -avg_temperature ELSE avg_temperature END,
+        CASE WHEN groupe = 'top' THEN nom_ligne END, CASE WHEN groupe = 'bottom' THEN nom_ligne END DESC) AS INTEGER) AS rang
+FROM ({_TEMP_EXTREMES}) x""",
     "D12_temp_bounds": f"""SELECT (ROUND(MIN(avg_temperature) * 0.99, 6) + CAST(0 AS DOUBLE)) AS y_min, (ROUND(MAX(avg_temperature) * 1.01, 6) + CAST(0 AS DOUBLE)) AS y_max
 FROM ({_TEMP_EXTREMES}) x""",
-    "D13_worst_lines": f"""SELECT nom_ligne, (ROUND(avg_retard, 6) + CAST(0 AS DOUBLE)) AS avg_retard FROM (
-    SELECT * FROM {_over('a')} a ORDER BY avg_retard DESC NULLS LAST, nom_ligne LIMIT 15) x""",
-    "D14_drivers_10": f"""SELECT chauffeur_nom, (ROUND(avg_retard_minutes, 6) + CAST(0 AS DOUBLE)) AS avg_retard_minutes FROM ({_DRIVERS}) x""",
+    "D13_worst_lines": _ranked("a", "avg_retard", "avg_retard DESC NULLS LAST, nom_ligne", "rang <= 15").replace("SELECT nom,", "SELECT nom_ligne,"),
+    "D14_drivers_10": _ranked("k", "avg_retard_minutes", "avg_retard_minutes ASC NULLS LAST, chauffeur_nom", "rang <= 10").replace(
+        "SELECT nom,", "SELECT chauffeur_nom,"),
     "D14_drivers_bounds": f"""SELECT (ROUND(MIN(avg_retard_minutes) * 0.90, 6) + CAST(0 AS DOUBLE)) AS y_min,
     (ROUND(MAX(avg_retard_minutes) * 1.05, 6) + CAST(0 AS DOUBLE)) AS y_max FROM ({_DRIVERS}) x""",
     "D15_co2_histogram": _HIST,
@@ -218,29 +274,29 @@ FROM ({_TEMP_EXTREMES}) x""",
 WHERE classification_retard IS NOT NULL GROUP BY classification_retard""",
     "D17_daily_passengers": f"""SELECT jour, (ROUND(AVG(avg_passagers), 6) + CAST(0 AS DOUBLE)) AS avg_passagers FROM {_over('b')} b
 WHERE jour IS NOT NULL GROUP BY jour""",
-    "D18_electric_ranked": DOC["R_l_doc"],
-    "D18_corr_ranked": DOC["R_i_doc"],
+    "D18_electric_ranked": _ranked("l", "taux_electrique", "taux_electrique DESC NULLS LAST, nom_ligne").replace("SELECT nom,", "SELECT nom_ligne,"),
+    "D18_corr_ranked": _ranked("i", "correlation", "correlation ASC NULLS LAST, nom_ligne").replace("SELECT nom,", "SELECT nom_ligne,"),
     "D18_incident_scatter": DOC["R_c_doc"],
     "D19_punctuality_pct": f"""SELECT (ROUND(taux_sans_retard * 100, 6) + CAST(0 AS DOUBLE)) AS ponctualite_pct,
     printf('%.2f%%', ROUND(taux_sans_retard * 100, 2)) AS ponctualite_txt FROM {_over('g')} g""",
     "D20_selection_mix": f"""SELECT type_vehicule, COUNT(*) AS nombre FROM ({BOARD}) b
 WHERE type_vehicule IS NOT NULL GROUP BY type_vehicule""",
     "M1_nest_lignes": "SELECT * FROM Ligne",
-    "M2_nest_arrets": """SELECT a.id_arret, CAST(0 AS BIGINT) AS part,
-    (SELECT COUNT(*) FROM ArretQuartier aq JOIN Quartier q ON q.id_quartier = aq.id_quartier
-     WHERE aq.id_arret = a.id_arret) AS n_quartiers,
-    (SELECT COUNT(*) FROM Capteur c WHERE c.id_arret = a.id_arret) AS n_capteurs,
-    (SELECT COUNT(*) FROM Capteur c JOIN Mesure m ON m.id_capteur = c.id_capteur
-     WHERE c.id_arret = a.id_arret) AS n_mesures,
-    (SELECT COUNT(*) FROM Horaire h WHERE h.id_arret = a.id_arret) AS n_horaires
-FROM Arret a""",
+    "M2_nest_arrets": _nested_stops(50_000),
+    "M2_nest_arrets_split": _nested_stops(5),
     "M3_nest_vehicules": """SELECT v.id_vehicule, v.immatriculation, v.id_ligne, v.type_vehicule, v.capacite, v.id_chauffeur,
     c.nom AS chauffeur_nom, c.date_embauche
 FROM Vehicule v LEFT JOIN Chauffeur c ON c.id_chauffeur = v.id_chauffeur""",
-    "M4_nest_trafic": """SELECT t.id_trafic, CAST(0 AS BIGINT) AS part, t.id_ligne, t.retard_minutes,
-    (SELECT COUNT(*) FROM Incident i WHERE i.id_trafic = t.id_trafic) AS n_incidents,
-    CAST(COALESCE((SELECT SUM(gravite) FROM Incident i WHERE i.id_trafic = t.id_trafic), 0) AS BIGINT) AS sum_gravite
-FROM Trafic t""",
+    "M4_nest_trafic": _nested_traffic(50_000),
+    "M4_nest_trafic_split": _nested_traffic(2),
+    "M5_quartiers_from_geojson": f"""SELECT idx + 1 AS id_quartier, nom, nom AS nom_officiel, '' AS code_quartier, 0 AS arrondissement,
+    CAST(n_points AS BIGINT) AS n_points, CAST(0 AS DOUBLE) AS surface, CAST(0 AS DOUBLE) AS perimetre, TRUE AS is_real_paris FROM {_FEATURES} f""",
+    "M6_rejects": f"""SELECT id_quartier, 'unparseable coordinate' AS reason FROM Quartier
+WHERE id_quartier NOT IN (SELECT id_quartier FROM ({WKT}) w)""",
+    "M8_quartier_mapping": f"SELECT id_quartier, nom_synthetique, nom_reel, arrondissement, index_geojson FROM {_MAPPING} m",
+    "M9_apply_mapping": f"""SELECT COALESCE(m.id_quartier, w.id_quartier) AS id_quartier, w.nom, m.nom_synthetique, m.nom_reel, m.arrondissement,
+    COALESCE(m.ring, w.ring)[1][1] AS first_lon, w.is_real_paris
+FROM {_MAPPING} m FULL JOIN (SELECT *, FALSE AS is_real_paris FROM ({WKT}) w) w ON w.id_quartier = m.id_quartier""",
     "M6_quartiers_from_wkt": f"""SELECT id_quartier, nom, n_points, (ROUND(ring[1][1], 6) + CAST(0 AS DOUBLE)) AS first_lon,
     (ROUND(ring[1][2], 6) + CAST(0 AS DOUBLE)) AS first_lat, (ROUND(ring[1][1], 6) + CAST(0 AS DOUBLE)) AS last_lon, FALSE AS is_real_paris
 FROM ({WKT}) w""",
@@ -249,7 +305,13 @@ UNION ALL SELECT 'arrets', COUNT(*) FROM Arret
 UNION ALL SELECT 'vehicules', COUNT(*) FROM Vehicule
 UNION ALL SELECT 'trafic', COUNT(*) FROM Trafic
 UNION ALL SELECT 'mesures', COUNT(*) FROM Mesure WHERE id_capteur IS NOT NULL
-UNION ALL SELECT 'incidents', COUNT(*) FROM Incident WHERE id_trafic IS NOT NULL""",
+UNION ALL SELECT 'incidents', COUNT(*) FROM Incident WHERE id_trafic IS NOT NULL
+UNION ALL SELECT 'quartiers', COUNT(*) FROM """ + _FEATURES + """ f
+UNION ALL SELECT 'quartiers_reels', COUNT(*) FROM """ + _FEATURES + " f",
     "Q1_parity": _q1(),
     "Q3_integrity": _q3(),
 }
+
+# the same products over the report files, written and read again
+PRODUCTS |= {"D13_worst_lines_from_csv": PRODUCTS["D13_worst_lines"], "D16_delay_class_counts_from_csv": PRODUCTS["D16_delay_class_counts"],
+             "D18_electric_ranked_from_csv": PRODUCTS["D18_electric_ranked"], "D17_daily_passengers_from_csv": PRODUCTS["D17_daily_passengers"]}

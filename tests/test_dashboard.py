@@ -40,10 +40,18 @@ def test_bad_co2_level(docs):
         P.stop_board(docs, co2_level="extreme")
 
 
-def test_trend_whole_network_over_threshold(docs):
-    sel = P.stop_board(docs)
-    whole = rows(P.co2_trend(docs))
-    assert rows(P.co2_trend(docs, sel, whole_network_over=0)) == whole
+def test_trend_filters_whatever_the_size_of_the_selection(spark, docs):
+    """A selection of more than 2000 rows still filters by its names."""
+    name = docs.stops.first()["nom"]
+    one = spark.range(3000).select(F.lit(name).alias("arret"))
+    want = P.co2_trend(docs, docs.stops.filter(F.col("nom") == name).select(F.col("nom").alias("arret")))
+    assert rows(P.co2_trend(docs, one)) == rows(want) != rows(P.co2_trend(docs))
+
+
+def test_heat_points_keep_stops_without_coordinates(spark, docs):
+    from dataclasses import replace
+    bare = replace(docs, sensors=docs.sensors.withColumns({c: F.lit(None).cast("double") for c in ("latitude", "longitude")}))
+    assert P.heat_points(bare).count() == P.heat_points(docs).count() > 0
 
 
 def test_strict_parse(spark):

@@ -55,6 +55,14 @@ def test_geojson_load_defaults(spark, tmp_path):
     assert out[2]["perimetre"] == 0.0 and out[1]["is_real_paris"]
 
 
+def test_ids_do_not_repeat_over_several_files(spark, tmp_path):
+    for i in range(3):
+        _write_geojson(tmp_path, [_feature({"l_qu": f"{i}-{k}"}) for k in range(4)])
+        (tmp_path / "q.geojson").rename(tmp_path / f"{i}.json")
+    got = sorted((r["id_quartier"], r["nom"]) for r in Q.quartiers_from_geojson(Q.read_features(spark, str(tmp_path))).collect())
+    assert got == [(1 + 4 * i + k, f"{i}-{k}") for i in range(3) for k in range(4)]
+
+
 @pytest.mark.skipif(not MAPPING or not os.path.exists(MAPPING), reason="set TRANSITLAKE_DISTRICT_MAPPING")
 def test_mapping_reproduces_committed_file(spark, tmp_path):
     golden = json.load(open(MAPPING, encoding="utf-8"))

@@ -47,13 +47,36 @@ def test_unwound_views_equal(net, max_items):
     assert attached.exceptAll(m).count() == 0 and m.exceptAll(attached).count() == 0
 
 
-def test_small_chunks_split_documents(net):
+def test_documents_are_bounded_and_numbered_from_zero(net):
     docs = nest.nest_arrets(net, max_items=7)
-    assert docs.filter(F.col("part") > 0).count() > 0
-    biggest = docs.select(F.aggregate("capteurs", F.lit(0), lambda a, c: a + F.size(c["mesures"])).alias("n"),
-                          F.size("horaires").alias("h")).agg(F.max("n"), F.max("h")).first()
-    # each sensor chunk is bounded (3 sensors per stop here), timetable chunks too
-    assert biggest[0] <= 3 * 4 * 7 and biggest[1] <= 4 * 7
+    sizes = docs.select("id_arret", "part", F.aggregate("capteurs", F.lit(0), lambda a, c: a + F.greatest(F.lit(1), F.size(c["mesures"]))).alias("n"),
+                        F.size("horaires").alias("h"), F.size("quartiers").alias("q")).collect()
+    assert max(r["n"] for r in sizes) == 7 and max(max(r["h"], r["q"]) for r in sizes) <= 7
+    parts = {}
+    for r in sizes:
+        parts.setdefault(r["id_arret"], []).append(r["part"])
+    assert all(sorted(p) == list(range(len(p))) for p in parts.values())
+    assert {r["part"] for r in nest.nest_arrets(net).select("part").collect()} == {0}
+
+
+def test_hot_parent_is_spread(spark, net):
+    """One sensor with 20000 measures: bounded documents, in several tasks, with broadcasts off."""
+    from transitlake.sources.binding import network_from_frames
+    hot = spark.range(20_000).select(F.lit(net.Capteur.first()["id_capteur"]).alias("id_capteur"),
+                                     F.lit("2050-01-01 00:00:00").cast("timestamp_ntz").alias("horodatage"),
+                                     F.col("id").cast("double").alias("valeur"), F.lit("x").alias("unite"))
+    n2 = network_from_frames({**net.tables(), "Mesure": hot})
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = nest.sensor_lists(n2, 100).select("part", F.spark_partition_id().alias("task"),
+                                                F.expr("aggregate(capteurs, 0, (a, c) -> a + size(c.mesures))").alias("n")).where("n > 1").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in got) == 20_000 and max(r["n"] for r in got) <= 100 and len({r["task"] for r in got}) >= 4
 
 
 @pytest.mark.parametrize("letter", list(D.REPORTS))
@@ -67,15 +90,25 @@ def test_validation_rejects_null_line(spark, net):
     from transitlake.sources.binding import network_from_frames
     bad = net.Arret.withColumn("id_ligne", F.when(F.col("id_arret") == 1, None).otherwise(F.col("id_ligne")))
     n2 = network_from_frames({**net.tables(), "Arret": bad})
-    with pytest.raises(ValueError, match="id_ligne"):
-        nest.nest_arrets(n2)
+    with pytest.raises(Exception, match="NULL in id_ligne"):
+        nest.nest_arrets(n2).collect()
 
 
 def test_many_to_one_check(spark, net):
     from transitlake.sources.binding import network_from_frames
     dup = net.Chauffeur.unionByName(net.Chauffeur.limit(1))
-    with pytest.raises(ValueError, match="many-to-one"):
-        nest.nest_vehicules(network_from_frames({**net.tables(), "Chauffeur": dup}))
+    with pytest.raises(Exception, match="many-to-one"):
+        nest.nest_vehicules(network_from_frames({**net.tables(), "Chauffeur": dup})).collect()
+
+
+def test_missing_incident_list_is_not_an_empty_one(spark, net):
+    """Report f asks for a list that is there and empty; report c counts a missing one as 0."""
+    docs = nest.nest_trafic(net).withColumn("incidents", F.when(F.col("id_trafic") < 0, F.col("incidents")))
+    from dataclasses import replace
+    from transitlake.operators.docviews import trafic_views
+    d = replace(DocViews.from_network(net), **trafic_views(docs))
+    assert D.report_f(d).count() == 0
+    assert {r["incident_taux"] for r in D.report_c(d).collect()} == {0.0}
 
 
 def test_load_statistics(net):

@@ -96,8 +96,44 @@ def test_session_time_zone_does_not_move_days(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     try:
-        net = binding._bind(spark, SF_SMALL)
+        net = binding.bind_network(spark, SF_SMALL)
         assert sorted(R.report_b(net).collect(), key=str) == base
     finally:
         spark.conf.set("spark.sql.session.timeZone", tz)
         spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
+
+
+def test_appended_files_are_seen_in_the_same_session(spark, tmp_path):
+    from transitlake.plans import catalog
+    tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    for t in tables:
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    count = lambda: {r[0]: r[1] for r in catalog.build()["M7_load_statistics"](spark, str(tmp_path)).collect()}["mesures"]
+    n = count()
+    spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert count() == 2 * n > 0
+
+
+def test_text_tables_fail_on_a_bad_date(spark, tmp_path):
+    import pytest
+    from transitlake.sources.binding import read_network
+    net = bind_network(spark, SF_SMALL)
+    for name, df in net.tables().items():
+        df.limit(20).select([F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes]) \
+            .write.option("header", True).csv(str(tmp_path / name))
+    back = read_network(spark, str(tmp_path), "csv")
+    assert back.Trafic.schema["horodatage"].dataType == net.Trafic.schema["horodatage"].dataType
+    assert back.Trafic.where("horodatage is null").count() == 0 and back.Trafic.count() == 20
+    spark.createDataFrame([(1, 1, "2045-13-45 99:00:00", 3, "x")], "id_trafic long, id_ligne long, horodatage string, retard_minutes long, evenement string") \
+        .write.mode("append").option("header", True).csv(str(tmp_path / "Trafic"))
+    with pytest.raises(Exception):
+        read_network(spark, str(tmp_path), "csv").Trafic.collect()
+
+
+def test_growing_reports_are_written_in_parts(spark, tmp_path):
+    df = spark.range(100).repartition(4).select(F.col("id").alias("id_capteur"), *[F.lit(1.0).alias(c) for c in ("latitude", "longitude", "valeur")],
+                                                F.lit("x").alias("niveau_pollution"))
+    files.write_report(df, str(tmp_path / "m"), "m")
+    parts = [f for f in os.listdir(tmp_path / "m") if f.endswith(".csv")]
+    assert len(parts) > 1 and files.read_report(spark, str(tmp_path / "m"), "m").count() == 100
+    assert all(open(tmp_path / "m" / f).readline().startswith("id_capteur,") for f in parts)

@@ -80,42 +80,10 @@ def delay_class(avg) -> Column:
     return band(avg, DELAY_BANDS, DELAY_ELSE)
 
 
-# Largest dimension (rows) that the reports broadcast explicitly.
-BROADCAST_MAX_ROWS = 2_000_000
-
-# Row counts of dimension frames, memoised per frame object (the bound tables
-# are reused for the whole session, so each dimension is counted once).
-_ROWS: dict[int, tuple[object, int]] = {}
-
-
-def counted_rows(df) -> int:
-    hit = _ROWS.get(id(df))
-    if hit is None or hit[0] is not df:
-        hit = (df, df.count())
-        _ROWS[id(df)] = hit
-    return hit[1]
-
-
-def broadcast_if_small(df, max_rows: int | None = None, bound_of=None):
-    """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows
-    (default ``BROADCAST_MAX_ROWS``), else None so the caller takes its
-    shuffle-based plan. ``bound_of`` may name a base table whose row count
-    bounds ``df`` (e.g. the sensor table for a map derived from it); the
-    count is taken once per frame and session. Only for dimensions."""
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if counted_rows(df if bound_of is None else bound_of) <= limit else None
-
-
-def sized_dimension(df, bound_of=None):
-    """The dimension itself, broadcast when a count proves it small."""
-    small = broadcast_if_small(df, bound_of=bound_of)
-    return small if small is not None else df
-
-
 def int_div_trunc(a, b) -> Column:
-    """Integer division truncating toward zero on longs; NULL when b is 0."""
+    """Exact a / b truncating toward zero for decimal(38,0) operands; NULL when b is 0."""
     a, b = col_(a), col_(b)
-    return F.when(b != 0, ((a - a % b) / b).cast("long"))
+    return F.when(b != 0, (a - a % b) / b)
 
 
 def pearson(n, sx, sy, sxx, syy, sxy, truncate_y: bool = False) -> Column:
@@ -124,19 +92,17 @@ def pearson(n, sx, sy, sxx, syy, sxy, truncate_y: bool = False) -> Column:
     (Sxy - Sx*Sy/N) / sqrt((Sxx - Sx^2/N) * (Syy - Sy^2/N)); NULL when a
     variance is zero or N is zero (never an error, unlike ``corr`` under ANSI).
     ``truncate_y`` reproduces SQL engines that evaluate
-    ``SUM(int)*SUM(int)/COUNT(*)`` in integer arithmetic: Sy and Syy are
-    integer sums and the division truncates; on long overflow the product
-    falls back to real arithmetic.
+    ``SUM(int)*SUM(int)/COUNT(*)`` in integer arithmetic: N, Sy and Syy are
+    decimal(38,0) sums, the product and the division are exact, and a value
+    beyond 38 digits fails the query instead of changing it.
     """
     n, sx, sy, sxx, syy, sxy = (col_(c) for c in (n, sx, sy, sxx, syy, sxy))
     nd = n.cast("double")
     cov = sxy - F.try_divide(sx * sy, nd)
     vx = sxx - F.try_divide(sx * sx, nd)
     if truncate_y:
-        y_sq = F.try_multiply(sy.cast("long"), sy.cast("long"))
-        y_term = F.coalesce(int_div_trunc(y_sq, n).cast("double"),
-                            F.try_divide(sy.cast("double") * sy.cast("double"), nd))
-        vy = syy.cast("double") - y_term
+        exact = sy.cast("decimal(38,0)")
+        vy = syy.cast("double") - int_div_trunc(exact * exact, n.cast("decimal(38,0)")).cast("double")
     else:
         syd = sy.cast("double")
         vy = syy.cast("double") - F.try_divide(syd * syd, nd)

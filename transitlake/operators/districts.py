@@ -23,14 +23,22 @@ FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """A GeoJSON FeatureCollection → one row per feature with its 0-based
-    position. A FeatureCollection is a single JSON document, so each file is
+    """GeoJSON FeatureCollections → one row per feature with its 0-based position, over all files of
+    ``path`` in file order. A FeatureCollection is a single JSON document, so each file is
     parsed by one task; the explode then fans the features out."""
     fc = spark.read.schema(FEATURES).option("multiLine", True).json(path)
-    return fc.select(F.posexplode("features").alias("idx", "f")).select(
+    rows = fc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("at", "f"))
+    return with_position(rows, [], ["file", "at"], name="idx").select(
         "idx", F.col("f.properties").alias("p"), F.col("f.geometry").alias("geometry"))
 
 
+def features_of(quartiers: DataFrame) -> DataFrame:
+    """District documents as the rows of a FeatureCollection, in id order (properties that a document lacks stay NULL)."""
+    props = F.struct(F.col("nom").alias(PROP_NAME), F.col("code_quartier").alias(PROP_CODE), F.col("arrondissement").alias(PROP_ARR),
+                     F.col("surface").alias(PROP_SURFACE), F.col("perimetre").alias(PROP_PERIMETER))
+    return with_position(quartiers, [], ["id_quartier"], name="idx").select("idx", props.alias("p"), "geometry")
+
+
 def quartiers_from_geojson(features: DataFrame) -> DataFrame:
     """M5: one district per feature, id = position + 1, defaults for missing
     properties, flagged as real."""

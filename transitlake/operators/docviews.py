@@ -82,44 +82,59 @@ class DocViews:
         """Unwind stored collections (nested parquet written by the nest jobs).
 
         Documents split into overflow parts (``part`` > 0, see
-        ``operators.nest``) repeat the parent fields and carry further chunks:
+        ``operators.nest``) repeat the parent fields and carry further children:
         parent-level views read part 0, child-level views read every part.
         The stored arrays are exploded, never collected.
         """
-        def head(df):
-            return df.filter(F.col("part") == 0) if "part" in df.columns else df
-
-        coords = F.col("location.coordinates")
-        stops = head(arrets).select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
-                                    F.get(coords, 0).alias("longitude"))
-        # every child sits in exactly one part; parent fields repeat in each part
-        districts = arrets.select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
-            "id_arret", "id_ligne", F.col("q.id_quartier").alias("id_quartier"), F.col("q.nom").alias("quartier_nom"))
-        cap = arrets.select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
-                            F.get(coords, 0).alias("longitude"), F.explode("capteurs").alias("c"))
-        sensors = cap.select("id_arret", "nom", "id_ligne", "latitude", "longitude",
-                             F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
-                             F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
-                             F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
-        if "part" in arrets.columns:  # a sensor has one entry per measure chunk
-            sensors = sensors.distinct()
-        measures = (cap.select(F.col("c.id_capteur").alias("id_capteur"), F.explode("c.mesures").alias("m"))
-                    .select("id_capteur", F.col("m.horodatage").alias("horodatage"),
-                            F.col("m.valeur").alias("valeur"), F.col("m.unite").alias("unite")))
-        timetable = (arrets.select("id_arret", F.explode("horaires").alias("h"))
-                     .select("id_arret", "h.id_vehicule", "h.heure_prevue", "h.heure_effective",
-                             "h.passagers_estimes"))
-        vehicles = vehicules.select("id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite",
-                                    F.col("chauffeur.id_chauffeur").alias("id_chauffeur"),
-                                    F.col("chauffeur.nom").alias("chauffeur_nom"),
-                                    F.col("chauffeur.date_embauche").alias("date_embauche"))
-        n_inc = F.size(F.coalesce("incidents", F.array())).cast("long")
-        base = ["id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement"]
-        if "part" in trafic.columns:
-            sizes = trafic.groupBy("id_trafic").agg(F.sum(n_inc).alias("n_incidents"))
-            traffic = head(trafic).select(*base).join(sizes, "id_trafic").select(*base, "n_incidents")
-        else:
-            traffic = trafic.select(*base, n_inc.alias("n_incidents"))
-        incidents = trafic.select("id_trafic", F.explode("incidents").alias("i")).select(
-            "id_trafic", "i.description", "i.gravite", "i.horodatage")
-        return DocViews(lignes, stops, districts, sensors, measures, timetable, vehicles, traffic, incidents)
+        return DocViews(lignes=lignes, **arret_views(arrets), **vehicule_views(vehicules), **trafic_views(trafic))
+
+
+def _head(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("part") == 0) if "part" in df.columns else df
+
+
+def arret_views(arrets: DataFrame) -> dict[str, DataFrame]:
+    """The views that unwind the stop collection."""
+    coords = F.col("location.coordinates")
+    stops = _head(arrets).select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
+                                F.get(coords, 0).alias("longitude"))
+    # every child sits in exactly one part; parent fields repeat in each part
+    districts = arrets.select("id_arret", "id_ligne", F.explode("quartiers").alias("q")).select(
+        "id_arret", "id_ligne", F.col("q.id_quartier").alias("id_quartier"), F.col("q.nom").alias("quartier_nom"))
+    cap = arrets.select("id_arret", "nom", "id_ligne", F.get(coords, 1).alias("latitude"),
+                        F.get(coords, 0).alias("longitude"), F.explode("capteurs").alias("c"))
+    sensors = cap.select("id_arret", "nom", "id_ligne", "latitude", "longitude",
+                         F.col("c.id_capteur").alias("id_capteur"), F.col("c.type_capteur").alias("type_capteur"),
+                         F.get(F.col("c.location.coordinates"), 1).alias("cap_latitude"),
+                         F.get(F.col("c.location.coordinates"), 0).alias("cap_longitude"))
+    if "part" in arrets.columns:  # a sensor has an entry in each part that holds measures of it
+        sensors = sensors.distinct()
+    measures = (cap.select(F.col("c.id_capteur").alias("id_capteur"), F.explode("c.mesures").alias("m"))
+                .select("id_capteur", F.col("m.horodatage").alias("horodatage"),
+                        F.col("m.valeur").alias("valeur"), F.col("m.unite").alias("unite")))
+    timetable = (arrets.select("id_arret", F.explode("horaires").alias("h"))
+                 .select("id_arret", "h.id_vehicule", "h.heure_prevue", "h.heure_effective",
+                         "h.passagers_estimes"))
+    return {"stops": stops, "stop_districts": districts, "sensors": sensors, "measures": measures, "timetable": timetable}
+
+
+def vehicule_views(vehicules: DataFrame) -> dict[str, DataFrame]:
+    vehicles = vehicules.select("id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite",
+                                F.col("chauffeur.id_chauffeur").alias("id_chauffeur"),
+                                F.col("chauffeur.nom").alias("chauffeur_nom"),
+                                F.col("chauffeur.date_embauche").alias("date_embauche"))
+    return {"vehicles": vehicles}
+
+
+def trafic_views(trafic: DataFrame) -> dict[str, DataFrame]:
+    """``n_incidents`` is the size of the stored array: NULL where the array is missing."""
+    n_inc = F.when(F.col("incidents").isNotNull(), F.size("incidents")).cast("long")
+    base = ["id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement"]
+    if "part" in trafic.columns:
+        sizes = trafic.groupBy("id_trafic").agg(F.sum(n_inc).alias("n_incidents"))
+        traffic = _head(trafic).select(*base).join(sizes, "id_trafic").select(*base, "n_incidents")
+    else:
+        traffic = trafic.select(*base, n_inc.alias("n_incidents"))
+    incidents = trafic.select("id_trafic", F.explode("incidents").alias("i")).select(
+        "id_trafic", "i.description", "i.gravite", "i.horodatage")
+    return {"traffic": traffic, "incidents": incidents}

@@ -1,17 +1,13 @@
 """Nest jobs: relational tables → document collections (M1–M4) and their
 load statistics (M7).
 
-Arrays are built with ``groupBy(...).agg(collect_list(struct))``. A child
-list can be arbitrarily long (one sensor may own a third of all measures),
-so lists are cut into chunks of at most about ``max_items`` elements: the
-children of a parent with c rows are spread over ceil(2c / max_items)
-parts by a hash of a scan-time row id (deterministic on recomputation), and
-a parent with several parts is stored as several documents (every part
-repeats the parent fields; each child appears in exactly one part). Lists of
-list entries are chunked the same way: a stop's sensor entries (one per
-sensor and measure chunk) and its districts, so no document grows with the
-data whatever the skew. With ``max_items`` above every
-group size, each parent is exactly one document, as in the reference.
+A child list can be arbitrarily long (one sensor may own a third of all measures), so a parent is
+stored as one or more documents, ``part`` 0, 1, ...: children are numbered within their parent
+(``with_position``, a range partitioning that splits a hot parent over many tasks) and part p holds
+the children at positions [p * max_items, (p + 1) * max_items). Every part repeats the parent's fields.
+A stop's document holds at most ``max_items`` measures (a sensor without measures counts as one),
+``max_items`` timetable rows and ``max_items`` districts, whatever the skew; a parent whose lists all fit is
+exactly one document. Lists are grouped by (parent, part), so the parts of a hot parent land in different tasks.
 ``DocViews.from_collections`` unwinds either form.
 """
 
@@ -22,50 +18,30 @@ from pyspark.sql import functions as F
 
 from transitlake import schema as S
 from transitlake.operators.docviews import TS_TEXT
+from transitlake.operators.positional import with_position
 from transitlake.sources.binding import Network
 
 DEFAULT_MAX_ITEMS = 50_000
 
 
-def require_not_null(df: DataFrame, columns: list[str], job: str) -> None:
-    """Fail the job when a column that the documents store as an integer is NULL."""
-    cond = None
-    for c in columns:
-        cond = F.col(c).isNull() if cond is None else cond | F.col(c).isNull()
-    bad = df.filter(cond).limit(1).count()
-    if bad:
-        raise ValueError(f"{job}: NULL in {', '.join(columns)}; the document form cannot hold it")
-
-
-def require_unique(df: DataFrame, key: str, job: str) -> None:
-    """Many-to-one validation of a lookup table."""
-    dup = df.groupBy(key).count().filter(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"{job}: key {key} repeats in the right-hand table (many-to-one expected)")
-
-
-def chunked_lists(df: DataFrame, key: str, item: Column, order: Column | None, max_items: int,
-                  salt_cols: list[str] | None = None) -> DataFrame:
-    """(key, part, items): children of each parent as sorted lists of at most
-    ~max_items. Counts per key are a partial/final aggregate; the salt spreads
-    a hot key over many tasks. ``salt_cols`` must identify a child uniquely
-    (deterministic hash); without them the salt is a scan-time row id, so
-    ``df`` must then be a plain scan/projection (same ids on recomputation).
-    ``order=None`` sorts the items by their own fields (cheaper than a
-    separate sort key)."""
-    base = df.filter(F.col(key).isNotNull())
-    if salt_cols:
-        salt = F.xxhash64(*[F.col(c) for c in salt_cols])
-    else:
-        base = base.withColumn("_rid", F.monotonically_increasing_id())
-        salt = F.xxhash64("_rid", key)
-    counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_c") * 2 / F.lit(max_items))).cast("long")
-    salted = base.join(counts, key).withColumn("part", F.pmod(salt, parts).cast("long"))
-    grouped = salted.groupBy(key, "part")
-    if order is None:
-        return grouped.agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return (grouped.agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), item.alias("_i")))).alias("_l"))
+def required(name: str, job: str) -> Column:
+    """The column, failing the job where it is NULL: the document form cannot hold it. The check rides
+    on the pass that builds the documents."""
+    problem = F.raise_error(F.lit(f"{job}: NULL in {name}; the document form cannot hold it"))
+    return F.when(F.col(name).isNull(), problem).otherwise(F.col(name)).alias(name)
+
+
+def in_parts(df: DataFrame, key: str, order: list[str], max_items: int) -> DataFrame:
+    """``df`` with ``part``, the run of ``max_items`` children that a row falls in."""
+    rows = with_position(df.filter(F.col(key).isNotNull()), [key], order)
+    return rows.withColumn("part", F.floor(F.col("pos") / max_items)).drop("pos")
+
+
+def lists(df: DataFrame, key: str, order: list[str], item: Column, max_items: int) -> DataFrame:
+    """(key, part, items): children of each parent in ``order``, at most ``max_items`` in a list."""
+    sort = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).alias("_o")
+    return (in_parts(df, key, order, max_items).groupBy(key, "part")
+            .agg(F.sort_array(F.collect_list(F.struct(sort, item.alias("_i")))).alias("_l"))
             .select(key, "part", F.transform("_l", lambda x: x["_i"]).alias("items")))
 
 
@@ -78,78 +54,68 @@ def nest_lignes(net: Network) -> DataFrame:
     return net.Ligne
 
 
+def sensor_lists(net: Network, max_items: int) -> DataFrame:
+    """(id_arret, part, capteurs): sensors in id order, each with its measures of the part in time order."""
+    caps = net.Capteur.filter(F.col("id_arret").isNotNull())
+    rows = caps.join(net.Mesure.withColumn("present", F.lit(True)), "id_capteur", "left")
+    order = ["id_capteur", "horodatage", "valeur", "unite"]
+    placed = in_parts(rows, "id_arret", order, max_items)
+    measure = F.when(F.col("present"), F.struct("horodatage", F.coalesce(F.col("valeur"), F.lit(float("nan"))).alias("valeur"),
+                                                "unite"))
+    entry = F.struct("id_capteur", "type_capteur", _point("longitude", "latitude").alias("location"), "mesures")
+    return (placed.groupBy("id_arret", "part", "id_capteur", "type_capteur", "longitude", "latitude")
+            .agg(F.sort_array(F.collect_list(measure)).alias("mesures"))
+            .groupBy("id_arret", "part").agg(F.sort_array(F.collect_list(entry)).alias("capteurs")))
+
+
 def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True) -> DataFrame:
     """M2: stop documents with location, districts, sensors (+ measures) and
     timetable. Missing lists are empty; NULL passenger counts become NaN and
     timetable times stay text, as in the reference's documents."""
-    if validate:
-        require_not_null(net.Arret, ["id_ligne"], "nest_arrets")
-    measure = F.struct(F.col("horodatage"), F.coalesce(F.col("valeur"), F.lit(float("nan"))).alias("valeur"),
-                       F.col("unite"))
-    m_chunks = chunked_lists(net.Mesure, "id_capteur", measure, None, max_items)  # ordered by time, value, unit
-    # one entry per (sensor, measure chunk); a sensor without measures gets one
-    # entry with an empty list. Entries are then chunked per stop like any list.
-    caps = net.Capteur.filter(F.col("id_arret").isNotNull())
-    entries = (caps.join(m_chunks.withColumnRenamed("part", "mpart"), "id_capteur", "left")
-               .withColumn("mpart", F.coalesce("mpart", F.lit(0).cast("long"))))
-    entry = F.struct(F.col("id_capteur"), F.col("type_capteur"), _point("longitude", "latitude").alias("location"),
-                     F.coalesce("items", F.array().cast(S.CAPTEUR_DOC["mesures"].dataType)).alias("mesures"))
-    cap_lists = chunked_lists(entries, "id_arret", entry, F.struct("id_capteur", "mpart"), max_items,
-                              salt_cols=["id_capteur", "mpart"]).withColumnRenamed("items", "capteurs")
-
-    h = net.Horaire
     h_item = F.struct(F.col("id_vehicule"), F.date_format("heure_prevue", TS_TEXT).alias("heure_prevue"),
                       F.date_format("heure_effective", TS_TEXT).alias("heure_effective"),
                       F.coalesce(F.col("passagers_estimes").cast("double"), F.lit(float("nan")))
                       .alias("passagers_estimes"))
-    h_lists = chunked_lists(h, "id_arret", h_item, F.struct("id_horaire"), max_items) \
-        .withColumnRenamed("items", "horaires")
-
+    horaires = lists(net.Horaire, "id_arret", ["id_horaire"], h_item, max_items).withColumnRenamed("items", "horaires")
     bridge = net.ArretQuartier.join(net.Quartier.select("id_quartier", "nom"), "id_quartier")
-    q = chunked_lists(bridge, "id_arret", F.struct("id_quartier", "nom"), None,
-                      max_items, salt_cols=["id_arret", "id_quartier"]).withColumnRenamed("items", "quartiers")
-
-    keys = (net.Arret.select("id_arret", F.lit(0).cast("long").alias("part"))
-            .unionByName(cap_lists.select("id_arret", "part"))
-            .unionByName(q.select("id_arret", "part"))
-            .unionByName(h_lists.select("id_arret", "part")).distinct())
-    docs = (net.Arret.join(keys, "id_arret")
-            .join(q, ["id_arret", "part"], "left")
-            .join(cap_lists, ["id_arret", "part"], "left")
-            .join(h_lists, ["id_arret", "part"], "left"))
+    quartiers = lists(bridge, "id_arret", ["id_quartier", "nom"], F.struct("id_quartier", "nom"), max_items) \
+        .withColumnRenamed("items", "quartiers")
+    parts = (sensor_lists(net, max_items).join(horaires, ["id_arret", "part"], "full")
+             .join(quartiers, ["id_arret", "part"], "full"))
+    docs = net.Arret.join(parts, "id_arret", "left")
+
+    def listed(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(S.ARRETS[name].dataType)).alias(name)
+
     return docs.select(
-        "id_arret", "part", "nom", "id_ligne", _point("longitude", "latitude").alias("location"),
-        "latitude", "longitude",
-        F.coalesce("quartiers", F.array().cast(S.ARRETS["quartiers"].dataType)).alias("quartiers"),
-        F.coalesce("capteurs", F.array().cast(S.ARRETS["capteurs"].dataType)).alias("capteurs"),
-        F.coalesce("horaires", F.array().cast(S.ARRETS["horaires"].dataType)).alias("horaires"))
+        "id_arret", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "nom",
+        required("id_ligne", "nest_arrets") if validate else F.col("id_ligne"),
+        _point("longitude", "latitude").alias("location"), "latitude", "longitude",
+        listed("quartiers"), listed("capteurs"), listed("horaires"))
 
 
 def nest_vehicules(net: Network, validate: bool = True) -> DataFrame:
-    """M3: vehicles with their driver as a sub-document (left join, the
-    driver table validated as many-to-one)."""
-    if validate:
-        require_unique(net.Chauffeur, "id_chauffeur", "nest_vehicules")
-        require_not_null(net.Vehicule, ["id_ligne", "id_chauffeur", "capacite"], "nest_vehicules")
-    drv = net.Chauffeur.select(F.col("id_chauffeur").alias("c_id"), F.col("nom").alias("c_nom"), "date_embauche")
+    """M3: vehicles with their driver as a sub-document (left join; a driver id that repeats fails the job, J8)."""
+    drv = net.Chauffeur.groupBy(F.col("id_chauffeur").alias("c_id")).agg(
+        F.max("nom").alias("c_nom"), F.max("date_embauche").alias("date_embauche"), F.count(F.lit(1)).alias("c_n"))
     v = net.Vehicule.join(drv, F.col("id_chauffeur") == F.col("c_id"), "left")
-    return v.select("id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite",
-                    F.struct(F.col("id_chauffeur"), F.col("c_nom").alias("nom"), F.col("date_embauche"))
-                    .alias("chauffeur"))
+    name = F.col("c_nom")
+    if validate:
+        repeats = F.raise_error(F.lit("nest_vehicules: key id_chauffeur repeats in the right-hand table (many-to-one expected)"))
+        name = F.when(F.col("c_n") > 1, repeats).otherwise(name)
+    own = [required(c, "nest_vehicules") if validate else F.col(c) for c in ("id_ligne", "capacite", "id_chauffeur")]
+    return v.select("id_vehicule", "immatriculation", own[0], "type_vehicule", own[1],
+                    F.struct(own[2], name.alias("nom"), F.col("date_embauche")).alias("chauffeur"))
 
 
 def nest_trafic(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True) -> DataFrame:
     """M4: traffic rows with their incidents (empty list when none)."""
-    if validate:
-        require_not_null(net.Trafic, ["id_ligne", "retard_minutes"], "nest_trafic")
     item = F.struct("description", "gravite", "horodatage")
-    inc = chunked_lists(net.Incident, "id_trafic", item, F.struct("horodatage", "id_incident", "description",
-                                                                   "gravite"), max_items) \
+    inc = lists(net.Incident, "id_trafic", ["horodatage", "id_incident", "description", "gravite"], item, max_items) \
         .withColumnRenamed("items", "incidents")
-    keys = (net.Trafic.select("id_trafic", F.lit(0).cast("long").alias("part"))
-            .unionByName(inc.select("id_trafic", "part")).distinct())
-    docs = net.Trafic.join(keys, "id_trafic").join(inc, ["id_trafic", "part"], "left")
-    return docs.select("id_trafic", "part", "id_ligne", "horodatage", "retard_minutes", "evenement",
+    docs = net.Trafic.join(inc, "id_trafic", "left")
+    line, delay = [required(c, "nest_trafic") if validate else F.col(c) for c in ("id_ligne", "retard_minutes")]
+    return docs.select("id_trafic", F.coalesce("part", F.lit(0)).cast("long").alias("part"), line, "horodatage", delay, "evenement",
                        F.coalesce("incidents", F.array().cast(S.TRAFIC_DOC["incidents"].dataType))
                        .alias("incidents"))
 
@@ -157,21 +123,13 @@ def nest_trafic(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
 def load_statistics(net: Network, quartiers: DataFrame | None = None) -> DataFrame:
     """M7: rows per collection. Measures and incidents are counted before they
     are attached (orphans included), as the reference's summary does."""
-    parts = [
-        net.Ligne.agg(F.lit("lignes").alias("collection"), F.count(F.lit(1)).alias("n")),
-        net.Arret.agg(F.lit("arrets").alias("collection"), F.count(F.lit(1)).alias("n")),
-        net.Vehicule.agg(F.lit("vehicules").alias("collection"), F.count(F.lit(1)).alias("n")),
-        net.Trafic.agg(F.lit("trafic").alias("collection"), F.count(F.lit(1)).alias("n")),
-        net.Mesure.filter(F.col("id_capteur").isNotNull())
-        .agg(F.lit("mesures").alias("collection"), F.count(F.lit(1)).alias("n")),
-        net.Incident.filter(F.col("id_trafic").isNotNull())
-        .agg(F.lit("incidents").alias("collection"), F.count(F.lit(1)).alias("n")),
-    ]
+    counted = {"lignes": net.Ligne, "arrets": net.Arret, "vehicules": net.Vehicule, "trafic": net.Trafic,
+               "mesures": net.Mesure.filter(F.col("id_capteur").isNotNull()),
+               "incidents": net.Incident.filter(F.col("id_trafic").isNotNull())}
     if quartiers is not None:
-        parts.append(quartiers.agg(F.lit("quartiers").alias("collection"), F.count(F.lit(1)).alias("n")))
-        parts.append(quartiers.filter(F.col("is_real_paris"))
-                     .agg(F.lit("quartiers_reels").alias("collection"), F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        counted |= {"quartiers": quartiers, "quartiers_reels": quartiers.filter(F.col("is_real_paris"))}
+    out = None
+    for name, rows in counted.items():
+        one = rows.agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
     return out

@@ -22,14 +22,24 @@ from transitlake.session import checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
+_TARGET_BYTES = 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's leaves (files, tables) by Spark's own statistics; 0 for what has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def with_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based position of each row within its group (all rows when
     ``group_cols`` is empty), following ``order_cols`` (make them a total
-    order for repeatable positions)."""
+    order for repeatable positions). The number of range partitions follows the input's size."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // _TARGET_BYTES))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     mid = F.monotonically_increasing_id()
     ranked = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

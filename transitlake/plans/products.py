@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import broadcast_if_small, day_of, nan_to_null
+from transitlake.functions.calc import day_of, nan_to_null
 from transitlake.operators.docviews import DocViews
 from transitlake.plans import reports_doc
 
@@ -21,14 +21,15 @@ UNKNOWN = "Inconnu"
 NAMELESS_STOP = "Arrêt sans nom"
 DEFAULT_CENTRE = (48.8566, 2.3522)
 CO2_LEVELS = ("all", "low", "medium", "high")
-TREND_WHOLE_NETWORK_OVER = 2000
 
 
 # --- D1–D3: start-up maps and options ----------------------------------------
 
 def line_vehicle_map(d: DocViews) -> DataFrame:
     """First vehicle type per line (first = lowest vehicle id)."""
-    return d.vehicles.groupBy("id_ligne").agg(F.min_by("type_vehicule", "id_vehicule").alias("type_vehicule"))
+    first = d.vehicles.groupBy("id_ligne").agg(F.min("id_vehicule").alias("id_vehicule"))
+    return (d.vehicles.select("id_ligne", "id_vehicule", "type_vehicule").join(first, ["id_ligne", "id_vehicule"])
+            .select("id_ligne", "type_vehicule"))
 
 
 def stop_line_counts(d: DocViews) -> DataFrame:
@@ -47,18 +48,23 @@ def vehicle_options(d: DocViews) -> DataFrame:
     return line_vehicle_map(d).select(F.col("type_vehicule").alias("label")).distinct().orderBy("label")
 
 
+# Below, bands, colours, labels and factors are fixed values of the dashboard.
+
 # --- per-stop sensor summary (shared by D4 and D8) ---------------------------
 
-def _sensor_means(d: DocViews, with_db_test: bool) -> DataFrame:
+def _sensor_means(d: DocViews, with_db_test: bool, stops: DataFrame | None = None) -> DataFrame:
     """Mean of each sensor's measures (sensors without measures are skipped),
     classified by substring of the type, then one value per stop and class:
-    the sensor last in list order (highest id) wins."""
-    per_sensor = d.measures.groupBy("id_capteur").agg(
-        (F.sum("valeur") / F.count(F.lit(1))).alias("avg"))
+    the sensor last in list order (highest id) wins. ``stops`` keeps only their sensors, before
+    any measure is aggregated."""
     t = F.col("type_capteur")
     noise = t.contains("Bruit") | F.lower(t).contains("db") if with_db_test else t.contains("Bruit")
     cls = F.when(t.contains("CO2"), "co2").when(noise, "bruit").when(t.contains("Temp"), "temp")
-    rows = d.sensors.select("id_arret", "id_capteur", cls.alias("cls")).join(per_sensor, "id_capteur")
+    sensors = d.sensors.select("id_arret", "id_capteur", cls.alias("cls"))
+    if stops is not None:
+        sensors = sensors.join(stops.select("id_arret"), "id_arret", "left_semi")
+    rows = (d.measures.select("id_capteur", "valeur").join(sensors, "id_capteur")
+            .groupBy("id_arret", "id_capteur", "cls").agg((F.sum("valeur") / F.count(F.lit(1))).alias("avg")))
 
     def last(c):
         return F.max_by(F.when(F.col("cls") == c, F.col("avg")), F.when(F.col("cls") == c, F.col("id_capteur")))
@@ -103,7 +109,8 @@ def stop_board(d: DocViews, id_ligne: int | None = None, vehicle_type: str | Non
         stops = stops.join(targets, "id_ligne", "left_semi")
     if id_ligne is not None:
         stops = stops.filter(F.col("id_ligne") == F.lit(id_ligne))
-    return _board_columns(_board_rows(d, stops).filter(_co2_filter(co2_level)))
+    chosen = stops if vehicle_type is not None or id_ligne is not None else None
+    return _board_columns(_board_rows(d, stops, chosen).filter(_co2_filter(co2_level)))
 
 
 class StopBoard:
@@ -132,10 +139,10 @@ class StopBoard:
         self.wide.unpersist()
 
 
-def _board_rows(d: DocViews, stops: DataFrame) -> DataFrame:
+def _board_rows(d: DocViews, stops: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     first_district = d.stop_districts.groupBy("id_arret").agg(
         F.min_by("quartier_nom", "id_quartier").alias("quartier"), F.count(F.lit(1)).alias("nq"))
-    return (stops.join(_sensor_means(d, with_db_test=True), "id_arret", "left")
+    return (stops.join(_sensor_means(d, with_db_test=True, stops=chosen), "id_arret", "left")
             .withColumn("co2", F.coalesce("co2", F.lit(0.0)))
             .join(first_district, "id_arret", "left")
             .join(line_vehicle_map(d).withColumnRenamed("type_vehicule", "v_type"), "id_ligne", "left")
@@ -155,32 +162,15 @@ def _board_columns(board: DataFrame) -> DataFrame:
         nan_to_null(_truthy_round("temp")).alias("temp_c"))
 
 
-def co2_trend(d: DocViews, selection: DataFrame | None = None,
-              whole_network_over: int = TREND_WHOLE_NETWORK_OVER) -> DataFrame:
+def co2_trend(d: DocViews, selection: DataFrame | None = None) -> DataFrame:
     """Daily mean CO2 over the stops whose *name* is in the selection
-    (a D4 frame); above ``whole_network_over`` selected rows, or with no
-    selection, the whole network. Columns: date (Date), moyenne_co2."""
-    stops = d.stops
+    (a D4 frame), or over the whole network when there is none. Columns: date (Date), moyenne_co2.
+    A selection filters whatever its size: names → stops → sensors → measures."""
+    sensors = d.sensors.filter(F.col("type_capteur") == "CO2")
     if selection is not None:
-        # the selected names (at most one row per stop) are materialised once
-        # in the shared checkpoint folder: counted, then used as the filter
-        from transitlake.session import checkpoint_dir
-        checkpoint_dir(selection.sparkSession)
-        names = selection.select(F.col("arret").alias("nom")).checkpoint(eager=True)
-        if names.count() <= whole_network_over:
-            stops = stops.join(names.distinct(), "nom", "left_semi")
-    sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret") \
-        .join(stops.select("id_arret"), "id_arret", "left_semi")
-    keys = sensors.select("id_capteur")
-    small = broadcast_if_small(keys, bound_of=d.sensors)
-    if small is not None:  # map-side filter of the measures, no fact shuffle
-        daily = d.measures.join(small, "id_capteur").groupBy(day_of("horodatage").alias("date")) \
-            .agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
-    else:  # reduce per (sensor, day) first, then keep the selected sensors
-        daily = (d.measures.groupBy("id_capteur", day_of("horodatage").alias("date"))
-                 .agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
-                 .join(keys, "id_capteur", "left_semi")
-                 .groupBy("date").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+        sensors = sensors.join(selection.select(F.col("arret").alias("nom")).distinct(), "nom", "left_semi")
+    daily = (d.measures.join(sensors.select("id_capteur"), "id_capteur", "left_semi")
+             .groupBy(day_of("horodatage").alias("date")).agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n")))
     return (daily.select("date", (F.col("s") / F.col("n")).alias("moyenne_co2"))
             .orderBy(F.asc_nulls_first("date"))
             .select("date", nan_to_null("moyenne_co2").alias("moyenne_co2")))
@@ -205,14 +195,13 @@ def map_centre(board: DataFrame) -> DataFrame:
 
 def heat_points(d: DocViews) -> DataFrame:
     """Per stop, mean of all measures of its CO2/pollution sensors; only
-    strictly positive means."""
-    sensors = d.sensors.filter(F.col("type_capteur").rlike("(?i)CO2|Pollution")) \
-        .filter(F.col("latitude").isNotNull() | F.col("longitude").isNotNull())
-    per_sensor = d.measures.groupBy("id_capteur").agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
-    per_stop = (per_sensor.join(sensors.select("id_capteur", "id_arret", "latitude", "longitude"), "id_capteur")
-                .groupBy("id_arret")
-                .agg(F.first("latitude").alias("lat"), F.first("longitude").alias("lon"),
-                     (F.sum("s") / F.sum("n")).alias("valeur")))
+    strictly positive means. A built document always has a location, so stops with NULL
+    coordinates stay."""
+    sensors = d.sensors.filter(F.col("type_capteur").rlike("(?i)CO2|Pollution"))
+    per_stop = (d.measures.select("id_capteur", "valeur")
+                .join(sensors.select("id_capteur", "id_arret", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")),
+                      "id_capteur")
+                .groupBy("id_arret", "lat", "lon").agg((F.sum("valeur") / F.count(F.lit(1))).alias("valeur")))
     return per_stop.filter(~F.isnan("valeur") & (F.col("valeur") > 0)).select("id_arret", "lat", "lon", "valeur")
 
 
@@ -241,9 +230,8 @@ def co2_by_quartier(d: DocViews) -> DataFrame:
     """Mean CO2 per district (id, name), highest first. Measures are
     reduced per stop, then spread over the stop's districts."""
     sensors = d.sensors.filter(F.col("type_capteur").rlike("(?i)CO2")).select("id_capteur", "id_arret")
-    per_sensor = d.measures.groupBy("id_capteur").agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
-    per_stop = per_sensor.join(sensors, "id_capteur").groupBy("id_arret").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"))
+    per_stop = d.measures.select("id_capteur", "valeur").join(sensors, "id_capteur").groupBy("id_arret").agg(
+        F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
     return (per_stop.join(d.stop_districts, "id_arret")
             .groupBy("id_quartier", F.col("quartier_nom").alias("nom_quartier"))
             .agg((F.sum("s") / F.sum("n")).alias("avg_co2"))

@@ -13,19 +13,18 @@ from transitlake.sources.binding import Network
 
 def parity(report: str, rel: DataFrame, doc: DataFrame) -> DataFrame:
     """Q1: one row comparing the two profiles of a report: row counts and
-    the rows found in only one of them (multiset difference, both ways).
+    the rows found in only one of them (multiset difference, both ways). Each profile is evaluated once:
+    both are tagged, united, and counted per distinct row.
     Doubles should be rounded by the caller to the tolerance wanted."""
-    only_rel = rel.exceptAll(doc).agg(F.count(F.lit(1)).alias("n"))
-    only_doc = doc.exceptAll(rel).agg(F.count(F.lit(1)).alias("n"))
-    tag = F.lit(report).alias("report")
-    parts = [rel.agg(tag, F.lit("n_rel").alias("measure"), F.count(F.lit(1)).alias("n")),
-             doc.agg(tag, F.lit("n_doc").alias("measure"), F.count(F.lit(1)).alias("n")),
-             only_rel.select(tag, F.lit("only_rel").alias("measure"), "n"),
-             only_doc.select(tag, F.lit("only_doc").alias("measure"), "n")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def tagged(df: DataFrame, r: int, d: int) -> DataFrame:
+        return df.select(*df.columns, F.lit(r).alias("_r"), F.lit(d).alias("_d"))
+
+    r, d = F.col("_r"), F.col("_d")
+    each = tagged(rel, 1, 0).unionByName(tagged(doc, 0, 1)).groupBy(*rel.columns).agg(F.sum("_r").alias("_r"), F.sum("_d").alias("_d"))
+    total = each.agg(F.sum(r).alias("n_rel"), F.sum(d).alias("n_doc"),
+                     F.sum(F.greatest(r - d, F.lit(0))).alias("only_rel"), F.sum(F.greatest(d - r, F.lit(0))).alias("only_doc"))
+    return total.unpivot([], ["n_rel", "n_doc", "only_rel", "only_doc"], "measure", "n").select(
+        F.lit(report).alias("report"), "measure", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def schema_catalogue(spark: SparkSession, net: Network) -> DataFrame:
@@ -44,11 +43,12 @@ def integrity(net: Network) -> DataFrame:
     tables = net.tables()
     out = None
     for child, ccol, parent, pcol in S.FOREIGN_KEYS:
-        keys = tables[parent].select(F.col(pcol).alias("_k")).distinct()
-        orphans = (tables[child].select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
-                   .join(keys, "_k", "left_anti"))
-        row = orphans.agg(F.lit(f"{child}.{ccol}").alias("fk"), F.lit(f"{parent}.{pcol}").alias("ref"),
-                          F.count(F.lit(1)).alias("orphans"))
+        keys = tables[parent].select(F.col(pcol).alias("_k"))
+        # only (key, count) of the child moves; a left anti join needs no distinct on the parent
+        used = tables[child].filter(F.col(ccol).isNotNull()).groupBy(F.col(ccol).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        row = used.join(keys, "_k", "left_anti").agg(
+            F.lit(f"{child}.{ccol}").alias("fk"), F.lit(f"{parent}.{pcol}").alias("ref"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import (broadcast_if_small, day_of, day_of_text, delay_class, nan_to_null,
-                                        pearson, pollution_level_doc, safe_div, sized_dimension)
+from transitlake.functions.calc import (day_of, day_of_text, delay_class, nan_to_null, pearson,
+                                        pollution_level_doc, safe_div)
 from transitlake.operators.docviews import DocViews
 from transitlake.sources.binding import BUS_TYPE
 
@@ -25,10 +25,11 @@ def _lines(d: DocViews) -> DataFrame:
 
 def _sensor_type_sums(d: DocViews, sensor_type: str, key: str) -> DataFrame:
     """(Σ valeur, n) of the measures of one sensor type, per ``key`` of the
-    owning stop (``id_arret`` or ``id_ligne``). NaN values propagate."""
-    per_sensor = d.measures.groupBy("id_capteur").agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n"))
+    owning stop (``id_arret`` or ``id_ligne``). NaN values propagate. The type filters the sensors
+    first, so the measures of other types leave at the join."""
     sensors = d.sensors.filter(F.col("type_capteur") == sensor_type).select("id_capteur", key)
-    return per_sensor.join(sensors, "id_capteur").groupBy(key).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return (d.measures.select("id_capteur", "valeur").join(sensors, "id_capteur")
+            .groupBy(key).agg(F.sum("valeur").alias("s"), F.count(F.lit(1)).alias("n")))
 
 
 def report_a(d: DocViews) -> DataFrame:
@@ -49,7 +50,7 @@ def report_b(d: DocViews) -> DataFrame:
 
 def report_c(d: DocViews) -> DataFrame:
     per_line = d.traffic.groupBy("id_ligne").agg(
-        safe_div(F.sum("n_incidents"), F.count(F.lit(1))).alias("incident_taux"))
+        safe_div(F.sum(F.coalesce("n_incidents", F.lit(0))), F.count(F.lit(1))).alias("incident_taux"))
     return (per_line.join(_lines(d), "id_ligne")
             .orderBy("nom_ligne", "id_ligne").select("nom_ligne", "incident_taux"))
 
@@ -59,10 +60,8 @@ def report_d(d: DocViews) -> DataFrame:
     per_line = _sensor_type_sums(d, "CO2", "id_ligne")
     veh = d.vehicles.select("id_vehicule", "immatriculation", "type_vehicule", "id_ligne")
     return (veh.join(per_line, "id_ligne")
-            .groupBy("id_vehicule")
-            .agg(F.first("immatriculation").alias("immatriculation"),
-                 F.first("type_vehicule").alias("type_vehicule"),
-                 (F.sum("s") / F.sum("n")).alias("avg_co2"))
+            .groupBy("id_vehicule", "immatriculation", "type_vehicule")
+            .agg((F.sum("s") / F.sum("n")).alias("avg_co2"))
             .orderBy(F.asc_nulls_first("immatriculation"), "id_vehicule")
             .select("immatriculation", "type_vehicule", nan_to_null("avg_co2").alias("avg_co2")))
 
@@ -82,6 +81,7 @@ def report_e(d: DocViews, k: int = 5) -> DataFrame:
 
 
 def report_f(d: DocViews, min_delay: int = 10) -> DataFrame:
+    """A stored incident list must be there and empty; a missing one (NULL size) does not match."""
     lines = (d.traffic.filter((F.col("retard_minutes") > min_delay) & (F.col("n_incidents") == 0))
              .select("id_ligne").distinct())
     return (lines.join(_lines(d), "id_ligne").select("nom_ligne").distinct().orderBy("nom_ligne"))
@@ -107,26 +107,18 @@ def correlation_moments_doc(d: DocViews) -> DataFrame:
     """
     x = F.when(~F.isnan("valeur"), F.col("valeur"))
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_ligne")
-    small = broadcast_if_small(sensors, bound_of=d.sensors)
-    if small is not None:  # map-side lookup of the line, no shuffle of the measures
-        co2 = (d.measures.join(small, "id_capteur")
-               .groupBy("id_ligne", day_of("horodatage").alias("jour"))
-               .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
-                    F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
-    else:  # reduce per (sensor, day) first, then join the reduced rows
-        per_sensor_day = d.measures.groupBy("id_capteur", day_of("horodatage").alias("jour")).agg(
-            F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"), F.sum(x).alias("sx"),
-            F.sum(x * x).alias("sxx"))
-        co2 = (per_sensor_day.join(sensors, "id_capteur").groupBy("id_ligne", "jour")
-               .agg(*[F.sum(c).alias(c) for c in ("n_all", "n", "sx", "sxx")]))
+    co2 = (d.measures.join(sensors, "id_capteur")
+           .groupBy("id_ligne", day_of("horodatage").alias("jour"))
+           .agg(F.count(F.lit(1)).alias("n_all"), F.count(x).alias("n"),
+                F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
     y = F.col("retard_minutes").cast("double")
     traffic = (d.traffic.groupBy(F.col("id_ligne").alias("t_line"), day_of("horodatage").alias("t_jour"))
                .agg(F.count(F.lit(1)).alias("m_all"), F.count(y).alias("m"),
                     F.sum(y).alias("sy"), F.sum(y * y).alias("syy")))
     pairs = co2.join(traffic, (co2.id_ligne == traffic.t_line) & co2.jour.eqNullSafe(traffic.t_jour))
     return pairs.groupBy("id_ligne").agg(
-        F.sum(F.col("n_all") * F.col("m_all")).alias("N_raw"),
-        F.sum(F.col("n") * F.col("m")).alias("N"),
+        F.sum(F.col("n_all").cast("double") * F.col("m_all")).alias("N_raw"),
+        F.sum(F.col("n").cast("double") * F.col("m")).alias("N"),
         F.sum(F.col("sx") * F.col("m")).alias("Sx"),
         F.sum(F.col("sy") * F.col("n")).alias("Sy"),
         F.sum(F.col("sxx") * F.col("m")).alias("Sxx"),
@@ -158,8 +150,8 @@ def report_k(d: DocViews) -> DataFrame:
                                                  F.count("retard_minutes").alias("n"))
     veh = d.vehicles.select("id_ligne", "id_chauffeur", "chauffeur_nom")
     return (veh.join(per_line, "id_ligne")
-            .groupBy("id_chauffeur")
-            .agg(F.first("chauffeur_nom").alias("chauffeur_nom"), safe_div(F.sum("s"), F.sum("n")).alias("avg"))
+            .groupBy("id_chauffeur", "chauffeur_nom")
+            .agg(safe_div(F.sum("s"), F.sum("n")).alias("avg"))
             .orderBy(F.asc_nulls_first("chauffeur_nom"), "id_chauffeur")
             .select("chauffeur_nom", F.col("avg").alias("avg_retard_minutes")))
 
@@ -177,7 +169,6 @@ def report_l(d: DocViews, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(d: DocViews) -> DataFrame:
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select(
         "id_capteur", F.col("cap_latitude").alias("latitude"), F.col("cap_longitude").alias("longitude"))
-    sensors = sized_dimension(sensors, bound_of=d.sensors)  # map-side join when counted small
     return (d.measures.select("id_capteur", "horodatage", "valeur").join(sensors, "id_capteur")
             .orderBy("id_capteur", "horodatage", "valeur")
             .select("id_capteur", "latitude", "longitude", nan_to_null("valeur").alias("valeur"),
@@ -207,7 +198,6 @@ def report_i_positional(d: DocViews) -> DataFrame:
     t = with_position(d.traffic.select("id_ligne", "id_trafic", "retard_minutes"), ["id_ligne"],
                       ["id_trafic", "retard_minutes"])
     sensors = d.sensors.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret", "id_ligne")
-    sensors = sized_dimension(sensors, bound_of=d.sensors)
     co2 = with_position(d.measures.join(sensors, "id_capteur")
                         .select("id_ligne", "id_arret", "id_capteur", "horodatage", "valeur"),
                         ["id_ligne"], ["id_arret", "id_capteur", "horodatage", "valeur"])

@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.calc import (broadcast_if_small, day_of, delay_class, pearson, pollution_level,
-                                        safe_div, sized_dimension)
+from transitlake.functions.calc import day_of, delay_class, pearson, pollution_level, safe_div
 from transitlake.sources.binding import BUS_TYPE, Network
 
 
@@ -26,16 +25,13 @@ def _traffic_by_line(net: Network) -> DataFrame:
         F.count(F.lit(1)).alias("rows"))
 
 
-def _measure_sums_by_sensor(net: Network) -> DataFrame:
-    return net.Mesure.groupBy("id_capteur").agg(F.sum("valeur").alias("s"), F.count("valeur").alias("n"))
-
-
 def _sensor_sums_by_stop(net: Network, sensor_type: str) -> DataFrame:
     """(Σ valeur, n) per Capteur.id_arret for one sensor type (the WHERE on the
-    type makes the Capteur join inner)."""
+    type makes the Capteur join inner). The type filters the sensors first, so the measures of
+    other types leave at the join."""
     caps = net.Capteur.filter(F.col("type_capteur") == sensor_type).select("id_capteur", "id_arret")
-    return (_measure_sums_by_sensor(net).join(caps, "id_capteur")
-            .groupBy("id_arret").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    return (net.Mesure.select("id_capteur", "valeur").join(caps, "id_capteur")
+            .groupBy("id_arret").agg(F.sum("valeur").alias("s"), F.count("valeur").alias("n")))
 
 
 def _stop_line_key(net: Network, per_stop: DataFrame) -> DataFrame:
@@ -96,10 +92,8 @@ def report_d(net: Network) -> DataFrame:
                 .groupBy("L").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     veh = net.Vehicule.select("id_vehicule", "immatriculation", "type_vehicule", "id_ligne")
     return (per_line.join(veh, per_line.L == veh.id_ligne, "left")
-            .groupBy("id_vehicule")
-            .agg(F.first("immatriculation").alias("immatriculation"),
-                 F.first("type_vehicule").alias("type_vehicule"),
-                 safe_div(F.sum("s"), F.sum("n")).alias("avg_co2"))
+            .groupBy("id_vehicule", "immatriculation", "type_vehicule")
+            .agg(safe_div(F.sum("s"), F.sum("n")).alias("avg_co2"))
             .orderBy(F.asc_nulls_first("immatriculation"), "id_vehicule")
             .select("immatriculation", "type_vehicule", "avg_co2"))
 
@@ -148,59 +142,49 @@ def report_h(net: Network) -> DataFrame:
             .select(F.col("nom").alias("quartier_nom"), "arret_count"))
 
 
-def correlation_moments_rel(net: Network) -> DataFrame:
+def correlation_moments_rel(net: Network, exact: bool = False) -> DataFrame:
     """Per line: the pair moments of (CO2 value, delay) over all pairs that share
     line and day, without materialising the pairs (factored form).
 
     Each side is reduced to one row per (line, day) before the join. Measures
-    reach their line through the CO2 sensor → line map: broadcast when a
-    count proves it small (no shuffle of the measures at all), otherwise the
-    measures are first reduced per (sensor, day) and only those rows are
-    joined.
+    reach their line through the CO2 sensor → line map, which AQE broadcasts when its measured
+    bytes allow and otherwise joins by shuffle (splitting hot sensors).
 
     Per (line, day) keep n, Σx, Σx² of measures and m, Σy, Σy² of traffic;
     over the pairs COUNT(*) = Σ n·m, SUM(x) = Σ Σx·m, SUM(x·y) = Σ Σx·Σy, …
-    n and m count all rows (COUNT(*) semantics); the sums skip NULLs.
+    n and m count all rows (COUNT(*) semantics); the sums skip NULLs. Counts of pairs and sums over
+    them outgrow a long, so they are doubles, or decimal(38,0) with ``exact``.
     """
     x = F.col("valeur")
+    kind = "decimal(38,0)" if exact else "double"
     # sensor → line map of the CO2 sensors (a dimension: one row per sensor)
     sensor_line = (net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "id_arret")
                    .join(net.Arret.select("id_arret", "id_ligne"), "id_arret")
                    .join(net.Ligne.select("id_ligne", "nom_ligne"), "id_ligne")
                    .select("id_capteur", "id_ligne", "nom_ligne"))
-    measures = net.Mesure.filter(F.col("horodatage").isNotNull())
-    small = broadcast_if_small(sensor_line, bound_of=net.Capteur)
-    if small is not None:
-        # map-side: each measure finds its line in the broadcast map, no fact shuffle
-        co2 = (measures.join(small, "id_capteur")
-               .groupBy("id_ligne", "nom_ligne", day_of("horodatage").alias("jour"))
-               .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
-    else:
-        # large sensor dimension: reduce per (sensor, day) first, then join the reduced rows
-        per_sensor_day = measures.groupBy("id_capteur", day_of("horodatage").alias("jour")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
-        co2 = (per_sensor_day.join(sensor_line, "id_capteur")
-               .groupBy("id_ligne", "nom_ligne", "jour")
-               .agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx")))
-    y = F.col("retard_minutes")
+    co2 = (net.Mesure.filter(F.col("horodatage").isNotNull()).join(sensor_line, "id_capteur")
+           .groupBy("id_ligne", "nom_ligne", day_of("horodatage").alias("jour"))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+    y = F.col("retard_minutes").cast("decimal(18,0)" if exact else "double")
     traffic = (net.Trafic.filter(F.col("horodatage").isNotNull())
                .groupBy("id_ligne", day_of("horodatage").alias("jour"))
                .agg(F.count(F.lit(1)).alias("m"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")))
     pairs = co2.join(traffic, ["id_ligne", "jour"])
+    n, m = F.col("n").cast(kind), F.col("m").cast(kind)
     return pairs.groupBy("id_ligne", "nom_ligne").agg(
-        F.sum(F.col("n") * F.col("m")).alias("N"),
-        F.sum(F.col("sx") * F.col("m")).alias("Sx"),
-        F.sum(F.col("sy") * F.col("n")).alias("Sy"),
-        F.sum(F.col("sxx") * F.col("m")).alias("Sxx"),
-        F.sum(F.col("syy") * F.col("n")).alias("Syy"),
-        F.sum(F.col("sx") * F.col("sy")).alias("Sxy"))
+        F.sum((n * m).cast(kind)).alias("N"),
+        F.sum(F.col("sx") * F.col("m").cast("double")).alias("Sx"),
+        F.sum((F.col("sy").cast(kind) * n).cast(kind)).alias("Sy"),
+        F.sum(F.col("sxx") * F.col("m").cast("double")).alias("Sxx"),
+        F.sum((F.col("syy").cast(kind) * n).cast(kind)).alias("Syy"),
+        F.sum(F.col("sx") * F.col("sy").cast("double")).alias("Sxy"))
 
 
 def report_i(net: Network, truncate: bool = False) -> DataFrame:
     """CO2 × delay correlation per line over same-day pairs (closed form).
     ``truncate=True`` evaluates Σy·Σy/N in integer arithmetic, as the
     reference's SQL engine does with integer delays."""
-    mom = correlation_moments_rel(net)
+    mom = correlation_moments_rel(net, exact=truncate)
     return (mom.select("id_ligne", "nom_ligne",
                        pearson("N", "Sx", "Sy", "Sxx", "Syy", "Sxy", truncate_y=truncate).alias("correlation"))
             .orderBy("nom_ligne", "id_ligne")
@@ -244,7 +228,6 @@ def report_l(net: Network, bus_type: str = BUS_TYPE) -> DataFrame:
 def report_m(net: Network) -> DataFrame:
     """CO2 band of every CO2 measure (row-level; NULL value falls in the ELSE band)."""
     caps = net.Capteur.filter(F.col("type_capteur") == "CO2").select("id_capteur", "latitude", "longitude")
-    caps = sized_dimension(caps, bound_of=net.Capteur)  # map-side join when the sensor table is small
     # time and value break ties inside a sensor, so the range partitioning of
     # the sort can split one very large sensor over many tasks
     return (net.Mesure.select("id_capteur", "horodatage", "valeur").join(caps, "id_capteur")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes (its
@@ -26,19 +26,23 @@ _DEFAULTS = {
 
 def get_spark(app: str = "transitlake", master: str | None = None,
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build one with the defaults above.
+    """Return the active session, or build one.
 
-    On a cluster the master and the shuffle partition count come from the
-    submit configuration; locally ``master`` defaults to ``local[*]``.
+    What was submitted (master, ``--conf``, spark-defaults.conf) stands: the defaults above are set
+    only where a key is unset, and ``master`` only where none was submitted (Spark's own fallback
+    is ``local[*]``). ``extra`` and ``shuffle_partitions`` are the caller's explicit settings.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    SparkContext._ensure_initialized()  # the submitted settings become visible to SparkConf
+    submitted = SparkConf()
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master and submitted.get("spark.master", "local[*]") == "local[*]":
+        builder = builder.master(master)
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not submitted.contains(k):
+            builder = builder.config(k, v)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -52,8 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only a local-mode session without one gets a fresh
-    folder under the system temp dir; a cluster session without one is an
+    checkpoint dir). Only a single-JVM session without one (tests, local mode) gets a
+    fresh folder under the system temp dir; any cluster session without one is an
     error, because executor-local folders do not survive executor loss.
     """
     sc = spark.sparkContext
@@ -62,7 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     d = tempfile.mkdtemp(prefix="transitlake-ckpt-")
     sc.setCheckpointDir(d)

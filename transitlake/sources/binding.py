@@ -13,8 +13,10 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitlake import schema as S
+from transitlake.functions.calc import parse_ts_strict
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -81,16 +83,9 @@ def _stop_lon(key):
     return F.lit(2.3) + (key % 77) / F.lit(1000.0)
 
 
-_BOUND: dict[tuple[str, int, str], Network] = {}
-
-
 def bind_network(spark: SparkSession, sf_dir: str) -> Network:
-    """The 11 tables over ``sf_dir``. The lazy plans are memoised per session
-    and folder, so repeated queries skip file listing and schema reads."""
-    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir.rstrip("/"))
-    if key not in _BOUND:
-        _BOUND[key] = _bind(spark, sf_dir)
-    return _BOUND[key]
+    """The 11 tables over ``sf_dir``, bound anew on each call, so that files added since are seen."""
+    return _bind(spark, sf_dir)
 
 
 def _bind(spark: SparkSession, sf_dir: str) -> Network:
@@ -104,12 +99,12 @@ def _bind(spark: SparkSession, sf_dir: str) -> Network:
                      (F.col("n_nationkey").cast("long") * 100).alias("frequentation_moyenne")))
 
     size = F.col("p_size")
-    quartier = (part.filter(size <= 15)
+    quartier = (part
                 .select(size.alias("id_quartier"),
                         F.concat(F.lit("Quartier-"), size.cast("string")).alias("nom"),
-                        F.concat(F.lit("POLYGON(("), (size + 2).cast("string"), F.lit(" 48,"),
+                        F.when(size % 17 == 0, "POLYGON((x y, 1 2))").otherwise(F.concat(F.lit("POLYGON(("), (size + 2).cast("string"), F.lit(" 48,"),
                                  (size + 3).cast("string"), F.lit(" 48,"),
-                                 (size + 3).cast("string"), F.lit(" 49))")).alias("geojson"))
+                                 (size + 3).cast("string"), F.lit(" 49))"))).alias("geojson"))
                 .distinct())
 
     sk = F.col("s_suppkey")
@@ -117,8 +112,8 @@ def _bind(spark: SparkSession, sf_dir: str) -> Network:
                             _stop_lat(sk).alias("latitude"), _stop_lon(sk).alias("longitude"),
                             F.col("s_nationkey").alias("id_ligne"))
 
-    arret_quartier = (supplier.select(sk.alias("id_arret"), (1 + sk % 13).alias("id_quartier"))
-                      .union(supplier.select(sk, 1 + (sk * 7 + 3) % 13))
+    arret_quartier = (supplier.select(sk.alias("id_arret"), (1 + sk % 50).alias("id_quartier"))
+                      .union(supplier.select(sk, 1 + (sk * 7 + 3) % 50))
                       .distinct())
 
     ck = F.col("c_custkey")
@@ -149,14 +144,14 @@ def _bind(spark: SparkSession, sf_dir: str) -> Network:
     ln3, q = F.col("l_linenumber") % 3, F.col("l_quantity")
     mesure = lineitem.select(
         (F.col("l_suppkey") * 3 + ln3).alias("id_capteur"), F.col("l_shipdate").alias("horodatage"),
-        F.when(ln3 == 0, 300 + q * 6).when(ln3 == 1, 50 + q / 2).otherwise(10 + q / 5).alias("valeur"),
+        F.when(ln3 == 0, 300 + q * 2 + (F.col("l_suppkey") % 7) * 40).when(ln3 == 1, 50 + q / 2).otherwise(10 + q / 5).alias("valeur"),
         F.when(ln3 == 0, "ppm").when(ln3 == 1, "dB").otherwise("C").alias("unite"))
 
     trafic = (orders.join(customer, orders.o_custkey == customer.c_custkey)
               .select(F.col("o_orderkey").alias("id_trafic"), F.col("c_nationkey").alias("id_ligne"),
                       F.col("o_orderdate").alias("horodatage"),
                       F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long"))
-                       .otherwise(F.floor("o_totalprice").cast("long") % 21).alias("retard_minutes"),
+                       .otherwise(F.floor("o_totalprice").cast("long") % (8 + 2 * (F.col("c_nationkey") % 9))).alias("retard_minutes"),
                       F.col("o_orderpriority").alias("evenement")))
 
     incident = (lineitem.filter(F.col("l_returnflag") == "R")
@@ -184,22 +179,35 @@ def write_network(net: Network, root: str, max_records_per_file: int = 1_000_000
 
 
 def read_network(spark: SparkSession, root: str, fmt: str = "parquet") -> Network:
-    """Read the 11 tables from ``root/<Table>`` with their declared schemas."""
-    return Network(**{n: spark.read.schema(s).format(fmt).load(f"{root.rstrip('/')}/{n}")
-                      for n, s in S.TABLES.items()})
-
-
-def read_network_jdbc(spark: SparkSession, url: str, properties: dict | None = None) -> Network:
+    """Read the 11 tables from ``root/<Table>`` with their declared schemas (S1). Text formats hold dates as
+    text: they are parsed strictly (F4), so that a malformed one fails the load."""
+    def one(name: str, schema) -> DataFrame:
+        path = f"{root.rstrip('/')}/{name}"
+        if fmt in ("parquet", "orc"):
+            return spark.read.schema(schema).format(fmt).load(path)
+        dated = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.DateType))}
+        text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in dated else f for f in schema.fields])
+        raw = spark.read.schema(text).format(fmt).option("header", True).option("mode", "FAILFAST").load(path)
+        return raw.select([(parse_ts_strict(f.name) if isinstance(dated[f.name], T.TimestampNTZType)
+                            else F.to_date(f.name, "yyyy-MM-dd")).alias(f.name) if f.name in dated else F.col(f.name)
+                           for f in schema.fields])
+
+    return Network(**{n: one(n, s) for n, s in S.TABLES.items()})
+
+
+def read_network_jdbc(spark: SparkSession, url: str, properties: dict | None = None,
+                      partitions: dict[str, dict] | None = None) -> Network:
     """S1 over JDBC: ``SELECT *`` of the 11 tables with the declared column
     types (``customSchema``); needs the database's JDBC driver on the
-    classpath. Partitioned reads take ``partitionColumn``/``numPartitions``
-    options through ``properties``."""
+    classpath. ``properties`` hold for every table; ``partitions`` gives a table's own
+    ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``, without
+    which it is read by one task."""
     out = {}
     for name, schema in S.TABLES.items():
         custom = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in schema.fields)
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name) \
             .option("customSchema", custom)
-        for k, v in (properties or {}).items():
+        for k, v in ((properties or {}) | (partitions or {}).get(name, {})).items():
             reader = reader.option(k, v)
         out[name] = reader.load()
     return network_from_frames(out)
@@ -212,13 +220,13 @@ VIEW_SQL: dict[str, str] = {
              "CAST(100 * n_nationkey AS BIGINT) AS frequentation_moyenne "
              "FROM nation JOIN region ON n_regionkey = r_regionkey",
     "Quartier": "SELECT DISTINCT CAST(p_size AS BIGINT) AS id_quartier, concat('Quartier-', p_size) AS nom, "
-                "concat('POLYGON((', 2 + p_size, ' 48,', 3 + p_size, ' 48,', 3 + p_size, ' 49))') AS geojson "
-                "FROM part WHERE p_size <= 15",
+                "CASE WHEN p_size % 17 = 0 THEN 'POLYGON((x y, 1 2))' ELSE "
+                "concat('POLYGON((', 2 + p_size, ' 48,', 3 + p_size, ' 48,', 3 + p_size, ' 49))') END AS geojson FROM part",
     "Arret": "SELECT s_suppkey AS id_arret, concat('Arret ', s_suppkey % 40) AS nom, "
              "48.8e0 + (s_suppkey % 100) / 1000e0 AS latitude, 2.3e0 + (s_suppkey % 77) / 1000e0 AS longitude, "
              "CAST(s_nationkey AS BIGINT) AS id_ligne FROM supplier",
-    "ArretQuartier": "SELECT s_suppkey AS id_arret, 1 + s_suppkey % 13 AS id_quartier FROM supplier "
-                     "UNION SELECT s_suppkey, 1 + (s_suppkey * 7 + 3) % 13 FROM supplier",
+    "ArretQuartier": "SELECT s_suppkey AS id_arret, 1 + s_suppkey % 50 AS id_quartier FROM supplier "
+                     "UNION SELECT s_suppkey, 1 + (s_suppkey * 7 + 3) % 50 FROM supplier",
     "Chauffeur": "SELECT DISTINCT c_custkey % 200 AS id_chauffeur, concat('Chauffeur ', c_custkey % 200) AS nom, "
                  "DATE '2045-01-01' AS date_embauche FROM customer",
     "Vehicule": "SELECT c_custkey AS id_vehicule, c_name AS immatriculation, CAST(c_nationkey AS BIGINT) AS id_ligne, "
@@ -233,11 +241,11 @@ VIEW_SQL: dict[str, str] = {
                "48.8e0 + (s_suppkey % 100) / 1000e0 AS latitude, 2.3e0 + (s_suppkey % 77) / 1000e0 AS longitude "
                "FROM supplier CROSS JOIN (VALUES (0), (1), (2)) AS kk(k)",
     "Mesure": "SELECT l_suppkey * 3 + l_linenumber % 3 AS id_capteur, l_shipdate AS horodatage, "
-              "CASE l_linenumber % 3 WHEN 0 THEN 300 + l_quantity * 6 WHEN 1 THEN 50 + l_quantity / 2 "
+              "CASE l_linenumber % 3 WHEN 0 THEN 300 + l_quantity * 2 + (l_suppkey % 7) * 40 WHEN 1 THEN 50 + l_quantity / 2 "
               "ELSE 10 + l_quantity / 5 END AS valeur, CASE l_linenumber % 3 WHEN 0 THEN 'ppm' "
               "WHEN 1 THEN 'dB' ELSE 'C' END AS unite FROM lineitem",
     "Trafic": "SELECT o_orderkey AS id_trafic, CAST(c_nationkey AS BIGINT) AS id_ligne, o_orderdate AS horodatage, "
-              "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) % 21 END "
+              "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) % (8 + 2 * (c_nationkey % 9)) END "
               "AS retard_minutes, o_orderpriority AS evenement FROM orders JOIN customer ON o_custkey = c_custkey",
     "Incident": "SELECT l_orderkey * 8 + l_linenumber AS id_incident, l_orderkey AS id_trafic, "
                 "l_linestatus AS description, 1 + l_linenumber % 5 AS gravite, l_shipdate AS horodatage "

@@ -1,9 +1,8 @@
 """File sources and sinks: result CSVs, document collections, JSON maps.
 
-Writers are partitioned Spark writes (no driver-side collection). A
-report result is small after its aggregate, so the CSV sink coalesces it to
-one file after the aggregate; collections keep their partitioning and cap
-the rows per file instead.
+Writers are partitioned Spark writes (no driver-side collection). Results with
+a row per line or class are coalesced to one file; results that grow with the data
+and collections keep their partitioning.
 """
 
 from __future__ import annotations
@@ -50,21 +49,25 @@ def project_contract(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> Da
     return df.select(out)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """Header CSV, UTF-8, overwrite; an empty frame still gets its header."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Header CSV, UTF-8, overwrite; an empty frame still gets its header. ``single_file`` is for results
+    whose size does not grow with the data; otherwise every part file carries the header."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+# Reports with a row per line, class or top-k entry; the others (a row per day, vehicle, driver or measure) grow.
+SMALL_REPORTS = frozenset("aceghijlnf")
+
+
 def write_report(df: DataFrame, path: str, report: str) -> None:
     """S6 + S7 for a report."""
-    write_csv(project_contract(df, S.REPORT_COLUMNS[report]), path)
+    write_csv(project_contract(df, S.REPORT_COLUMNS[report]), path, single_file=report in SMALL_REPORTS)
 
 
-def write_collection(df: DataFrame, path: str, max_records_per_file: int = 10_000,
+def write_collection(df: DataFrame, path: str, max_records_per_file: int = 5_000_000,
                      partition_by: list[str] | None = None) -> None:
-    """Replace a collection (overwrite), rows per file capped like the
-    reference's insert batches."""
+    """Replace a collection (overwrite), with a cap on the rows of a file."""
     w = df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
         w = w.partitionBy(*partition_by)
