@@ -7,6 +7,8 @@ secrets   secrets are masked; no document goes
 mixing    sources are brought to their target weights; a document may appear up to three times
 packing   segments of at most 2048 words, in length buckets and batches of a word budget
 
+A stage begins by deleting the intermediate tables of the one before, whose output is written by then.
+
 An empty input passes through every stage; nulls, repeated rows and extra columns are handled as each operator says.
 """
 
@@ -15,29 +17,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from transitlake.llm import buckets, minhash, mixing, quality, secrets
-from transitlake.llm.common import materialize, on_workers, table
+from transitlake.llm.common import materialize, on_workers, release, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     on_workers(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     on_workers(spark)
     return minhash.deduplicated(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return secrets.redact_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     on_workers(spark)
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return buckets.packed(docs)
 
 
@@ -57,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs

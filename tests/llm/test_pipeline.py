@@ -19,7 +19,7 @@ def stages(spark):
     docs, out = table(spark, SF, "documents"), {}
     out["documents"] = docs
     for name, stage in corpus_pipeline.STAGES:
-        docs = out[name] = materialize(stage(spark, docs, SF), f"test-{name}")
+        docs = out[name] = materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
     return out
 
 
@@ -78,7 +78,7 @@ def test_nulls_repeats_and_extra_columns(spark):
     rows += [rows[0], (None, None, None, None, None, None), (900, "", "en", None, 0, 1), (901, "key token=abcdefghij0 " * 3, None, "s1", 5, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
     for name, stage in corpus_pipeline.STAGES[1:]:
-        before, docs = docs, materialize(stage(spark, docs, SF), f"test-{name}")
+        before, docs = docs, materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
         if name != "packing":
             assert docs.schema.simpleString() == before.schema.simpleString()
         if name == "secrets":

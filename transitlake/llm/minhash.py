@@ -10,10 +10,12 @@ of a band are candidates, and a candidate pair is a link when its weighted Jacca
 from the whole texts, is ``THRESHOLD`` or more. A class is a connected component of links.
 
 Texts of equal words are one representative, found by a 128-bit digest. A band's bucket is never
-expanded into pairs: its members are compared with its smallest member, and then, where its
-members lie in several components, with the smallest member of each other component. So a bucket of m members in c
-components costs about m * c comparisons, m when they belong together, whatever m is. In the second step only pairs that agree on ``AGREE``
-of the 48 samples leave the join (two texts at the threshold agree on 38 of them, on fewer than 28 in one case in ten thousand).
+expanded into pairs. Its members are compared with a leader drawn from them, another one in each of ``ROUNDS`` rounds
+and in each bucket, which unites what belongs together at a few comparisons a member. Where members still lie
+in several components, every member is compared with the smallest member of each other component, once however many
+buckets the two share. So m members left in c components cost about m * c comparisons, and m when they belong together. Of the last
+step's pairs only those that agree on ``AGREE`` of the 48 samples leave the join (two texts at the threshold agree on 38 of them on
+average, on fewer than 28 in one case in ten thousand).
 
 A text without words (null, empty, blank) links with nothing. Repeated rows are copies. Rows keep null
 ids: such a row has the class of its text, or a null class when it is alone. An empty table gives an empty
@@ -38,6 +40,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
 TABLE = 1 << 14
+ROUNDS = 2
 AGREE = 28
 SEED = 1
 PIECE, PIECE_BYTES = 2048, 1 << 20
@@ -264,6 +267,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             .select(*docs.columns))
 
 
+def _in_several_components(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, rid, part) of the members of buckets that hold several components so far."""
+    member = (buckets.select("key", "rid").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
+              .select("key", "rid", F.coalesce("component", "rid").alias("part")))
+    several = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    return materialize(member.join(several, "key"), "members")
+
+
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rid, keys) of each row, and (rid, low, least) of each text: its and its class's smallest id."""
     spark = docs.sparkSession
@@ -272,22 +283,31 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = materialize(signed.where("rid is not null").groupBy("rid").agg(
         F.min(_identity()).alias("low"), F.first("keys").alias("keys"), F.first("samples").alias("samples")), "representatives")
     rows = reps.select("rid", "low", F.explode("keys").alias("key"))
-    led = rows.groupBy("key").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(rows.join(led.select("key", "leader"), "key"), "buckets")
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    buckets = materialize(rows.join(shared, "key"), "buckets")
     held = materialize(candidate_texts(docs, buckets), "texts")
-    # first every member against its bucket's smallest
-    tested = materialize(buckets.where("rid <> leader").select(F.col("rid").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links = materialize(verified(tested, held, idf), "links")
-    parts = materialize(components(links), "components")
-    # then, in buckets that hold several components, every member against the head of each other one
-    member = (buckets.select("key", "rid").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
-              .select("key", "rid", F.coalesce("component", "rid").alias("part")))
-    several = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    member = materialize(member.join(several, "key").join(reps.select("rid", "samples"), "rid"), "members")
-    heads = member.groupBy("key", "part").agg(F.min("rid").alias("head")).join(
-        reps.select(F.col("rid").alias("head"), F.col("samples").alias("others")), "head").withColumnRenamed("part", "other")
-    agree = F.size(F.filter(F.zip_with("samples", "others", lambda x, y: x == y), lambda same: same)) >= AGREE
-    more = (member.join(heads, (member.key == heads.key) & (member.part != heads.other) & agree)
+    tested = links = None
+    member = buckets.select("key", "rid", F.col("rid").alias("part"))
+    for salt in range(ROUNDS):  # every member against its bucket's leader, another one each time
+        drawn = F.struct(F.xxhash64(F.lit(salt), "key", "rid").alias("h"), "rid", "part")
+        lead = member.groupBy("key").agg(F.min(drawn).alias("m")).select("key", F.col("m.rid").alias("lead"), F.col("m.part").alias("other"))
+        pairs = (member.join(lead, "key").where("part <> other")
+                 .select(F.greatest("rid", "lead").alias("a"), F.least("rid", "lead").alias("b")).distinct())
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verified(pairs, held, idf)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = materialize(found if links is None else links.unionByName(found), "links")
+        member = _in_several_components(buckets, materialize(components(links), "components"))
+    # last, every member against the head of each other component; a pair counts in its first common bucket
+    reps_of = reps.select("rid", "keys", "samples")
+    heads = member.groupBy("key", "part").agg(F.min("rid").alias("head")).join(reps.select(
+        F.col("rid").alias("head"), F.col("keys").alias("head_keys"), F.col("samples").alias("head_samples")), "head") \
+        .withColumnRenamed("part", "other").withColumnRenamed("key", "head_key")
+    agree = F.size(F.filter(F.zip_with("samples", "head_samples", lambda x, y: x == y), lambda same: same)) >= AGREE
+    common = F.filter(F.zip_with("keys", "head_keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    member = member.join(reps_of, "rid")
+    more = (member.join(heads, (F.col("key") == F.col("head_key")) & (F.col("part") != F.col("other")) & agree
+                        & (F.get(common, 0) == F.col("key")))
             .select(F.greatest("rid", "head").alias("a"), F.least("rid", "head").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(verified(materialize(more, "pairs"), held, idf)), "links")
