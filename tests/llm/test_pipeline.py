@@ -84,8 +84,8 @@ def test_nulls_repeats_and_extra_columns(spark):
         if name == "secrets":
             assert docs.count() == before.count() and docs.where(F.col("text").contains("abcdefghij0")).count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, SF), f"test-{name}", keep=True)
         assert empty.count() == 0
 
 
