@@ -28,7 +28,7 @@ HEADLINE = [
     # dashboard tables and jobs
     "D04_stop_board", "D05_co2_trend", "D07_heat_points", "D08_stop_details", "D09_co2_by_quartier",
     "D10_quartier_features", "D15_co2_histogram",
-    "M2_nest_arrets", "M4_nest_trafic", "Q3_integrity", "W1_corr_positional",
+    "M2_nest_arrets", "M4_nest_trafic", "Q1_parity", "Q3_integrity", "W1_corr_positional",
 ]
 
 

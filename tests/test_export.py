@@ -24,4 +24,5 @@ def test_migration_writes_collections(spark, tmp_path):
     stats = {r["collection"]: r["n"] for r in export.export_collections(net, str(tmp_path)).collect()}
     assert set(os.listdir(tmp_path)) >= {"Lignes", "Arrets", "Vehicules", "Trafic", "Quartiers"}
     assert spark.read.parquet(str(tmp_path / "Arrets")).count() == stats["arrets"]
-    assert stats["quartiers"] == net.Quartier.count() and stats["quartiers_reels"] == 0
+    rejected = spark.read.parquet(str(tmp_path / "Quartiers_rejets")).count()
+    assert stats["quartiers"] + rejected == net.Quartier.count() and rejected > 0 and stats["quartiers_reels"] == 0
