@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from transitlake.llm import topk
@@ -20,6 +21,9 @@ def test_whole_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, "/root/testdata/sf0.001", "embeddings").collect()]
     got = sorted(tuple(r) for r in op7_top_k(spark, "/root/testdata/sf0.001").collect())
     assert got == brute(rows)
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    assert sorted(con.execute(topk.ORACLE_SQL).fetchall()) == got
 
 
 def test_small_blocks_ties_and_defined_cases(spark):

@@ -142,9 +142,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
 
 ORACLE_SQL = """
 with part as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
     select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score
     from part q join part d on q.vec_id <> d.vec_id and len(q.v) = len(d.v) where q.vec_id % 50 = 0)
