@@ -99,6 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.coalesce(1) if now[0] <= SMALL_EDGES else small
         e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    e = e.coalesce(1) if now[0] <= SMALL_EDGES else e
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
     return (stars.select(F.col("u").alias("node"), "component")
             .unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
