@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
 TABLE = 1 << 14
-ROUNDS = 2
+ROUNDS = 3
 AGREE = 28
 SEED = 1
 PIECE, PIECE_BYTES = 2048, 1 << 20
@@ -287,9 +287,9 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = materialize(rows.join(shared, "key"), "buckets")
     held = materialize(candidate_texts(docs, buckets), "texts")
     tested = links = None
-    member = buckets.select("key", "rid", F.col("rid").alias("part"))
-    for salt in range(ROUNDS):  # every member against its bucket's leader, another one each time
-        drawn = F.struct(F.xxhash64(F.lit(salt), "key", "rid").alias("h"), "rid", "part")
+    member = buckets.select("key", "rid", F.col("rid").alias("part"), F.lit(0).cast("long").alias("n"))
+    for salt in range(ROUNDS):  # every member against its bucket's leader: the one with most links so far, drawn among equals
+        drawn = F.struct((-F.col("n")).alias("n"), F.xxhash64(F.lit(salt), "key", "rid").alias("h"), "rid", "part")
         lead = member.groupBy("key").agg(F.min(drawn).alias("m")).select("key", F.col("m.rid").alias("lead"), F.col("m.part").alias("other"))
         pairs = (member.join(lead, "key").where("part <> other")
                  .select(F.greatest("rid", "lead").alias("a"), F.least("rid", "lead").alias("b")).distinct())
@@ -298,6 +298,9 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = materialize(found if links is None else links.unionByName(found), "links")
         member = _in_several_components(buckets, materialize(components(links), "components"))
+        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid")))
+        degree = ends.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+        member = member.join(degree, "rid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     # last, every member against the head of each other component; a pair counts in its first common bucket
     reps_of = reps.select("rid", "keys", "samples")
     heads = member.groupBy("key", "part").agg(F.min("rid").alias("head")).join(reps.select(
