@@ -113,3 +113,43 @@ def test_word_hashes_do_not_depend_on_blanks_case_or_pieces(monkeypatch):
     monkeypatch.setattr(minhash, "PIECE_BYTES", 16)
     assert (minhash.hashes(text) == h).all()
     assert len(minhash.hashes("x" * 40)) == 3
+
+
+def drifting(n=500, seed=11):
+    """Near copies that drift: each differs in one word from an earlier one, and from the others mostly in too many."""
+    rng = random.Random(seed)
+    texts = [["d%d" % rng.randrange(4000) for _ in range(70)]]
+    while len(texts) < n:
+        t = list(texts[rng.randrange(len(texts))])
+        t[rng.randrange(len(t))] = "d%d" % rng.randrange(4000)
+        texts.append(t)
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def weighted_brute(spark, df, rows):
+    """Classes by comparing all pairs with the operator's own similarity."""
+    idf = minhash.idf_table(df)
+    weights = [minhash.shingle_weights(minhash.hashes(t), idf) for _, t in rows]
+    label = list(range(len(rows)))
+    below = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if minhash.similarity(weights[i], weights[j]) < minhash.THRESHOLD:
+                below += 1
+            elif label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label)), below / (len(rows) * (len(rows) - 1) / 2)
+
+
+def test_a_drifting_group_has_no_lost_links(spark, monkeypatch):
+    on_workers(spark)
+    rows = drifting()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, below = weighted_brute(spark, df, rows)
+    assert below > 0.75
+    for block in (256, 16):  # one block a bucket, and pairs of many
+        monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
+        assert sum(got[k] != want[k] for k in want) == 0

@@ -11,11 +11,12 @@ from the whole texts, is ``THRESHOLD`` or more. A class is a connected component
 
 Texts of equal words are one representative, found by a 128-bit digest. A band's bucket is never
 expanded into pairs. Its members are compared with a leader drawn from them, another one in each of ``ROUNDS`` rounds
-and in each bucket, which unites what belongs together at a few comparisons a member. Where members still lie
-in several components, every member is compared with the smallest member of each other component, once however many
-buckets the two share. So m members left in c components cost about m * c comparisons, and m when they belong together. Of the last
-step's pairs only those that agree on ``AGREE`` of the 48 samples leave the join (two texts at the threshold agree on 38 of them on
-average, on fewer than 28 in one case in ten thousand).
+and in each bucket, which unites what belongs together at a few comparisons a member. In buckets where members still lie
+in several components, every pair of members of different components is then compared, once however many buckets the
+two share: first by their samples, in pairs of salted blocks of about ``BLOCK`` members or ``BLOCK_BYTES`` of text, then, those that
+agree on ``AGREE`` of the 48 samples, by their whole texts (two texts at the threshold agree on 38 of them on
+average, on fewer than 28 in one case in ten thousand). So a bucket whose m members belong together costs m comparisons; one that
+stays in several classes costs as many as it has pairs between them, since no other comparison can rule out a link.
 
 A text without words (null, empty, blank) links with nothing. Repeated rows are copies. Rows keep null
 ids: such a row has the class of its text, or a null class when it is alone. An empty table gives an empty
@@ -42,6 +43,7 @@ DF_BUCKETS = 1 << 18
 TABLE = 1 << 14
 ROUNDS = 3
 AGREE = 28
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 SEED = 1
 PIECE, PIECE_BYTES = 2048, 1 << 20
 
@@ -233,12 +235,13 @@ def _identity() -> Column:
 
 
 def candidate_texts(docs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(rid, text) of the representatives in some bucket, one text each."""
+    """(rid, text, size) of the representatives in some bucket, one text each and its bytes."""
     wanted = buckets.select("rid", "low").distinct()
     addressed = map_texts(docs, "rid binary, text string", lambda: lambda batch: {
         "rid": pa.array([digest(hashes(t)) for t in batch], pa.binary()), "text": batch})
     one = addressed.withColumn("low", _identity())
-    return one.join(wanted, ["rid", "low"]).groupBy("rid").agg(F.first("text").alias("text"))
+    return one.join(wanted, ["rid", "low"]).groupBy("rid").agg(F.first("text").alias("text")) \
+        .withColumn("size", F.octet_length("text"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -275,6 +278,73 @@ def _in_several_components(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(member.join(several, "key"), "members")
 
 
+def near_rows(member: DataFrame, reps: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs of members of a bucket that lie in different components and agree on ``AGREE`` samples, each in the
+    first bucket the two share. ``member`` has (key, rid, part). A row (key, i, j, rid, place, others) is a text with a place in
+    a pair of blocks, and the places of the texts there that it is to be compared with. Buckets of two are left out:
+    their leader has met the other one."""
+    sized = member.select("key", "rid", "part").join(held.select("rid", "size"), "rid")
+    n = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES))
+    blocks = sized.groupBy("key").agg(n.alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 2").select("key", "blocks")
+    own = F.pmod(F.xxhash64(F.lit(ROUNDS), "key", "rid"), F.col("blocks"))
+    # block pairs (i, j), i <= j: a member is sent to the pairs its block is part of
+    tiles = (sized.join(blocks, "key").withColumn("block", own)
+             .join(reps.select("rid", "keys", "samples"), "rid")
+             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "part", "keys", "samples"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        key, i, j = rows["key"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
+        rows = rows.sort_values(["block", "rid"])
+        keys, samples, part = np.stack(rows["keys"]), np.stack(rows["samples"]), pd.factorize(rows["part"])[0]
+        k = len(rows) if i == j else int((rows["block"] == i).sum())
+        x, y = slice(0, k), slice(0 if i == j else k, len(rows))
+        want = part[x, None] != part[None, y]
+        if i == j:
+            want &= np.tri(k, k, -1, dtype=bool)
+        for band in range(BANDS):
+            if want.any() and keys[0, band] == key:
+                break
+            want &= keys[x, band, None] != keys[None, y, band]
+        same = np.zeros(want.shape, np.uint8)
+        for sample in samples.T if want.any() else ():
+            same += sample[x, None] == sample[None, y]
+        want &= same >= AGREE
+        others = [np.flatnonzero(w) + y.start for w in want] + [np.zeros(0, np.int64)] * (len(rows) - k)
+        used = np.zeros(len(rows), bool)
+        used[x] |= want.any(axis=1)
+        used[y] |= want.any(axis=0)
+        place = np.flatnonzero(used)
+        return pd.DataFrame({"key": key, "i": i, "j": j, "rid": rows["rid"].to_numpy()[place], "place": place,
+                             "others": pd.Series([others[p] for p in place], dtype=object)})
+
+    return materialize(tiles.groupBy("key", "i", "j").applyInPandas(
+        compare, "key long, i long, j long, rid binary, place int, others array<int>"), "near")
+
+
+def cross_links(near: DataFrame, held: DataFrame, idf) -> DataFrame:
+    """The links (a, b) among the pairs of ``near_rows``. A text is read once for each pair of blocks; a pair that the links
+    found there connect already is not compared again."""
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        weights = {p: shingle_weights(hashes(t), idf.value) for p, t in zip(rows["place"], rows["text"])}
+        rid, top, out = dict(zip(rows["place"], rows["rid"])), {p: p for p in rows["place"]}, []
+
+        def root(p):
+            while top[p] != p:
+                top[p] = p = top[top[p]]
+            return p
+
+        for p, others in zip(rows["place"], rows["others"]):
+            for q in others:
+                if root(p) != root(q) and similarity(weights[p], weights[q]) >= THRESHOLD:
+                    top[root(p)] = root(q)
+                    out.append((max(rid[p], rid[q]), min(rid[p], rid[q])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return (near.join(held.select("rid", "text"), "rid").groupBy("key", "i", "j")
+            .applyInPandas(compare, "a binary, b binary").distinct())
+
+
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rid, keys) of each row, and (rid, low, least) of each text: its and its class's smallest id."""
     spark = docs.sparkSession
@@ -301,19 +371,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid")))
         degree = ends.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
         member = member.join(degree, "rid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    # last, every member against the head of each other component; a pair counts in its first common bucket
-    reps_of = reps.select("rid", "keys", "samples")
-    heads = member.groupBy("key", "part").agg(F.min("rid").alias("head")).join(reps.select(
-        F.col("rid").alias("head"), F.col("keys").alias("head_keys"), F.col("samples").alias("head_samples")), "head") \
-        .withColumnRenamed("part", "other").withColumnRenamed("key", "head_key")
-    agree = F.size(F.filter(F.zip_with("samples", "head_samples", lambda x, y: x == y), lambda same: same)) >= AGREE
-    common = F.filter(F.zip_with("keys", "head_keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    member = member.join(reps_of, "rid")
-    more = (member.join(heads, (F.col("key") == F.col("head_key")) & (F.col("part") != F.col("other")) & agree
-                        & (F.get(common, 0) == F.col("key")))
-            .select(F.greatest("rid", "head").alias("a"), F.least("rid", "head").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(verified(materialize(more, "pairs"), held, idf)), "links")
+    links = materialize(links.unionByName(cross_links(near_rows(member, reps, held), held, idf)), "links")
     parts = materialize(components(links), "components")
     whole = (reps.select("rid", "low").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
              .withColumn("part", F.coalesce("component", "rid")))
