@@ -153,3 +153,20 @@ def test_a_drifting_group_has_no_lost_links(spark, monkeypatch):
         monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
         got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
         assert sum(got[k] != want[k] for k in want) == 0
+
+
+def test_a_pair_meets_though_its_first_common_bucket_has_another_head(spark):
+    """x and h share buckets K1 and K2; in K1, h's component has a smaller member than h."""
+    on_workers(spark)
+    x, h, smaller, other = b"x", b"h", b"a", b"z"
+    own = {x: {0: 1, 1: 2}, h: {0: 1, 1: 2}, smaller: {0: 1}, other: {1: 2}}
+    part = {x: x, h: smaller, smaller: smaller, other: smaller}
+    reps = spark.createDataFrame([(r, [own[r].get(b, 100 * b + r[0]) for b in range(minhash.BANDS)], [7] * 48) for r in own],
+                                 "rid binary, keys array<long>, samples array<int>")
+    held = spark.createDataFrame([(r, "t", 1) for r in own], "rid binary, text string, size int")
+    member = spark.createDataFrame([(k, r, part[r]) for r in own for k in own[r].values()], "key long, rid binary, part binary")
+    met = []
+    for _, g in minhash.near_rows(member, reps, held).toPandas().groupby(["key", "i", "j"]):
+        at = dict(zip(g["place"], g["rid"].map(bytes)))
+        met += [tuple(sorted((at[p], at[q]))) for p, others in zip(g["place"], g["others"]) for q in others]
+    assert sorted(met) == [(smaller, x), (h, x), (x, other)]
