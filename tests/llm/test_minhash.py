@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from math import comb
 
 import numpy as np
 
@@ -170,3 +171,8 @@ def test_a_pair_meets_though_its_first_common_bucket_has_another_head(spark):
         at = dict(zip(g["place"], g["rid"].map(bytes)))
         met += [tuple(sorted((at[p], at[q]))) for p, others in zip(g["place"], g["others"]) for q in others]
     assert sorted(met) == [(smaller, x), (h, x), (x, other)]
+
+
+def test_pairs_at_the_threshold_hardly_ever_agree_on_too_few_samples():
+    n, p = minhash.BANDS * minhash.ROWS, minhash.THRESHOLD
+    assert sum(comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(minhash.AGREE)) < 1e-6

@@ -15,7 +15,7 @@ and in each bucket, which unites what belongs together at a few comparisons a me
 in several components, every pair of members of different components is then compared, once however many buckets the
 two share: first by their samples, in pairs of salted blocks of about ``BLOCK`` members or ``BLOCK_BYTES`` of text, then, those that
 agree on ``AGREE`` of the 48 samples, by their whole texts (two texts at the threshold agree on 38 of them on
-average, on fewer than 28 in one case in ten thousand). So a bucket whose m members belong together costs m comparisons; one that
+average, on fewer than 24 in one case in a million). So a bucket whose m members belong together costs m comparisons; one that
 stays in several classes costs as many as it has pairs between them, since no other comparison can rule out a link.
 
 A text without words (null, empty, blank) links with nothing. Repeated rows are copies. Rows keep null
@@ -42,7 +42,7 @@ BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
 TABLE = 1 << 14
 ROUNDS = 3
-AGREE = 28
+AGREE = 24
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 SEED = 1
 PIECE, PIECE_BYTES = 2048, 1 << 20
