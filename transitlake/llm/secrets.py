@@ -9,7 +9,8 @@ paths have them, and an unchanged corpus is not scanned again.
 Base kinds (leftmost, not overlapping, each kind on its own; a match that fails is dropped whole):
 ``assign`` (a credential word, ``:`` or ``=``, a value of 6 or more characters), ``access`` (AKIA key
 ids of 20 or more characters), ``hex`` (runs of 24 or more lower-case hex digits). The method adds
-``pem`` (private key headers) and ``jwt`` (three-part web tokens). Spans count code points, end
+``pem`` (private keys from the header through the END line, or through the last line of the
+key's base64 where none follows) and ``jwt`` (three-part web tokens). Spans count code points, end
 exclusive. A null text counts as empty; repeated rows give a row each; extra columns are ignored;
 empty tables give empty results.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from transitlake.llm.common import materialize, texts
 
-RULES = "2"
+RULES = "3"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem", "jwt")
 # Only ``assign`` can match and yet fail (its value may be short); the lengths of the others are in the pattern,
@@ -30,7 +31,11 @@ _PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
-    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    # the loops hold a dash or a line each and are bounded, since Java's matcher recurses in them
+    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+           r"(?:[A-Za-z0-9+/=:,.\s\\]*+(?:-(?!----)[A-Za-z0-9+/=:,.\s\\]*+){0,40}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+           r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]{0,200}+){0,8}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+){0,1000}+"
+           r"(?:(?:\s*[\r\n]\s*|(?:\\[nr])+)[A-Za-z0-9+/]{1,15}={0,2}(?=\s*[\r\n]|\s*\z))?)",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 _SPAN = "struct<start:int,kind:int,end:int>"
