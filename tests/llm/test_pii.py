@@ -75,3 +75,12 @@ def test_edge_cases(spark):
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     assert len(got) == 7 and sum(r["n_email"] for r in got) == 20001 and sum(r["n_ip"] for r in got) == 7500
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_schemes_and_overlong_accounts():
+    scheme = "x" + "a-long.scheme+" * 5 + "z"
+    for t, url in ((f"see {scheme}://host/x", f"{scheme}://host/x"), (f"12+{scheme}://h", f"{scheme}://h"), ("http://a http://b://c", "http://a"), ("9://h", None)):
+        assert [t[s:e] for s, e in pii.find(t)["url"]][:1] == [url][:url is not None]
+    assert pii.find("account no. 1" + "2" * 50)["account"] == [] and pii.find("konto 1" + " 23" * 30)["account"] == []
+    t = f"account: 1{'2' * 33}, more"
+    assert [t[s:e] for s, e in pii.find(t)["account"]] == ["1" + "2" * 33]

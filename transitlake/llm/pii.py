@@ -30,9 +30,9 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _REST = re.compile(r"[^\s\"'<>]+")
-_NUMBER = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?[ :#=]{1,3}([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})")
+_NUMBER = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?[ :#=]{1,3}([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![ -]?[A-Z0-9])")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -96,12 +96,16 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     out["phone"].append(m.span())
         elif kind == "://":
-            if i >= after["url"] and (s := _SCHEME.search(text, max(after["url"], i - 20), i)) \
-                    and (m := _REST.match(text, end + 1)):
+            start = i
+            while start > after["url"] and text[start - 1] in _SCHEME:
+                start -= 1
+            while start < i and not (text[start].isascii() and text[start].isalpha()):
+                start += 1
+            if start < i and (m := _REST.match(text, end + 1)):
                 stop = end + 1 + len(m[0].rstrip(".,;:!?)]}"))
                 if stop > end + 1:
                     after["url"] = stop
-                    out["url"].append((s.start(), stop))
+                    out["url"].append((start, stop))
         elif i >= after["account"] and (m := _NUMBER.match(text, end + 1)):
             number = re.sub("[ -]", "", m[1])
             iban = number[:2].isalpha()
