@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from transitlake.llm import buckets, embed_dedup, minhash, mixing, pii, preference, quality, secrets, tokens, topk
+from transitlake.llm import (buckets, embed_dedup, exact_dedup, filter_audit, fim, minhash, mixing, pii, preference, quality, secrets,
+                            tokens, topk)
 from transitlake.llm.common import table
 
 
@@ -51,11 +52,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_minhash_near_dedup, op2_token_counts, op3_preference_format, op4_length_buckets, op5_embedding_near_dedup,
-             op6_pii, op7_top_k, op8_quality, op9_secret_scan, op10_mixing)
+             op6_pii, op7_top_k, op8_quality, op9_secret_scan, op10_mixing, op11_filter_audit, op12_exact_dedup, op13_fill_in_middle)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": preference.ORACLE_SQL, "op7_top_k": topk.ORACLE_SQL}
+    return {"op3_preference_format": preference.ORACLE_SQL, "op7_top_k": topk.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL,
+            "op12_exact_dedup": exact_dedup.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
