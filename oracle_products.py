@@ -3,7 +3,7 @@ positional variant W1 and the quality checks (see oracle_twins.py)."""
 
 from __future__ import annotations
 
-from oracle_twins import DOC, RAW_DOC, REL, doc_avg as _doc_avg, rounded as _rr
+from oracle_twins import DOC, RAW_DOC, RAW_REL, REL, doc_avg as _doc_avg, rounded as _rr
 from transitlake import schema as S
 from transitlake.plans.catalog import OTHER_TYPE
 
@@ -315,3 +315,59 @@ UNION ALL SELECT 'quartiers_reels', COUNT(*) FROM """ + _FEATURES + " f",
 # the same products over the report files, written and read again
 PRODUCTS |= {"D13_worst_lines_from_csv": PRODUCTS["D13_worst_lines"], "D16_delay_class_counts_from_csv": PRODUCTS["D16_delay_class_counts"],
              "D18_electric_ranked_from_csv": PRODUCTS["D18_electric_ranked"], "D17_daily_passengers_from_csv": PRODUCTS["D17_daily_passengers"]}
+
+# Stored forms (plans/catalog_stored.py): features of the parts, planted text rows, places in a written report.
+_PART_FEATURES = """(SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx,
+    CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 13 = 0 THEN p_name || ' \\"}],{' ELSE p_name END END AS l_qu,
+    CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS c_qu, CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS c_ar,
+    CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END AS surface, CASE WHEN p_partkey % 2 <> 0 THEN p_retailprice / 4 END AS perimetre,
+    p_size FROM part)"""
+_PART_MAPPING = f"""(SELECT q.id_quartier, q.nom AS nom_synthetique, COALESCE(f.l_qu, '') AS nom_reel, COALESCE(f.c_ar, 0) AS arrondissement, f.p_size
+    FROM (SELECT id_quartier, nom, row_number() OVER (ORDER BY id_quartier, nom) - 1 AS i FROM Quartier) q JOIN {_PART_FEATURES} f ON f.idx = q.i)"""
+
+
+def _placed(body: str, columns: str, order: str) -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS rang FROM ({body}) x"
+
+
+_REREAD = {
+    "b": _placed(RAW_REL["R_b_rel"], f"nom_ligne, jour, {_rr('avg_passagers')} AS avg_passagers", "nom_ligne NULLS FIRST, jour NULLS FIRST"),
+    "d": _placed(RAW_REL["R_d_rel"], f"immatriculation, type_vehicule, {_rr('avg_co2')} AS avg_co2", "immatriculation NULLS FIRST"),
+    "k": _placed(RAW_REL["R_k_rel"], f"chauffeur_nom, {_rr('avg_retard_minutes')} AS avg_retard_minutes", "chauffeur_nom NULLS FIRST"),
+    "m": f"""SELECT id_capteur, {_rr('latitude')} AS latitude, {_rr('longitude')} AS longitude, {_rr('valeur')} AS valeur,
+    CASE WHEN valeur < 400 THEN 'faible' WHEN valeur < 500 THEN 'moyen' ELSE 'élevé' END AS niveau_pollution,
+    row_number() OVER (ORDER BY id_capteur, horodatage NULLS FIRST, valeur NULLS FIRST) AS rang
+FROM Mesure JOIN (SELECT id_capteur, latitude, longitude FROM Capteur WHERE type_capteur = 'CO2') c USING (id_capteur)""",
+}
+
+PRODUCTS |= {
+    "M5_quartiers_from_geojson_file": f"""SELECT idx + 1 AS id_quartier, COALESCE(l_qu, 'Quartier-' || (idx + 1)) AS nom,
+    COALESCE(l_qu, 'Quartier-' || (idx + 1)) AS nom_officiel, COALESCE(c_qu, '') AS code_quartier, COALESCE(c_ar, 0) AS arrondissement,
+    {_rr('COALESCE(surface, 0)')} AS surface, {_rr('COALESCE(perimetre, 0)')} AS perimetre, TRUE AS is_real_paris, CAST(4 AS BIGINT) AS n_points,
+    CAST(p_size + 1 AS DOUBLE) AS second_lon FROM {_PART_FEATURES} f""",
+    "M7_written_statistics": PRODUCTS["M7_load_statistics"].split("UNION ALL SELECT 'quartiers'")[0]
+    + "UNION ALL SELECT 'quartiers', COUNT(*) FROM part UNION ALL SELECT 'quartiers_reels', COUNT(*) FROM part",
+    "M9_upsert_from_json_map": f"""SELECT COALESCE(m.id_quartier, w.id_quartier) AS id_quartier, w.nom, m.nom_synthetique, m.nom_reel, m.arrondissement,
+    CASE WHEN m.id_quartier IS NOT NULL THEN CAST(m.p_size AS DOUBLE) ELSE w.ring[1][1] END AS first_lon, w.is_real_paris
+FROM {_PART_MAPPING} m FULL JOIN (SELECT *, FALSE AS is_real_paris FROM ({WKT}) w) w ON w.id_quartier = m.id_quartier""",
+    "S8_replaced_by_itself": """SELECT id_vehicule, type_vehicule, capacite + 1 AS capacite, c.nom AS chauffeur_nom
+FROM Vehicule LEFT JOIN Chauffeur c USING (id_chauffeur) WHERE type_vehicule <> 'Diesel'""",
+    "F4_load_rejects": """SELECT 'Trafic' AS table_name, id_trafic AS id, 'horodatage' AS column_name, '2045-13-45 99:00:00' AS value, 'bad timestamp' AS reason
+FROM Trafic WHERE id_trafic % 97 = 0
+UNION ALL SELECT 'Trafic', id_trafic, 'retard_minutes', 'douze', 'not a number' FROM Trafic WHERE id_trafic % 89 = 0
+UNION ALL SELECT 'Horaire', id_horaire, 'heure_prevue', 'hier', 'bad timestamp' FROM Horaire WHERE id_horaire % 83 = 0
+UNION ALL SELECT 'Incident', id_incident, NULL, id_incident || ',' || id_trafic, 'malformed line' FROM Incident WHERE id_incident % 101 = 0""",
+    "F4_loaded_rows": """SELECT 'Trafic' AS table_name, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_missing FROM Trafic WHERE id_trafic % 97 <> 0 AND id_trafic % 89 <> 0
+UNION ALL SELECT 'Horaire', COUNT(*), COUNT(*) FILTER (WHERE id_horaire % 79 = 0) FROM Horaire WHERE id_horaire % 83 <> 0
+UNION ALL SELECT 'Incident', COUNT(*), 0 FROM Incident WHERE id_incident % 101 <> 0""",
+    "F4_loaded_report_a": f"""SELECT nom_ligne, {_rr('v')} AS avg_retard FROM Ligne LEFT JOIN (
+    SELECT id_ligne, AVG(retard_minutes) AS v FROM Trafic WHERE id_trafic % 97 <> 0 AND id_trafic % 89 <> 0 GROUP BY id_ligne) t USING (id_ligne)""",
+    "Q4_result_page": f"SELECT * FROM ({_REREAD['m']}) x WHERE rang BETWEEN 151 AND 200",
+    "Q4_view_result": f"SELECT * EXCLUDE (rang), (SELECT COUNT(*) FROM ({_REREAD['m']}) y) AS n_rows FROM ({_REREAD['m']}) x WHERE rang BETWEEN 51 AND 75",
+    "S11_result_list": f"""SELECT 'requete_a.csv' AS result, COUNT(*) AS n_rows FROM ({REL['R_a_rel']}) a
+UNION ALL SELECT 'requete_l.csv', COUNT(*) FROM ({REL['R_l_rel']}) l UNION ALL SELECT 'requete_n.csv', COUNT(*) FROM ({REL['R_n_rel']}) n""",
+    "S12_preview": "SELECT id_quartier, nom, substring(geojson, 1, 12) AS geojson FROM Quartier ORDER BY id_quartier LIMIT 5",
+    "D04_stored_board_line_7": PRODUCTS["D04_stop_board_line_7"],
+    "D04_stored_board_diesel_low": PRODUCTS["D04_stop_board_diesel_low"],
+    "D20_stored_selection_mix": PRODUCTS["D20_selection_mix"],
+} | {f"O2_report_{k}_reread": sql for k, sql in _REREAD.items()}

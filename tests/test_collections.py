@@ -1,0 +1,145 @@
+"""Stored collections: whole versions behind a manifest (S8), upserts of the touched parts (S9), counts of the write (M7)."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from helpers import rows
+from transitlake.operators import districts, nest
+from transitlake.plans import export
+from transitlake.sources import collections as C
+from transitlake.sources.binding import bind_network, network_from_frames
+
+
+def frame(spark, data):
+    return spark.createDataFrame(data, "id long, a string, part int")
+
+
+def files_of(root, m):
+    return {k: sorted(f for f in os.listdir(f"{root}/{path}") if f.endswith(".parquet")) for k, path in m.paths.items()}
+
+
+def test_replace_reads_what_it_replaces(spark, tmp_path):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(1, "x", 0), (2, "y", 1), (None, None, None)]), root)
+    C.replace_collection(C.read_collection(spark, root).where("id = 2 or id is null").withColumn("b", F.lit(7)), root)
+    assert rows(C.read_collection(spark, root)) == [(2, "y", 1, 7), (None, None, None, 7)]
+    assert rows(C.read_collection(spark, root, number=1)) == [(1, "x", 0), (2, "y", 1), (None, None, None)]
+
+
+def test_a_failing_write_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(i, "x", 0) for i in range(50)]), root, "id", parts=4)
+    bad = spark.range(50, numPartitions=5).select("id", F.when(F.col("id") == 41, F.raise_error(F.lit("stop"))).otherwise(F.lit("y")).alias("a"), F.lit(1).alias("part"))
+    for write in (lambda: C.replace_collection(bad, root), lambda: C.upsert_collection(bad, root)):
+        with pytest.raises(Exception):
+            write()
+        assert C.manifest(spark, root).number == 1 and {r["a"] for r in C.read_collection(spark, root).collect()} == {"x"}
+    C.vacuum(spark, root)
+    assert C.read_collection(spark, root).count() == 50
+
+
+def test_no_reader_sees_a_version_without_its_manifest(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(1, "x", 0)]), root)
+    seen = []
+    publish = C._publish
+    monkeypatch.setattr(C, "_publish", lambda *a: (seen.append(rows(C.read_collection(spark, root))), publish(*a)))
+    C.replace_collection(frame(spark, [(2, "y", 0)]), root)
+    assert seen == [[(1, "x", 0)]] and rows(C.read_collection(spark, root)) == [(2, "y", 0)]
+
+
+def test_two_writers_of_one_number_collide(spark, tmp_path):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(1, "x", 0)]), root)
+    m = C.manifest(spark, root)
+    with pytest.raises(RuntimeError):
+        C._publish(spark, root, m)
+    assert [f for f in os.listdir(f"{root}/manifest") if not f.startswith(".")] == ["0000000001.json"]
+
+
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(i, f"a{i}", 0) for i in range(200)]), root, "id", parts=16)
+    before = C.manifest(spark, root)
+    names = files_of(root, before)
+    upd = spark.createDataFrame([(3, "new", 1.5), (777, "more", None)], "id long, a string, b double")
+    touched = C.upsert_collection(upd, root)
+    after = C.manifest(spark, root)
+    assert 1 <= len(touched) <= 2 and after.number == before.number + 1
+    left = [k for k in names if k not in touched]
+    assert len(left) >= 14 and all(after.paths[k] == before.paths[k] and files_of(root, after)[k] == names[k] for k in left)
+    assert all(after.paths[k] != before.paths.get(k) for k in touched)
+    got = {r["id"]: (r["a"], r["part"], r["b"]) for r in C.read_collection(spark, root).collect()}
+    want = {i: (f"a{i}", 0, None) for i in range(200)} | {3: ("new", 0, 1.5), 777: ("more", None, None)}
+    assert got == want
+    assert rows(C.read_collection(spark, root)) == rows(C.upsert(C.read_collection(spark, root, number=1), upd, "id"))
+    assert C.upsert_collection(upd.limit(0), root) == [] and C.manifest(spark, root).number == after.number
+
+
+def test_upsert_reads_touched_parts_only(spark, tmp_path, monkeypatch):
+    root, asked = str(tmp_path / "c"), []
+    C.replace_collection(frame(spark, [(i, "a", 0) for i in range(100)]), root, "id", parts=16)
+    read = C.read_collection
+    monkeypatch.setattr(C, "read_collection", lambda s, r, parts=None, number=None: asked.append(parts) or read(s, r, parts, number))
+    touched = C.upsert_collection(frame(spark, [(5, "b", 0)]), root)
+    assert asked == [touched] and len(touched) == 1
+
+
+def test_vacuum_keeps_what_manifests_name(spark, tmp_path):
+    root = str(tmp_path / "c")
+    C.replace_collection(frame(spark, [(i, "a", 0) for i in range(100)]), root, "id", parts=8)
+    C.upsert_collection(frame(spark, [(5, "b", 0)]), root)
+    C.replace_collection(C.read_collection(spark, root).withColumn("a", F.lit("z")), root, "id", parts=8)
+    C.upsert_collection(frame(spark, [(6, "c", 0)]), root)
+    want = rows(C.read_collection(spark, root))
+    assert len(os.listdir(f"{root}/data")) == 4
+    C.vacuum(spark, root)
+    assert rows(C.read_collection(spark, root)) == want and len(os.listdir(f"{root}/data")) == 2
+
+
+def test_empty_and_missing(spark, tmp_path):
+    root = str(tmp_path / "c")
+    with pytest.raises(FileNotFoundError):
+        C.read_collection(spark, root)
+    counts = C.LoadCounts()
+    C.replace_collection(frame(spark, []), root, counts=counts, counted={"rows": F.lit(True)})
+    assert C.read_collection(spark, root).count() == 0 and C.read_collection(spark, root).columns == ["id", "a", "part"] and counts.rows() == {"rows": 0}
+    with pytest.raises(ValueError):
+        C.upsert_collection(frame(spark, [(1, "x", 0)]), root)
+
+
+def test_counts_of_the_write_equal_a_recount(spark, tmp_path):
+    """Orphan measures and incidents included, documents in parts counted once."""
+    net = bind_network(spark, SF_SMALL)
+    lost = net.Mesure.limit(40).withColumn("id_capteur", F.lit(-5).cast("long")).unionByName(net.Mesure.limit(7).withColumn("id_capteur", F.lit(None).cast("long")))
+    loose = net.Incident.limit(30).withColumn("id_trafic", F.lit(-9).cast("long")).unionByName(net.Incident.limit(4).withColumn("id_trafic", F.lit(None).cast("long")))
+    net = network_from_frames(net.tables() | {"Mesure": net.Mesure.unionByName(lost), "Incident": net.Incident.unionByName(loose)})
+    quartiers = districts.quartiers_from_wkt(net.Quartier)[0]
+    got = {r["collection"]: r["n"] for r in export.export_collections(net, str(tmp_path), max_items=9).collect()}
+    assert got == {r["collection"]: r["n"] for r in nest.load_statistics(net, quartiers).collect()}
+    assert C.read_collection(spark, str(tmp_path / "Arrets")).count() > got["arrets"]
+
+
+def test_each_table_is_scanned_once_for_its_collection_and_counts(spark):
+    """The frame that is written holds its count; no other plan scans the table."""
+    net, counts = bind_network(spark, SF_SMALL), C.LoadCounts()
+    docs = counts.watch(nest.nest_vehicules(net), vehicules=F.lit(True))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CollectMetrics") == 1 and plan.count("c_mktsegment#") > 0 and plan.count("Relation [") == 2  # vehicles, drivers
+
+
+def test_m9_on_the_stored_collection(spark, tmp_path):
+    root = str(tmp_path / "q")
+    net = bind_network(spark, SF_SMALL)
+    docs, _ = districts.quartiers_from_wkt(net.Quartier)
+    feats = districts.features_of(docs).where("idx < 3")
+    mapping = districts.quartier_mapping(net.Quartier, feats)
+    C.replace_collection(docs, root, "id_quartier", parts=16)
+    touched = districts.apply_mapping_stored(root, mapping, feats)
+    want = districts.apply_mapping(docs, mapping, feats)
+    assert rows(C.read_collection(spark, root).drop("geometry").select(sorted(set(want.columns) - {"geometry"}))) \
+        == rows(want.select(sorted(set(want.columns) - {"geometry"})))
+    assert 1 <= len(touched) <= 3

@@ -1,4 +1,4 @@
-"""Dashboard refresh: the cached board equals the direct board for every
+"""Dashboard refresh: the stored board equals the direct board for every
 selector combination; strict date parsing fails on bad text."""
 
 import pytest
@@ -19,18 +19,22 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def board(docs):
-    b = P.StopBoard(docs)
-    yield b
-    b.release()
+    return P.StopBoard.store(docs)
 
 
 @pytest.mark.parametrize("kw", [{}, {"co2_level": "low"}, {"co2_level": "medium"}, {"co2_level": "high"},
                                 {"vehicle_type": "Diesel"}, {"vehicle_type": "Electrique", "id_ligne": 3},
                                 {"id_ligne": 0}, {"vehicle_type": "Hybride", "co2_level": "medium"}])
-def test_cached_board_equals_direct(docs, board, kw):
+def test_stored_board_equals_direct(docs, board, kw):
     assert rows(board.select(**kw)) == rows(P.stop_board(docs, **kw))
 
 
+def test_selections_prune_folders(board):
+    plan = board.select(id_ligne=3, vehicle_type="Diesel")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "_line" in filters and "_first_type" in filters
+
+
 def test_line_zero_is_a_real_line(docs):
     assert P.stop_board(docs, id_ligne=0).count() == docs.stops.filter(F.col("id_ligne") == 0).count()
 

@@ -5,6 +5,7 @@ import os
 from conftest import SF_SMALL
 from transitlake.plans import export
 from transitlake.sources.binding import bind_network
+from transitlake.sources.collections import read_collection
 from transitlake.sources.files import read_report
 
 
@@ -23,6 +24,6 @@ def test_migration_writes_collections(spark, tmp_path):
     net = bind_network(spark, SF_SMALL)
     stats = {r["collection"]: r["n"] for r in export.export_collections(net, str(tmp_path)).collect()}
     assert set(os.listdir(tmp_path)) >= {"Lignes", "Arrets", "Vehicules", "Trafic", "Quartiers"}
-    assert spark.read.parquet(str(tmp_path / "Arrets")).count() == stats["arrets"]
-    rejected = spark.read.parquet(str(tmp_path / "Quartiers_rejets")).count()
+    assert read_collection(spark, str(tmp_path / "Arrets")).count() == stats["arrets"]
+    rejected = read_collection(spark, str(tmp_path / "Quartiers_rejets")).count()
     assert stats["quartiers"] + rejected == net.Quartier.count() and rejected > 0 and stats["quartiers_reels"] == 0

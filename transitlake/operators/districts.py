@@ -9,27 +9,35 @@ from pyspark.sql import types as T
 
 from transitlake import schema as S
 from transitlake.operators.positional import with_position
+from transitlake.sources.collections import upsert, upsert_collection
+from transitlake.sources.jsonsplit import json_records, numbered_over_files
 
 # GeoJSON property names of the district file.
 PROP_NAME, PROP_CODE, PROP_ARR, PROP_SURFACE, PROP_PERIMETER = "l_qu", "c_qu", "c_ar", "surface", "perimetre"
 
-FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
+FEATURE = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("properties", T.StructType([
         T.StructField(PROP_NAME, T.StringType()), T.StructField(PROP_CODE, T.StringType()),
         T.StructField(PROP_ARR, T.IntegerType()), T.StructField(PROP_SURFACE, T.DoubleType()),
         T.StructField(PROP_PERIMETER, T.DoubleType())])),
-    T.StructField("geometry", S.POLYGON)])))])
+    T.StructField("geometry", S.POLYGON)])
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON FeatureCollections → one row per feature with its 0-based position, over all files of
-    ``path`` in file order. A FeatureCollection is a single JSON document, so each file is
-    parsed by one task; the explode then fans the features out."""
-    fc = spark.read.schema(FEATURES).option("multiLine", True).json(path)
-    rows = fc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("at", "f"))
-    return with_position(rows, [], ["file", "at"], name="idx").select(
-        "idx", F.col("f.properties").alias("p"), F.col("f.geometry").alias("geometry"))
+    ``path`` in file order. A collection is cut into features by ``jsonsplit``, so a large file is read by many tasks."""
+    rows = numbered_over_files(json_records(spark, path, "features")).select("idx", F.from_json("json", FEATURE).alias("f"))
+    return rows.select("idx", F.col("f.properties").alias("p"), F.col("f.geometry").alias("geometry"))
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """A FeatureCollection as one file: a head, a line for each feature (idx, p, geometry) in order, and a foot. A
+    dimension's size; the lines are made by many tasks, the last one joins them."""
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("p").alias("properties"), "geometry"))
+    lines = features.select("idx", F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), feature).alias("value"))
+    frame = features.sparkSession.createDataFrame([(-1, '{"type": "FeatureCollection", "features": ['), (1 << 62, "]}")], "idx long, value string")
+    lines.unionByName(frame).coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(path)
 
 
 def features_of(quartiers: DataFrame) -> DataFrame:
@@ -117,34 +125,18 @@ def mapping_json_lines(mapping: DataFrame) -> DataFrame:
                                    F.lit("}")).alias("value"))
 
 
-def upsert(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """``update_one({key}, {$set: fields}, upsert=True)`` for every update
-    row: a full outer join on the key; fields present in ``updates`` take the
-    new value (NULL included, as $set does), others keep the old one; keys
-    only in ``updates`` become new documents. Returns the new collection
-    (write it to a new path; the input stays readable)."""
-    cur, upd = current.alias("c"), updates.alias("u")
-    joined = cur.join(upd, F.col(f"c.{key}") == F.col(f"u.{key}"), "full_outer")
-    hit = F.col(f"u.{key}").isNotNull()
-    cols = [F.coalesce(F.col(f"u.{key}"), F.col(f"c.{key}")).alias(key)]
-    for c in current.columns:
-        if c == key:
-            continue
-        if c in updates.columns:
-            cols.append(F.when(hit, F.col(f"u.{c}")).otherwise(F.col(f"c.{c}")).alias(c))
-        else:
-            cols.append(F.col(f"c.{c}").alias(c))
-    for c in updates.columns:
-        if c not in current.columns:
-            cols.append(F.col(f"u.{c}").alias(c))
-    return joined.select(cols)
+def mapping_updates(mapping: DataFrame, features: DataFrame) -> DataFrame:
+    """What M9 sets on each mapped district: nom_synthetique, nom_reel, arrondissement and the feature's geometry."""
+    geo = features.select(F.col("idx").alias("index_geojson"), "geometry")
+    return mapping.join(geo, "index_geojson").select(
+        "id_quartier", "nom_synthetique", "nom_reel", F.col("arrondissement").cast("int").alias("arrondissement"), "geometry")
 
 
 def apply_mapping(quartiers: DataFrame, mapping: DataFrame, features: DataFrame) -> DataFrame:
-    """M9: set nom_synthetique, nom_reel, arrondissement and the feature's
-    geometry on each mapped district (insert when missing)."""
-    geo = features.select(F.col("idx").alias("index_geojson"), "geometry")
-    updates = mapping.join(geo, "index_geojson").select(
-        "id_quartier", "nom_synthetique", "nom_reel", F.col("arrondissement").cast("int").alias("arrondissement"),
-        "geometry")
-    return upsert(quartiers, updates, "id_quartier")
+    """M9 on frames: the districts after the upsert (insert when missing)."""
+    return upsert(quartiers, mapping_updates(mapping, features), "id_quartier")
+
+
+def apply_mapping_stored(root: str, mapping: DataFrame, features: DataFrame) -> list[int]:
+    """M9 on the stored district collection: rewrites the parts that hold mapped districts and returns them."""
+    return upsert_collection(mapping_updates(mapping, features), root)

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.functions.calc import null_to_nan
-from transitlake.sources.binding import Network
+from transitlake.sources.binding import Later, Network, OnDemand
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 @dataclass
-class DocViews:
+class DocViews(OnDemand):
     lignes: DataFrame          # id_ligne, nom_ligne, type, frequentation_moyenne
     stops: DataFrame           # id_arret, nom, id_ligne, latitude, longitude
     stop_districts: DataFrame  # id_arret, id_ligne, id_quartier, quartier_nom
@@ -45,36 +45,8 @@ class DocViews:
 
     @staticmethod
     def from_network(net: Network) -> "DocViews":
-        stops = net.Arret.select("id_arret", "nom", "id_ligne", "latitude", "longitude")
-        stop_keys = stops.select("id_arret", "id_ligne")
-        districts = (net.ArretQuartier.join(net.Quartier.select("id_quartier", F.col("nom").alias("quartier_nom")),
-                                            "id_quartier")
-                     .join(stop_keys, "id_arret")
-                     .select("id_arret", "id_ligne", "id_quartier", "quartier_nom"))
-        sensors = (net.Capteur.select("id_capteur", "id_arret", "type_capteur",
-                                      F.col("latitude").alias("cap_latitude"),
-                                      F.col("longitude").alias("cap_longitude"))
-                   .join(stops, "id_arret")
-                   .select("id_arret", "nom", "id_ligne", "latitude", "longitude", "id_capteur", "type_capteur",
-                           "cap_latitude", "cap_longitude"))
-        measures = net.Mesure.select("id_capteur", "horodatage", null_to_nan("valeur").alias("valeur"), "unite")
-        timetable = net.Horaire.select(
-            "id_arret", "id_vehicule",
-            F.date_format("heure_prevue", TS_TEXT).alias("heure_prevue"),
-            F.date_format("heure_effective", TS_TEXT).alias("heure_effective"),
-            null_to_nan("passagers_estimes").alias("passagers_estimes"))
-        chauffeur = net.Chauffeur.select("id_chauffeur", F.col("nom").alias("chauffeur_nom"), "date_embauche")
-        vehicles = net.Vehicule.join(chauffeur, "id_chauffeur", "left").select(
-            "id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite", "id_chauffeur",
-            "chauffeur_nom", "date_embauche")
-        incident_counts = net.Incident.filter(F.col("id_trafic").isNotNull()) \
-            .groupBy("id_trafic").agg(F.count(F.lit(1)).alias("n_incidents"))
-        traffic = (net.Trafic.join(incident_counts, "id_trafic", "left")
-                   .select("id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement",
-                           F.coalesce("n_incidents", F.lit(0)).alias("n_incidents")))
-        incidents = net.Incident.join(net.Trafic.select("id_trafic").distinct(), "id_trafic", "left_semi") \
-            .select("id_trafic", "description", "gravite", "horodatage")
-        return DocViews(net.Ligne, stops, districts, sensors, measures, timetable, vehicles, traffic, incidents)
+        """The views of the tables; each is built when a report first reads it."""
+        return DocViews(**{name: Later(lambda view=view: view(net)) for name, view in NETWORK_VIEWS.items()})
 
     @staticmethod
     def from_collections(lignes: DataFrame, arrets: DataFrame, vehicules: DataFrame,
@@ -89,6 +61,57 @@ class DocViews:
         return DocViews(lignes=lignes, **arret_views(arrets), **vehicule_views(vehicules), **trafic_views(trafic))
 
 
+def _stops(net: Network) -> DataFrame:
+    return net.Arret.select("id_arret", "nom", "id_ligne", "latitude", "longitude")
+
+
+def _stop_districts(net: Network) -> DataFrame:
+    return (net.ArretQuartier.join(net.Quartier.select("id_quartier", F.col("nom").alias("quartier_nom")), "id_quartier")
+            .join(net.Arret.select("id_arret", "id_ligne"), "id_arret")
+            .select("id_arret", "id_ligne", "id_quartier", "quartier_nom"))
+
+
+def _sensors(net: Network) -> DataFrame:
+    own = net.Capteur.select("id_capteur", "id_arret", "type_capteur", F.col("latitude").alias("cap_latitude"),
+                             F.col("longitude").alias("cap_longitude"))
+    return own.join(_stops(net), "id_arret").select("id_arret", "nom", "id_ligne", "latitude", "longitude", "id_capteur",
+                                                    "type_capteur", "cap_latitude", "cap_longitude")
+
+
+def _measures(net: Network) -> DataFrame:
+    return net.Mesure.select("id_capteur", "horodatage", null_to_nan("valeur").alias("valeur"), "unite")
+
+
+def _timetable(net: Network) -> DataFrame:
+    return net.Horaire.select(
+        "id_arret", "id_vehicule",
+        F.date_format("heure_prevue", TS_TEXT).alias("heure_prevue"),
+        F.date_format("heure_effective", TS_TEXT).alias("heure_effective"),
+        null_to_nan("passagers_estimes").alias("passagers_estimes"))
+
+
+def _vehicles(net: Network) -> DataFrame:
+    chauffeur = net.Chauffeur.select("id_chauffeur", F.col("nom").alias("chauffeur_nom"), "date_embauche")
+    return net.Vehicule.join(chauffeur, "id_chauffeur", "left").select(
+        "id_vehicule", "immatriculation", "id_ligne", "type_vehicule", "capacite", "id_chauffeur", "chauffeur_nom", "date_embauche")
+
+
+def _traffic(net: Network) -> DataFrame:
+    counts = net.Incident.filter(F.col("id_trafic").isNotNull()).groupBy("id_trafic").agg(F.count(F.lit(1)).alias("n_incidents"))
+    return (net.Trafic.join(counts, "id_trafic", "left")
+            .select("id_trafic", "id_ligne", "horodatage", "retard_minutes", "evenement",
+                    F.coalesce("n_incidents", F.lit(0)).alias("n_incidents")))
+
+
+def _incidents(net: Network) -> DataFrame:
+    return net.Incident.join(net.Trafic.select("id_trafic").distinct(), "id_trafic", "left_semi") \
+        .select("id_trafic", "description", "gravite", "horodatage")
+
+
+NETWORK_VIEWS = {"lignes": lambda net: net.Ligne, "stops": _stops, "stop_districts": _stop_districts, "sensors": _sensors,
+                 "measures": _measures, "timetable": _timetable, "vehicles": _vehicles, "traffic": _traffic, "incidents": _incidents}
+
+
 def _head(df: DataFrame) -> DataFrame:
     return df.filter(F.col("part") == 0) if "part" in df.columns else df
 

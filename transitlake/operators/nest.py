@@ -20,6 +20,7 @@ from transitlake import schema as S
 from transitlake.operators.docviews import TS_TEXT
 from transitlake.operators.positional import with_position
 from transitlake.sources.binding import Network
+from transitlake.sources.collections import LoadCounts
 
 DEFAULT_MAX_ITEMS = 50_000
 
@@ -31,16 +32,18 @@ def required(name: str, job: str) -> Column:
     return F.when(F.col(name).isNull(), problem).otherwise(F.col(name)).alias(name)
 
 
-def in_parts(df: DataFrame, key: str, order: list[str], max_items: int) -> DataFrame:
-    """``df`` with ``part``, the run of ``max_items`` children that a row falls in."""
-    rows = with_position(df.filter(F.col(key).isNotNull()), [key], order)
+def in_parts(df: DataFrame, key: str, order: list[str], max_items: int, watch=None) -> DataFrame:
+    """``df`` with ``part``, the run of ``max_items`` children that a row falls in; rows without a key belong to no parent.
+    With ``watch`` they pass the numbering too, which counts all rows on the way."""
+    rows = df if watch else df.filter(F.col(key).isNotNull())
+    rows = with_position(rows, [key], order, watch=watch).filter(F.col(key).isNotNull())
     return rows.withColumn("part", F.floor(F.col("pos") / max_items)).drop("pos")
 
 
-def lists(df: DataFrame, key: str, order: list[str], item: Column, max_items: int) -> DataFrame:
+def lists(df: DataFrame, key: str, order: list[str], item: Column, max_items: int, watch=None) -> DataFrame:
     """(key, part, items): children of each parent in ``order``, at most ``max_items`` in a list."""
     sort = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).alias("_o")
-    return (in_parts(df, key, order, max_items).groupBy(key, "part")
+    return (in_parts(df, key, order, max_items, watch).groupBy(key, "part")
             .agg(F.sort_array(F.collect_list(F.struct(sort, item.alias("_i")))).alias("_l"))
             .select(key, "part", F.transform("_l", lambda x: x["_i"]).alias("items")))
 
@@ -54,12 +57,14 @@ def nest_lignes(net: Network) -> DataFrame:
     return net.Ligne
 
 
-def sensor_lists(net: Network, max_items: int) -> DataFrame:
-    """(id_arret, part, capteurs): sensors in id order, each with its measures of the part in time order."""
+def sensor_lists(net: Network, max_items: int, counts: LoadCounts | None = None) -> DataFrame:
+    """(id_arret, part, capteurs): sensors in id order, each with its measures of the part in time order. With ``counts``, measures
+    of unknown sensors come along as far as the count ``mesures`` is taken."""
     caps = net.Capteur.filter(F.col("id_arret").isNotNull())
-    rows = caps.join(net.Mesure.withColumn("present", F.lit(True)), "id_capteur", "left")
+    rows = caps.join(net.Mesure.withColumn("present", F.lit(True)), "id_capteur", "full" if counts else "left")
     order = ["id_capteur", "horodatage", "valeur", "unite"]
-    placed = in_parts(rows, "id_arret", order, max_items)
+    watch = counts and (lambda df: counts.watch(df, mesures=F.col("present") & F.col("id_capteur").isNotNull()))
+    placed = in_parts(rows, "id_arret", order, max_items, watch)
     measure = F.when(F.col("present"), F.struct("horodatage", F.coalesce(F.col("valeur"), F.lit(float("nan"))).alias("valeur"),
                                                 "unite"))
     entry = F.struct("id_capteur", "type_capteur", _point("longitude", "latitude").alias("location"), "mesures")
@@ -68,10 +73,10 @@ def sensor_lists(net: Network, max_items: int) -> DataFrame:
             .groupBy("id_arret", "part").agg(F.sort_array(F.collect_list(entry)).alias("capteurs")))
 
 
-def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True) -> DataFrame:
+def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True, counts: LoadCounts | None = None) -> DataFrame:
     """M2: stop documents with location, districts, sensors (+ measures) and
     timetable. Missing lists are empty; NULL passenger counts become NaN and
-    timetable times stay text, as in the reference's documents."""
+    timetable times stay text, as in the reference's documents. ``counts`` takes the measures read (M7)."""
     h_item = F.struct(F.col("id_vehicule"), F.date_format("heure_prevue", TS_TEXT).alias("heure_prevue"),
                       F.date_format("heure_effective", TS_TEXT).alias("heure_effective"),
                       F.coalesce(F.col("passagers_estimes").cast("double"), F.lit(float("nan")))
@@ -80,7 +85,7 @@ def nest_arrets(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
     bridge = net.ArretQuartier.join(net.Quartier.select("id_quartier", "nom"), "id_quartier")
     quartiers = lists(bridge, "id_arret", ["id_quartier", "nom"], F.struct("id_quartier", "nom"), max_items) \
         .withColumnRenamed("items", "quartiers")
-    parts = (sensor_lists(net, max_items).join(horaires, ["id_arret", "part"], "full")
+    parts = (sensor_lists(net, max_items, counts).join(horaires, ["id_arret", "part"], "full")
              .join(quartiers, ["id_arret", "part"], "full"))
     docs = net.Arret.join(parts, "id_arret", "left")
 
@@ -108,10 +113,11 @@ def nest_vehicules(net: Network, validate: bool = True) -> DataFrame:
                     F.struct(own[2], name.alias("nom"), F.col("date_embauche")).alias("chauffeur"))
 
 
-def nest_trafic(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True) -> DataFrame:
-    """M4: traffic rows with their incidents (empty list when none)."""
+def nest_trafic(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool = True, counts: LoadCounts | None = None) -> DataFrame:
+    """M4: traffic rows with their incidents (empty list when none). ``counts`` takes the incidents read (M7)."""
     item = F.struct("description", "gravite", "horodatage")
-    inc = lists(net.Incident, "id_trafic", ["horodatage", "id_incident", "description", "gravite"], item, max_items) \
+    watch = counts and (lambda df: counts.watch(df, incidents=F.col("id_trafic").isNotNull()))
+    inc = lists(net.Incident, "id_trafic", ["horodatage", "id_incident", "description", "gravite"], item, max_items, watch) \
         .withColumnRenamed("items", "incidents")
     docs = net.Trafic.join(inc, "id_trafic", "left")
     line, delay = [required(c, "nest_trafic") if validate else F.col(c) for c in ("id_ligne", "retard_minutes")]
@@ -121,8 +127,8 @@ def nest_trafic(net: Network, max_items: int = DEFAULT_MAX_ITEMS, validate: bool
 
 
 def load_statistics(net: Network, quartiers: DataFrame | None = None) -> DataFrame:
-    """M7: rows per collection. Measures and incidents are counted before they
-    are attached (orphans included), as the reference's summary does."""
+    """M7: rows per collection, by a scan of every table (``plans.export`` counts while it writes). Measures and incidents are counted
+    before they are attached (orphans included), as the reference's summary does."""
     counted = {"lignes": net.Ligne, "arrets": net.Arret, "vehicules": net.Vehicule, "trafic": net.Trafic,
                "mesures": net.Mesure.filter(F.col("id_capteur").isNotNull()),
                "incidents": net.Incident.filter(F.col("id_trafic").isNotNull())}

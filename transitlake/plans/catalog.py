@@ -9,7 +9,6 @@ return full precision).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,10 +18,10 @@ from pyspark.sql import types as T
 
 from transitlake.operators import districts, nest
 from transitlake.operators.docviews import DocViews, arret_views, trafic_views, vehicule_views
-from transitlake.plans import products, quality, reports_doc, reports_rel
-from transitlake.session import checkpoint_dir
+from transitlake.plans import catalog_stored, products, quality, reports_doc, reports_rel
+from transitlake.session import scratch_path, stored
 from transitlake.sources.binding import Network, bind_network
-from transitlake.sources.files import read_report, write_collection, write_report
+from transitlake.sources.files import read_report, write_report
 
 # A vehicle type that is not line 7's first one: the selectors then leave no stop.
 OTHER_TYPE = "Hybride"
@@ -36,6 +35,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                       for f in df.schema.fields])
 
 
+def _rounded_after(fn: Query) -> Query:
+    return lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+
+
 def _net(spark: SparkSession, sf_dir: str) -> Network:
     return bind_network(spark, sf_dir)
 
@@ -77,17 +80,6 @@ def _over_file(letter: str, fn) -> Query:
     return run
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table, in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    write_collection(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _nested(letter: str) -> Query:
     """The document report over stored collections: the nest jobs' documents that the report reads are written as nested
     tables, scanned again and unwound."""
@@ -95,11 +87,11 @@ def _nested(letter: str) -> Query:
         net = _net(spark, sf_dir)
         views: dict[str, DataFrame] = {}
         if letter in "bdehijm":
-            views |= arret_views(_stored(nest.nest_arrets(net), "Arrets"))
+            views |= arret_views(stored(nest.nest_arrets(net), "Arrets"))
         if letter in "dkl":
-            views |= vehicule_views(_stored(nest.nest_vehicules(net), "Vehicules"))
+            views |= vehicule_views(stored(nest.nest_vehicules(net), "Vehicules"))
         if letter in "acfgikn":
-            views |= trafic_views(_stored(nest.nest_trafic(net), "Trafic"))
+            views |= trafic_views(stored(nest.nest_trafic(net), "Trafic"))
         return rounded(reports_doc.REPORTS[letter](replace(DocViews.from_network(net), **views)))
     return run
 
@@ -261,4 +253,4 @@ def build() -> dict[str, Query]:
 
     q["Q1_parity"] = _parity
     q["Q3_integrity"] = lambda spark, sf_dir: quality.integrity(_net(spark, sf_dir))
-    return q
+    return q | {key: _rounded_after(fn) for key, fn in catalog_stored.build().items()}

@@ -4,7 +4,7 @@
   (``requete_<x>.csv`` for the relational profile, ``mongo_requete_<x>.csv``
   for the document profile), each through its column contract (S6 + S7).
 * ``export_collections`` writes the document collections (M1–M4, plus the
-  district documents of M6) as parquet and returns the load statistics (M7).
+  district documents of M6) as versioned collections and returns the load statistics (M7).
 
 CLI::
 
@@ -17,12 +17,14 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from transitlake.operators import districts, nest
 from transitlake.operators.docviews import DocViews
 from transitlake.plans import reports_doc, reports_rel
 from transitlake.sources.binding import Network, bind_network
-from transitlake.sources.files import write_collection, write_report
+from transitlake.sources.collections import LoadCounts, replace_collection
+from transitlake.sources.files import write_report
 
 FILE_PREFIX = {"rel": "requete_", "doc": "mongo_requete_"}
 
@@ -39,21 +41,25 @@ def export_reports(net: Network, out_dir: str, profile: str = "rel") -> list[str
     return paths
 
 
-def export_collections(net: Network, out_dir: str, max_items: int = nest.DEFAULT_MAX_ITEMS) -> DataFrame:
-    """Replace the collections under ``out_dir`` and return their load statistics."""
-    root = out_dir.rstrip("/")
-    quartiers, rejects = districts.quartiers_from_wkt(net.Quartier)
-    collections = {
-        "Lignes": nest.nest_lignes(net),
-        "Arrets": nest.nest_arrets(net, max_items=max_items),
-        "Vehicules": nest.nest_vehicules(net),
-        "Trafic": nest.nest_trafic(net, max_items=max_items),
-        "Quartiers": quartiers,
-        "Quartiers_rejets": rejects,
+def export_collections(net: Network, out_dir: str, max_items: int = nest.DEFAULT_MAX_ITEMS, quartiers: DataFrame | None = None) -> DataFrame:
+    """Replace the collections under ``out_dir`` and return their load statistics (M7), counted as they are written.
+    Without ``quartiers`` (from a GeoJSON file) the districts come from their table, unreadable ones to ``Quartiers_rejets``."""
+    root, counts = out_dir.rstrip("/"), LoadCounts()
+    every = F.lit(True)
+    head = F.col("part") == 0
+    if quartiers is None:
+        quartiers, rejects = districts.quartiers_from_wkt(net.Quartier)
+        replace_collection(rejects, f"{root}/Quartiers_rejets")
+    jobs = {
+        "Lignes": (nest.nest_lignes(net), None, {"lignes": every}),
+        "Arrets": (nest.nest_arrets(net, max_items=max_items, counts=counts), None, {"arrets": head}),
+        "Vehicules": (nest.nest_vehicules(net), None, {"vehicules": every}),
+        "Trafic": (nest.nest_trafic(net, max_items=max_items, counts=counts), None, {"trafic": head}),
+        "Quartiers": (quartiers, "id_quartier", {"quartiers": every, "quartiers_reels": F.col("is_real_paris")}),
     }
-    for name, df in collections.items():
-        write_collection(df, f"{root}/{name}")
-    return nest.load_statistics(net, quartiers)
+    for name, (df, key, counted) in jobs.items():  # the districts are upserted later, so they are dealt to parts by key
+        replace_collection(df, f"{root}/{name}", key, counts=counts, counted=counted)
+    return net.Ligne.sparkSession.createDataFrame(sorted(counts.rows().items()), "collection string, n long")
 
 
 def main(argv: list[str]) -> int:

@@ -9,12 +9,14 @@ in the docstrings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitlake.functions.calc import day_of, nan_to_null
 from transitlake.operators.docviews import DocViews
 from transitlake.plans import reports_doc
+from transitlake.session import scratch_path
 
 # Fixed values used by the dashboard.
 UNKNOWN = "Inconnu"
@@ -114,17 +116,28 @@ def stop_board(d: DocViews, id_ligne: int | None = None, vehicle_type: str | Non
 
 
 class StopBoard:
-    """Dashboard refresh (D4 + D20 + D5 per selector change): the stop-level
-    wide table (one row per stop: sensors summarised, district, vehicle type,
-    connections) is built once and cached; each call only filters it. The
-    cached table has one row per stop, so its size is bounded by the stop
-    count, not by the measures."""
-
-    def __init__(self, d: DocViews):
-        self.docs = d
-        self.wide = (_board_rows(d, d.stops)
-                     .select("*", F.col("id_ligne").alias("_line"), F.col("v_type").alias("_first_type"))
-                     .persist())
+    """Dashboard refresh (D4 + D20 + D5 per selector change): the stop-level wide table (one row per stop: sensors
+    summarised, district, vehicle type, connections) is stored once, partitioned by line and by the line's first vehicle
+    type; a selection reads only the folders of its line and type. Any session reads it by its path."""
+
+    LAYOUT = ("_line", "_first_type")
+
+    def __init__(self, wide: DataFrame):
+        self.wide = wide
+
+    @classmethod
+    def store(cls, d: DocViews, path: str | None = None) -> "StopBoard":
+        """Build the table below ``path`` (default: a scratch folder) and open it."""
+        rows_ = _board_rows(d, d.stops).select("*", F.col("id_ligne").alias("_line"), F.col("v_type").alias("_first_type"))
+        spark = rows_.sparkSession
+        path = path or scratch_path(spark, "stop-board")
+        # a line's stops lie together, so that a task writes to few folders; a very long line spans several tasks
+        rows_.repartitionByRange("_line", "id_arret").write.mode("overwrite").partitionBy(*cls.LAYOUT).parquet(path)
+        return cls.open(spark, path, rows_.schema)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: T.StructType) -> "StopBoard":
+        return cls(spark.read.schema(schema).parquet(path))
 
     def select(self, id_ligne: int | None = None, vehicle_type: str | None = None,
                co2_level: str | None = "all") -> DataFrame:
@@ -135,9 +148,6 @@ class StopBoard:
             rows_ = rows_.filter(F.col("_line") == F.lit(id_ligne))
         return _board_columns(rows_.filter(_co2_filter(co2_level)))
 
-    def release(self) -> None:
-        self.wide.unpersist()
-
 
 def _board_rows(d: DocViews, stops: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     first_district = d.stop_districts.groupBy("id_arret").agg(
@@ -311,22 +321,17 @@ def drivers_bounds(top: DataFrame) -> DataFrame:
 
 def co2_histogram(ddf: DataFrame, bins: int = 20) -> DataFrame:
     """Histogram of mean CO2 per vehicle, split by vehicle type, over
-    ``bins`` equal-width bins spanning the global range. The input (one row
-    per vehicle) is checkpointed once into the shared checkpoint folder, so
-    the range pass and the binning pass do not both recompute it."""
-    from transitlake.session import checkpoint_dir
-    checkpoint_dir(ddf.sparkSession)
-    ddf = ddf.select("type_vehicule", "avg_co2").checkpoint(eager=True)
-    lo, hi = ddf.agg(F.min("avg_co2"), F.max("avg_co2")).first()
-    if lo is None:
-        return ddf.sparkSession.createDataFrame(
-            [], "type_vehicule string, bin int, bin_start double, bin_end double, n long")
-    width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col("avg_co2") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    return (ddf.filter(F.col("avg_co2").isNotNull())
-            .groupBy("type_vehicule", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            .select("type_vehicule", "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
-                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"), "n")
+    ``bins`` equal-width bins spanning the global range. One lazy plan: the range is a
+    scalar subquery of it, nothing runs while the frame is built."""
+    rows_ = ddf.select("type_vehicule", "avg_co2").where(F.col("avg_co2").isNotNull())
+    bounds = rows_.agg(F.struct(F.min("avg_co2").alias("lo"), F.max("avg_co2").alias("hi")).alias("b")).scalar()
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    width = F.when(hi > lo, (hi - lo) / bins).otherwise(1.0)
+    b = F.least(F.floor((F.col("avg_co2") - lo) / width).cast("int"), F.lit(bins - 1))
+    return (rows_.withColumn("_b", bounds)
+            .groupBy("type_vehicule", b.alias("bin"), lo.alias("_lo"), width.alias("_w")).agg(F.count(F.lit(1)).alias("n"))
+            .select("type_vehicule", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"),
+                    (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_end"), "n")
             .orderBy("type_vehicule", "bin"))
 
 

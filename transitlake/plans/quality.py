@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitlake import schema as S
+from transitlake.sources import ordered
 from transitlake.sources.binding import Network
 
 
@@ -55,10 +56,6 @@ def integrity(net: Network) -> DataFrame:
 
 def view_result(spark: SparkSession, path: str, page: int = 0, page_size: int = 20,
                 schema: T.StructType | None = None) -> tuple[DataFrame, int]:
-    """Q4: read a result file (header CSV), count it, return one page of rows
-    in file order. A missing file gives an empty frame."""
-    from transitlake.sources.files import read_csv
-    df = read_csv(spark, path, schema)
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    n = df.count()
-    return df.orderBy("_row").offset(page * page_size).limit(page_size).drop("_row"), n
+    """Q4: one page of a result (header CSV) in file order, and the number of its rows. The index beside the files (or one
+    counted now) says which of them hold the page; no other is read. A missing file gives an empty frame."""
+    return ordered.page(spark, path, page, page_size, schema).drop("rang"), ordered.count_rows(spark, path, schema)

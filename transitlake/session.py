@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import SparkConf, SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes (its
 # broadcast decision is the size check for every dimension join), coalesces
@@ -71,3 +72,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="transitlake-ckpt-")
     sc.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new scratch folder and read from there: it is computed once, its lineage ends, and it
+    survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

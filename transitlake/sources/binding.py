@@ -9,6 +9,7 @@ columns and pushes filters into the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Later:
+    """A frame to be built when it is first used."""
+
+    def __init__(self, build: Callable[[], DataFrame]):
+        self.build = build
+
+
+class OnDemand:
+    """Fields may be given as ``Later``: each is built on first use and kept, so that a report pays for the
+    frames it reads and for no others."""
+
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        if isinstance(value, Later):
+            value = value.build()
+            object.__setattr__(self, name, value)
+        return value
+
+
 @dataclass
-class Network:
+class Network(OnDemand):
     """The relational profile: one DataFrame per table."""
     Ligne: DataFrame
     Quartier: DataFrame
@@ -84,22 +104,32 @@ def _stop_lon(key):
 
 
 def bind_network(spark: SparkSession, sf_dir: str) -> Network:
-    """The 11 tables over ``sf_dir``, bound anew on each call, so that files added since are seen."""
-    return _bind(spark, sf_dir)
+    """The 11 tables over ``sf_dir``, bound anew on each call, so that files added since are seen. A table is bound,
+    and a driver table read, when the first report asks for it."""
+    read: dict[str, DataFrame] = {}
 
+    def table(name: str) -> DataFrame:
+        if name not in read:
+            read[name] = read_table(spark, sf_dir, name)
+        return read[name]
 
-def _bind(spark: SparkSession, sf_dir: str) -> Network:
-    t = {n: read_table(spark, sf_dir, n) for n in DRIVER_TABLES}
-    nation, region, customer = t["nation"], t["region"], t["customer"]
-    supplier, part, orders, lineitem, events = t["supplier"], t["part"], t["orders"], t["lineitem"], t["events"]
+    return Network(**{n: Later(lambda n=n: _conform(BINDINGS[n](table), n)) for n in S.TABLES})
 
-    ligne = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+
+Tables = Callable[[str], DataFrame]
+
+
+def _ligne(t: Tables) -> DataFrame:
+    nation, region = t("nation"), t("region")
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
              .select(F.col("n_nationkey").alias("id_ligne"), F.col("n_name").alias("nom_ligne"),
                      F.col("r_name").alias("type"),
                      (F.col("n_nationkey").cast("long") * 100).alias("frequentation_moyenne")))
 
+
+def _quartier(t: Tables) -> DataFrame:
     size = F.col("p_size")
-    quartier = (part
+    return (t("part")
                 .select(size.alias("id_quartier"),
                         F.concat(F.lit("Quartier-"), size.cast("string")).alias("nom"),
                         F.when(size % 17 == 0, "POLYGON((x y, 1 2))").otherwise(F.concat(F.lit("POLYGON(("), (size + 2).cast("string"), F.lit(" 48,"),
@@ -107,62 +137,83 @@ def _bind(spark: SparkSession, sf_dir: str) -> Network:
                                  (size + 3).cast("string"), F.lit(" 49))"))).alias("geojson"))
                 .distinct())
 
+
+def _arret(t: Tables) -> DataFrame:
     sk = F.col("s_suppkey")
-    arret = supplier.select(sk.alias("id_arret"), F.concat(F.lit("Arret "), (sk % 40).cast("string")).alias("nom"),
+    return t("supplier").select(sk.alias("id_arret"), F.concat(F.lit("Arret "), (sk % 40).cast("string")).alias("nom"),
                             _stop_lat(sk).alias("latitude"), _stop_lon(sk).alias("longitude"),
                             F.col("s_nationkey").alias("id_ligne"))
 
-    arret_quartier = (supplier.select(sk.alias("id_arret"), (1 + sk % 50).alias("id_quartier"))
+
+def _arret_quartier(t: Tables) -> DataFrame:
+    supplier, sk = t("supplier"), F.col("s_suppkey")
+    return (supplier.select(sk.alias("id_arret"), (1 + sk % 50).alias("id_quartier"))
                       .union(supplier.select(sk, 1 + (sk * 7 + 3) % 50))
                       .distinct())
 
+
+def _chauffeur(t: Tables) -> DataFrame:
     ck = F.col("c_custkey")
-    chauffeur = (customer.select((ck % 200).alias("id_chauffeur"))
+    return (t("customer").select((ck % 200).alias("id_chauffeur"))
                  .distinct()
                  .select("id_chauffeur",
                          F.concat(F.lit("Chauffeur "), F.col("id_chauffeur").cast("string")).alias("nom"),
                          F.lit("2045-01-01").cast("date").alias("date_embauche")))
 
-    vehicule = customer.select(
+
+def _vehicule(t: Tables) -> DataFrame:
+    ck = F.col("c_custkey")
+    return t("customer").select(
         ck.alias("id_vehicule"), F.col("c_name").alias("immatriculation"), F.col("c_nationkey").alias("id_ligne"),
         (ck % 200).alias("id_chauffeur"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Electrique")
          .when(F.col("c_mktsegment") == "MACHINERY", "Hybride").otherwise("Diesel").alias("type_vehicule"),
         (40 + 10 * (ck % 5)).alias("capacite"))
 
-    horaire = events.select(
+
+def _horaire(t: Tables) -> DataFrame:
+    return t("events").select(
         F.col("event_id").alias("id_horaire"), F.col("user_id").alias("id_arret"),
         (F.col("event_id") % 150).alias("id_vehicule"), F.col("ts").alias("heure_prevue"),
         F.col("ts").alias("heure_effective"), (F.floor("value").cast("long") % 80).alias("passagers_estimes"))
 
-    kind = F.col("k")
-    capteur = (supplier.select(sk, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+
+def _capteur(t: Tables) -> DataFrame:
+    sk, kind = F.col("s_suppkey"), F.col("k")
+    return (t("supplier").select(sk, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
                .select((sk * 3 + kind).alias("id_capteur"), sk.alias("id_arret"),
                        F.when(kind == 0, "CO2").when(kind == 1, "Bruit").otherwise("Temperature").alias("type_capteur"),
                        _stop_lat(sk).alias("latitude"), _stop_lon(sk).alias("longitude")))
 
+
+def _mesure(t: Tables) -> DataFrame:
     ln3, q = F.col("l_linenumber") % 3, F.col("l_quantity")
-    mesure = lineitem.select(
+    return t("lineitem").select(
         (F.col("l_suppkey") * 3 + ln3).alias("id_capteur"), F.col("l_shipdate").alias("horodatage"),
         F.when(ln3 == 0, 300 + q * 2 + (F.col("l_suppkey") % 7) * 40).when(ln3 == 1, 50 + q / 2).otherwise(10 + q / 5).alias("valeur"),
         F.when(ln3 == 0, "ppm").when(ln3 == 1, "dB").otherwise("C").alias("unite"))
 
-    trafic = (orders.join(customer, orders.o_custkey == customer.c_custkey)
+
+def _trafic(t: Tables) -> DataFrame:
+    orders, customer = t("orders"), t("customer")
+    return (orders.join(customer, orders.o_custkey == customer.c_custkey)
               .select(F.col("o_orderkey").alias("id_trafic"), F.col("c_nationkey").alias("id_ligne"),
                       F.col("o_orderdate").alias("horodatage"),
                       F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long"))
                        .otherwise(F.floor("o_totalprice").cast("long") % (8 + 2 * (F.col("c_nationkey") % 9))).alias("retard_minutes"),
                       F.col("o_orderpriority").alias("evenement")))
 
-    incident = (lineitem.filter(F.col("l_returnflag") == "R")
+
+def _incident(t: Tables) -> DataFrame:
+    return (t("lineitem").filter(F.col("l_returnflag") == "R")
                 .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id_incident"),
                         F.col("l_orderkey").alias("id_trafic"), F.col("l_linestatus").alias("description"),
                         (1 + F.col("l_linenumber") % 5).alias("gravite"), F.col("l_shipdate").alias("horodatage")))
 
-    raw = dict(Ligne=ligne, Quartier=quartier, Arret=arret, ArretQuartier=arret_quartier, Chauffeur=chauffeur,
-               Vehicule=vehicule, Horaire=horaire, Capteur=capteur, Mesure=mesure, Trafic=trafic,
-               Incident=incident)
-    return Network(**{n: _conform(df, n) for n, df in raw.items()})
+
+BINDINGS: dict[str, Callable[[Tables], DataFrame]] = {
+    "Ligne": _ligne, "Quartier": _quartier, "Arret": _arret, "ArretQuartier": _arret_quartier, "Chauffeur": _chauffeur,
+    "Vehicule": _vehicule, "Horaire": _horaire, "Capteur": _capteur, "Mesure": _mesure, "Trafic": _trafic, "Incident": _incident}
 
 
 def network_from_frames(frames: dict[str, DataFrame]) -> Network:
@@ -192,7 +243,7 @@ def read_network(spark: SparkSession, root: str, fmt: str = "parquet") -> Networ
                             else F.to_date(f.name, "yyyy-MM-dd")).alias(f.name) if f.name in dated else F.col(f.name)
                            for f in schema.fields])
 
-    return Network(**{n: one(n, s) for n, s in S.TABLES.items()})
+    return Network(**{n: Later(lambda n=n, s=s: one(n, s)) for n, s in S.TABLES.items()})
 
 
 def read_network_jdbc(spark: SparkSession, url: str, properties: dict | None = None,
