@@ -92,7 +92,7 @@ class Network(OnDemand):
 
 def _conform(df: DataFrame, table: str) -> DataFrame:
     """Project onto the table contract (order and types)."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TABLES[table].fields])
+    return df.to(T.StructType([T.StructField(f.name, f.dataType) for f in S.TABLES[table].fields]))
 
 
 def _stop_lat(key):
