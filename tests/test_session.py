@@ -27,3 +27,16 @@ def test_submitted_settings_survive(tmp_path):
 
 def test_defaults_without_a_submission():
     assert run()[:3] == ["local[3]", "UTC", "128m"]
+
+
+def test_only_what_a_block_made_is_dropped(spark):
+    from transitlake.session import collected, drop, stored
+    kept = stored(spark.range(3), "kept")
+    with collected() as made:
+        gone = stored(spark.range(4), "gone")
+        with collected() as inner:
+            nested = stored(spark.range(5), "nested")
+    after = stored(spark.range(6), "after")
+    assert len(made) == len(inner) == 1 and gone.count() == 4
+    drop(spark, made)
+    assert [x.count() for x in (kept, nested, after)] == [3, 5, 6] and not os.path.exists(made[0].removeprefix("file:"))
