@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_minhash import brute, near_copies
-from transitlake.llm import mixing
+from test_mixing import targets
 from transitlake.llm.common import materialize, on_workers, table
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def stages(spark):
     docs, out = table(spark, SF, "documents"), {}
     out["documents"] = docs
     for name, stage in corpus_pipeline.STAGES:
-        docs = out[name] = materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
+        docs = out[name] = materialize(stage(spark, docs, SF), f"test-{name}")
     return out
 
 
@@ -54,7 +55,7 @@ def test_mixing_takes_each_source_near_its_target(stages):
         size[r["source"]] += words(r["text"])
     for r in after:
         taken[r["source"]] += words(r["text"])
-    goal = mixing.targets([size[s] for s in sources], [i % 3 + 1 for i in range(len(sources))])
+    goal = targets([size[s] for s in sources], [i % 3 + 1 for i in range(len(sources))])
     for s, t in zip(sources, goal):
         assert abs(taken[s] - t) <= max(30, 0.05 * t)
     assert max(Counter(r["doc_id"] for r in after).values()) <= 3
@@ -78,17 +79,47 @@ def test_nulls_repeats_and_extra_columns(spark):
     rows += [rows[0], (None, None, None, None, None, None), (900, "", "en", None, 0, 1), (901, "key token=abcdefghij0 " * 3, None, "s1", 5, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
     for name, stage in corpus_pipeline.STAGES[1:]:
-        before, docs = docs, materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
+        before, docs = docs, materialize(stage(spark, docs, SF), f"test-{name}")
         if name != "packing":
             assert docs.schema.simpleString() == before.schema.simpleString()
         if name == "secrets":
             assert docs.count() == before.count() and docs.where(F.col("text").contains("abcdefghij0")).count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
-        empty = materialize(stage(spark, empty, SF), f"test-{name}", keep=True)
+        empty = materialize(stage(spark, empty, SF), f"test-{name}")
         assert empty.count() == 0
 
 
 def test_run_is_the_stages_one_after_the_other(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages["packing"].collect()))
+
+
+def test_a_query_built_before_a_pipeline_run_still_reads(spark, stages):
+    from transitlake.llm.registry import op9_secret_scan
+    before = op9_secret_scan(spark, SF)
+    docs = table(spark, SF, "documents").limit(20)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = materialize(stage(spark, docs, SF), "test-run")
+    assert before.count() == table(spark, SF, "documents").count()
+
+
+def test_a_stage_deletes_the_tables_of_the_one_before(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    corpus_pipeline.STAGES[2][1](spark, docs, SF).count()
+    left = corpus_pipeline._LEFT[spark.sparkContext.applicationId]
+    assert left and all(os.path.exists(p.removeprefix("file:")) for p in left)
+    corpus_pipeline.STAGES[4][1](spark, docs, SF).count()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in left)
+
+
+@pytest.mark.parametrize("name", ["spans", "blob", "text_", "row", "ids", "h", "pos", "copies", "skey"])
+def test_columns_of_any_name_pass_through(spark, name):
+    on_workers(spark)
+    rows = [(1, "plain words here " * 3, "en", "s", 5, 11), (2, "password: hunter2222 and more", "en", "s", 9, 12), (3, None, None, None, None, 13)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {name} int")
+    for step, stage in corpus_pipeline.STAGES[2:4]:
+        out = materialize(stage(spark, docs, SF), "test-names")
+        assert out.columns == docs.columns and {(r["doc_id"], r[name]) for r in out.collect()} <= {(1, 11), (2, 12), (3, 13)}
+        if step == "secrets":
+            assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "[SECRET] and more", 3: None}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from transitlake.llm import quality
-from transitlake.llm.common import on_workers, table, texts
+from transitlake.llm.common import on_workers, table
 from transitlake.llm.registry import op8_quality
 
 SF = "/root/testdata/sf0.01"
@@ -35,7 +35,7 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, scored):
 def test_context_sums_by_hand(spark):
     on_workers(spark)
     rows = [(1, "a b c a"), (2, "b"), (3, ""), (4, None)]
-    got = quality.word_vectors(quality.encoded(texts(spark.createDataFrame(rows, "doc_id long, text string"))))
+    got = quality.word_vectors(quality.encoded(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]))
     places, signs = quality.index_vectors()
     index = np.zeros((quality.BUCKETS, quality.DIMS))
     for b in range(quality.BUCKETS):
@@ -52,6 +52,58 @@ def test_context_sums_by_hand(spark):
     assert np.abs(got - want).max() < 1e-5
 
 
+def test_a_text_in_pieces_has_the_sums_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 50, 1003)
+    places, signs = quality.index_vectors()
+    want = quality.context_sums(ids, places, signs)
+    got = np.zeros_like(want)
+    for at in range(0, len(ids), 100):
+        first = max(0, at - quality.REACH)
+        piece = ids[first:at + 100 + quality.REACH]
+        got += quality.context_sums(piece, places, signs, at - first, min(at - first + 100, len(piece)))
+    assert (got == want).all()
+
+
+def test_features_scores_and_temperature_by_hand(spark):
+    """The query's scores, from the table and the network alone: every document's words one by one, every unit of the network."""
+    on_workers(spark)
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    words, vectors, net = quality.fitted(docs, labels, ["doc_id"])
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    feature = {}
+    for r in docs.collect():
+        own = [vectors.value[b].astype(float) for b in quality.word_ids(r["text"] or "")]
+        mean = sum(own) / len(own) if own else np.zeros(quality.DIMS)
+        spread = np.sqrt(np.maximum(sum((v - mean) ** 2 for v in own) / len(own), 0)) if own else np.zeros(quality.DIMS)
+        feature[r["doc_id"]] = np.concatenate([mean, spread])
+    for d, x in feature.items():
+        z = (x - net.mean) / net.scale
+        hidden = [np.tanh(sum(z[i] * net.w[0][i, j] for i in range(len(z))) + net.w[1][j]) for j in range(quality.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, net.w[2])) + net.w[3][0]) / net.temperature
+        assert abs(got[d] - 1 / (1 + np.exp(-logit))) < 2e-3
+    # the sample: all labelled documents outside the fold, by seeded hash; the temperature is the grid's best on the part kept from the network
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    order = [r["doc_id"] for r in docs.selectExpr("doc_id", f"xxhash64({quality.SEED}, doc_id) as h").orderBy("h").collect() if r["doc_id"] in known]
+    kept = [order[i] for i in np.random.default_rng(quality.SEED).permutation(len(order))[::5]]
+    raw = net.logits(np.array([feature[d] for d in kept])) * net.temperature
+    y = np.array([known[d] for d in kept], float)
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    loss = [np.mean(np.log1p(np.exp(np.where(y > 0, -raw / t, raw / t)))) for t in grid]
+    assert abs(np.log(grid[int(np.argmin(loss))] / net.temperature)) < 0.12
+
+
+def test_the_sample_is_bounded_and_lowest_by_hash(spark, monkeypatch):
+    on_workers(spark)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    words, vectors, _ = quality.fitted(docs, labels, ["doc_id"])
+    seen = []
+    monkeypatch.setattr(quality, "Network", lambda x, y, seed: seen.append((x, y)))
+    quality.train(words, labels, vectors, rows=100)
+    quality.train(words, labels, vectors)
+    assert len(seen[0][0]) == 100 and (seen[0][0] == seen[1][0][:100]).all() and len(seen[1][0]) > 250
+
+
 def test_defined_cases(spark):
     on_workers(spark)
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (None, "word", 1.0), (4, "w " * 60000, 1.0), (4, "w", 1.0)], "doc_id long, text string, score double")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.session import checkpoint_dir
+from transitlake.session import stored
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -46,28 +45,10 @@ def map_texts(docs: DataFrame, columns: str, fn: Callable[[], Callable[[list[str
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-_TABLES: list[str] = []
-
-
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, survives lost
-    executors, and every later pass sees the same rows. The table stays until ``release`` unless ``keep``
-    leaves it to the caller."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not keep:
-        _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables made so far. Frames that still read them can't be used afterwards: call it
-    once their results are written."""
-    for path in _TABLES:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _TABLES.clear()
+    executors, and every later pass sees the same rows. Who wants the table deleted makes it inside ``collected``."""
+    return stored(df, tag)
 
 
 SMALL_EDGES = 1 << 17

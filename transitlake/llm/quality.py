@@ -2,11 +2,12 @@
 
 Random indexing: every word bucket owns a sparse ternary index vector; a word's vector is the sum of the
 index vectors around it (``REACH`` words each side, itself included) over all documents. Words are
-hashed to ``BUCKETS`` buckets, so the table has a fixed size; tasks add up integer sums and Spark
-adds those, so the table does not depend on partitions or order. A document's features are the mean and the
+hashed to ``BUCKETS`` buckets, so the table has a fixed size; tasks of about ``TASK_BYTES`` of words add up integer sums and
+Spark adds those, so the table does not depend on partitions or order. A document's features are the mean and the
 standard deviation of its words' vectors. A two-layer numpy network is fitted on at most ``TRAIN_ROWS``
 labelled documents outside the held-out fold (lowest seeded hashes), and a temperature, fitted on a
-fifth of them that the network does not see, calibrates its probabilities.
+fifth of them that the network does not see, calibrates its probabilities. A text is split into words once; what is stored of it
+are 16 bits a word, from which the table, the sample's features and the scores are computed.
 
 Only texts enter a score. Words, and every other visible character as a word of its own, are
 lower-cased; an all-capitals word counts as another word than its lower-case form. A null text counts
@@ -26,8 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from transitlake.llm.common import map_texts, materialize, texts
+from transitlake.llm.common import materialize
+from transitlake.operators.positional import input_bytes
 
 BUCKETS = 1 << 14
 DIMS = 64
@@ -40,6 +43,7 @@ ACCEPT = 0.3
 SEED = 8
 CACHE = 1 << 19
 FLUSH_WORDS = 1 << 20
+TASK_BYTES = 256 << 20
 
 _TOKENS = re.compile(r"\w+|[^\w\s]").findall
 
@@ -62,10 +66,18 @@ def word_ids(text: str) -> np.ndarray:
     return np.fromiter(map(_BUCKET.__getitem__, _TOKENS(text)), dtype=np.uint16)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): each text's word buckets as 16-bit numbers; a text is split into words once."""
-    return materialize(map_texts(docs, "ids binary", lambda: lambda batch: {
-        "ids": [word_ids(t).tobytes() for t in batch]}), "words")
+def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row, doc_id, ids): the columns ``keep`` of each row of ``docs`` (doc_id, text, ...), and its text's word buckets as
+    16-bit numbers."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def split(batches):
+        for b in batches:
+            ids = pa.array([word_ids(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), ids], ["row", "doc_id", "ids"])
+
+    schema = StructType([rows.schema["row"], rows.schema["doc_id"], StructField("ids", BinaryType())])
+    return materialize(rows.mapInArrow(split, schema), "words")
 
 
 def index_vectors(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +87,12 @@ def index_vectors(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice([-1.0, 1.0], size=(BUCKETS, NONZERO))
 
 
-def context_sums(ids: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Sums of index vectors around each word. ``ids`` holds documents apart by REACH times -1."""
-    total = np.zeros(BUCKETS * DIMS)
+def context_sums(ids: np.ndarray, places: np.ndarray, signs: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Sums of index vectors around each word from place ``low`` to ``high``. ``ids`` holds documents apart by REACH times -1."""
+    total, high = np.zeros(BUCKETS * DIMS), len(ids) if high is None else high
     for d in range(-REACH, REACH + 1):
-        a, b = (ids[:len(ids) - d], ids[d:]) if d >= 0 else (ids[-d:], ids[:d])
+        at = np.arange(max(low, -d), min(high, len(ids) - d))
+        a, b = ids[at], ids[at + d]
         both = (a >= 0) & (b >= 0)
         a, b = a[both] * DIMS, b[both]
         for k in range(NONZERO):
@@ -94,25 +107,34 @@ def word_vectors(docs: DataFrame, seed: int = SEED) -> np.ndarray:
         total, seen = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS, dtype=np.int64)
         gap, held, size = np.full(REACH, -1), [], 0
 
-        def flush():
-            ids = np.concatenate(held)
-            np.add(total, context_sums(ids, places, signs), out=total)
-            np.add(seen, np.bincount(ids[ids >= 0], minlength=BUCKETS), out=seen)
+        def add(ids, low=0, high=None):
+            np.add(total, context_sums(ids, places, signs, low, high), out=total)
+            own = ids[low:high]
+            np.add(seen, np.bincount(own[own >= 0], minlength=BUCKETS), out=seen)
 
         for b in batches:
             for raw in b["ids"]:
                 ids = np.frombuffer(raw, np.uint16).astype(np.int64)
-                for at in range(0, len(ids), FLUSH_WORDS):  # a very long text comes in pieces that overlap by nothing
-                    held += [ids[at:at + FLUSH_WORDS], gap]
-                    size += len(held[-2])
-                    if size >= FLUSH_WORDS:
-                        flush()
-                        held, size = [], 0
+                if len(ids) > FLUSH_WORDS:  # a very long text comes in pieces, each with the words around it
+                    for at in range(0, len(ids), FLUSH_WORDS):
+                        first = max(0, at - REACH)
+                        piece = ids[first:at + FLUSH_WORDS + REACH]
+                        add(piece, at - first, min(at - first + FLUSH_WORDS, len(piece)))
+                    continue
+                held += [ids, gap]
+                size += len(ids)
+                if size >= FLUSH_WORDS:
+                    add(np.concatenate(held))
+                    held, size = [], 0
         if held:
-            flush()
+            add(np.concatenate(held))
         used = np.nonzero(seen)[0]
         yield pd.DataFrame({"b": used, "n": seen[used], "v": pd.Series(list(np.rint(total[used]).astype(np.int64)), dtype=object)})
 
+    spark, words = docs.sparkSession, docs.select("ids")
+    # a task hands on up to 8 MB of sums, so tasks are as large as their words allow: the sums grow with the words
+    tasks = max(spark.sparkContext.defaultParallelism, -(-input_bytes(words) // TASK_BYTES))
+    docs = words.coalesce(tasks)
     parts = docs.select("ids").mapInPandas(sums, "b long, n long, v array<long>")
     rows = parts.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS)])
     got = rows.toArrow()
@@ -196,53 +218,63 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0)) == 0
 
 
-def features(docs: DataFrame, table) -> DataFrame:
-    """(doc_id, x) of ``encoded`` documents with ``table`` the broadcast word vectors; x are float32 bytes."""
-    def pool(batches):
-        pooled = Pool(table.value)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": [
-                pooled(np.frombuffer(raw, np.uint16)).tobytes() for raw in b.column("ids").to_pylist()]})
-
-    return docs.mapInArrow(pool, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
+def _pooled(rows: list[bytes], table) -> np.ndarray:
+    """Features of documents, given as ``ids``, with ``table`` the broadcast word vectors."""
+    pool = Pool(table.value)
+    return np.array([pool(np.frombuffer(raw, np.uint16)) for raw in rows], dtype=np.float32).reshape(len(rows), 2 * DIMS)
 
 
-def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Network:
+def train(words: DataFrame, labels: DataFrame, table, rows: int = TRAIN_ROWS, seed: int = SEED) -> Network:
+    """The network, from the labelled documents of ``encoded`` words. Features are computed of its sample only: a count sets the
+    hash below which slightly more than ``rows`` documents lie, of which the lowest ``rows`` serve."""
     known = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")))
-    sample = (feats.where(~held_out()).join(known, "doc_id").select("x", "y", "doc_id")
-              .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "x").limit(rows).collect())
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    labelled = words.select("doc_id", "ids").where(~held_out()).join(known, "doc_id")
+    n = labelled.count()
+    share = min(1.0, (1.05 * rows + 6 * rows ** 0.5) / max(n, 1))
+    below = F.lit(int((1 << 63) * (2 * share - 1)) if share < 1 else (1 << 63) - 1).cast("long")
+
+    def pool(batches):
+        for b in batches:
+            x = _pooled(b.column("ids").to_pylist(), table)
+            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "x": pa.array([v.tobytes() for v in x], pa.binary()), "y": b.column("y")})
+
+    drawn = labelled.select("ids", "y", h.alias("h")).where(F.col("h") <= below).mapInArrow(pool, "h long, x binary, y int")
+    sample = sorted(drawn.collect(), key=lambda r: (r["h"], r["x"]))[:rows]
     x = np.array([np.frombuffer(r["x"], np.float32) for r in sample], dtype=np.float64).reshape(len(sample), 2 * DIMS)
     return Network(x, np.array([r["y"] for r in sample], dtype=np.float64), seed)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, keep: list[str]):
+    """(words, table, network): the ``encoded`` documents and what was learnt from them."""
+    words = encoded(docs, keep)
+    table = docs.sparkSession.sparkContext.broadcast(word_vectors(words))
+    return words, table, train(words, labels, table)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    docs = encoded(texts(docs))
-    table = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
-    feats = materialize(features(docs, table), "features")
-    net = train(feats, labels)
+    words, table, net = fitted(docs, labels, ["doc_id"])
 
     def judge(batches):
         for b in batches:
-            x = np.array([np.frombuffer(v, np.float32) for v in b.column("x").to_pylist()]).reshape(len(b), 2 * DIMS)
+            x = _pooled(b.column("ids").to_pylist(), table)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": net.scores(x)})
 
-    scored = feats.mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    kind = words.schema["doc_id"].dataType.simpleString()
+    scored = words.select("doc_id", "ids").mapInArrow(judge, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be of quality, unchanged."""
-    plain = encoded(texts(docs))
-    table = docs.sparkSession.sparkContext.broadcast(word_vectors(plain))
-    net = train(features(plain, table), labels)
+    words, table, net = fitted(docs, labels, docs.columns)
 
     def keep(batches):
-        pooled = Pool(table.value)
         for b in batches:
-            x = np.array([pooled(word_ids(t or "")) for t in b.column("text").to_pylist()]).reshape(len(b), 2 * DIMS)
-            yield b.filter(pa.array(net.scores(x) >= ACCEPT))
+            fine = net.scores(_pooled(b.column("ids").to_pylist(), table)) >= ACCEPT
+            yield pa.RecordBatch.from_arrays([b.column("row")], ["row"]).filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return words.select("row", "ids").mapInArrow(keep, StructType([words.schema["row"]])).select("row.*")

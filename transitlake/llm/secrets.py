@@ -131,15 +131,18 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, rest))
 
 
-def redact_documents(docs: DataFrame) -> DataFrame:
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``docs`` with secrets masked (``n_chars`` follows); rows without a finding are unchanged, a
-    null text included. Only rows whose blob has a finding are rewritten."""
-    versions = docs.withColumn("blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    new = materialize(update_ledger(versions.select("blob", F.coalesce("text", F.lit("")).alias("text"))), "ledger")
-    out = paths_with_findings(versions, new)
-    out = out.withColumn("text", F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans")))
-                         .otherwise(F.col("text")))
+    null text included. Only rows whose blob has a finding are rewritten. Columns of any name pass through."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    versions = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    versions = addressed(versions)
+    new = materialize(update_ledger(versions.select("blob", "text"), ledger), "ledger")
+    full = new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new)
+    out = paths_with_findings(versions.select("row", "blob"), full)
+    clean = redact(F.col("row.text"), F.col("spans"))
+    new_row = F.col("row").withField("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new_row = new_row.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.size("spans") > 0, new_row).otherwise(F.col("row")).alias("row")).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])
