@@ -7,44 +7,61 @@ secrets   secrets are masked; no document goes
 mixing    sources are brought to their target weights; a document may appear up to three times
 packing   segments of at most 2048 words, in length buckets and batches of a word budget
 
-A stage begins by deleting the intermediate tables of the one before, whose output is written by then.
+A stage is to be written before the next one is called, as ``run`` does: each call deletes the intermediate tables
+of the stage called before it in the same application, and no others.
 
 An empty input passes through every stage; nulls, repeated rows and extra columns are handled as each operator says.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from transitlake.llm import buckets, minhash, mixing, quality, secrets
-from transitlake.llm.common import materialize, on_workers, release, table
+from transitlake.llm.common import materialize, on_workers, table
+from transitlake.session import collected, drop
+
+_LEFT: dict[str, list[str]] = {}  # by application: the tables of the stage called last
+
+
+def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(fn)
+    def called(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _LEFT.pop(spark.sparkContext.applicationId, []))
+        on_workers(spark)
+        with collected() as made:
+            out = fn(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = made
+        return out
+
+    return called
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    on_workers(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    on_workers(spark)
     return minhash.deduplicated(docs)
 
 
+@_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return secrets.redact_documents(docs)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    on_workers(spark)
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return buckets.packed(docs)
 
 
@@ -61,8 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``, each written to the shared folder and read again. What a stage made or
+    read is deleted when its output is written; the last output stays for the frame that is returned."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        out = stage(spark, docs, sf_dir)
+        with collected() as written:
+            docs = materialize(out, f"stage-{name}")
+        drop(spark, _LEFT.pop(spark.sparkContext.applicationId, []) + before)
+        before = written
     return docs
