@@ -2,17 +2,13 @@
 (M8) and upsert (M9)."""
 
 import json
-import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
 from transitlake import schema as S
 from transitlake.operators import districts as Q
 
-MAPPING = os.environ.get("TRANSITLAKE_DISTRICT_MAPPING", "")  # committed mapping file (JSON)
-
 
 def test_wkt_fallback(spark):
     src = spark.createDataFrame([
@@ -63,21 +59,6 @@ def test_ids_do_not_repeat_over_several_files(spark, tmp_path):
     assert got == [(1 + 4 * i + k, f"{i}-{k}") for i in range(3) for k in range(4)]
 
 
-@pytest.mark.skipif(not MAPPING or not os.path.exists(MAPPING), reason="set TRANSITLAKE_DISTRICT_MAPPING")
-def test_mapping_reproduces_committed_file(spark, tmp_path):
-    golden = json.load(open(MAPPING, encoding="utf-8"))
-    ordered = sorted(golden.values(), key=lambda v: v["index_geojson"])
-    path = _write_geojson(tmp_path, [_feature({"l_qu": v["nom_reel"], "c_ar": v["arrondissement"]}) for v in ordered])
-    synth = spark.createDataFrame([(i, f"Quartier-{i}", None) for i in range(1, 201)], S.QUARTIER)
-    m = Q.quartier_mapping(synth, Q.read_features(spark, path))
-    got = {str(r["id_quartier"]): {"nom_synthetique": r["nom_synthetique"], "nom_reel": r["nom_reel"],
-                                   "arrondissement": r["arrondissement"], "index_geojson": r["index_geojson"]}
-           for r in m.collect()}
-    assert got == golden                       # 80 pairs: the shorter list wins, index = id - 1
-    lines = [json.loads(r["value"]) for r in Q.mapping_json_lines(m).collect()]
-    assert {k: v for d in lines for k, v in d.items()} == golden
-
-
 def test_upsert_sets_and_inserts(spark, tmp_path):
     cur = spark.createDataFrame([(1, "A", None), (2, "B", None), (3, "C", None)],
                                 "id_quartier long, nom string, nom_reel string")
