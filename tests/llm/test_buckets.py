@@ -1,9 +1,9 @@
 import itertools
-import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from transitlake.llm import buckets
 from transitlake.llm.common import table
@@ -25,10 +25,20 @@ def test_boundaries_are_optimal(hist, k):
     assert padding(lengths, counts, got) == best
 
 
-def check(docs, got, longest, count, budget):
+def tokens(text):
+    """Four visible Latin characters or fewer without a blank between them, or any other visible character."""
+    latin = lambda c: "!" <= c <= "~" or "\u00a1" <= c <= "\u024f"
+    n = run = 0
+    for c in text or "":
+        run = run % 4 + 1 if latin(c) else 0
+        n += run == 1 or not latin(c) and c not in " \t\n\v\f\r"
+    return n
+
+
+def check(docs, got, longest, count, budget, tokens=tokens):
     size = {}
     for d, t in docs:
-        size.setdefault(d, []).append(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+        size.setdefault(d, []).append(tokens(t))
     total = {}
     for r in got:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
@@ -56,6 +66,26 @@ def test_whole_table(spark):
     check(docs, op4_length_buckets(spark, "/root/testdata/sf0.01").collect(), buckets.MAX_LENGTH, buckets.BUCKETS, buckets.BUDGET)
 
 
+def test_texts_without_blanks_are_cut_and_batched(spark):
+    docs = [(i, "語" * 5000 if i % 2 else "x" * 20_000) for i in range(20)]
+    got = buckets.packed(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check(docs, got, buckets.MAX_LENGTH, buckets.BUCKETS, buckets.BUDGET)
+    assert len(got) == 60 and max(r["length"] for r in got) == 2048
+    rows = {}
+    for r in got:
+        rows[r["bucket"], r["batch"]] = rows.get((r["bucket"], r["batch"]), 0) + r["boundary"]
+    assert max(rows.values()) <= buckets.BUDGET
+
+
+def test_lengths_of_a_tokenizer(spark):
+    from transitlake.llm.tokens import token_counts
+    docs = [(i, "un peu de texte 語 " * (i * i)) for i in range(30)] + [(77, None)]
+    counted = token_counts(spark.createDataFrame(docs, "doc_id long, text string"))
+    n = {r["doc_id"]: r["n_tokens"] for r in counted.collect()}
+    got = buckets.packed(counted.withColumn("text", F.lit("never read")), longest=500, buckets=4, budget=4000, length="n_tokens").collect()
+    check([(d, d) for d in n], got, 500, 4, 4000, tokens=lambda d: n[d])
+
+
 def test_defined_cases(spark):
     docs = [(i, "a b c") for i in range(200)] + [(300, None), (301, ""), (302, "x " * 1000), (303, "y"), (303, "y"), (None, "p q r s")]
     df = spark.createDataFrame([(*d, 1, "b") for d in docs], "doc_id long, text string, segment int, bucket string")

@@ -176,3 +176,14 @@ def test_a_pair_meets_though_its_first_common_bucket_has_another_head(spark):
 def test_pairs_at_the_threshold_hardly_ever_agree_on_too_few_samples():
     n, p = minhash.BANDS * minhash.ROWS, minhash.THRESHOLD
     assert sum(comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(minhash.AGREE)) < 1e-6
+
+
+def test_a_word_longer_than_a_piece_is_one_word(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        text = "".join(rng.choice(list("ab \n"), p=[0.45, 0.45, 0.05, 0.05], size=rng.integers(0, 90)))
+        want = minhash.hashes(text)
+        assert len(want) == len(text.split())
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "PIECE_BYTES", 7)
+            assert (minhash.hashes(text) == want).all()

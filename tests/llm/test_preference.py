@@ -2,7 +2,7 @@ import duckdb
 
 from transitlake.llm import preference
 from transitlake.llm.common import table
-from transitlake.llm.registry import op3_preference_format
+from transitlake.llm.registry import op3_preference_format, preference_pairs
 
 SCHEMA = "pair_id long, turn long, role string, text string, part string"
 
@@ -71,5 +71,27 @@ def test_whole_table_against_sql(spark):
     assert sorted(map(tuple, got[cols].values)) == sorted(map(tuple, want[cols].values)) and len(got) > 100
 
 
+def test_pairs_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    conversations = table(spark, sf, "conversations").toPandas()  # noqa: F841
+    want = duckdb.sql(preference.PAIRS_SQL).df()
+    got = preference_pairs(spark, sf).toPandas()
+    cols = sorted(got.columns)
+    assert sorted(map(tuple, got[cols].values)) == sorted(map(tuple, want[cols].values)) and len(got) > 30
+
+
+def test_large_ids_keep_their_pairs(spark):
+    big = 1 << 60
+    rows = [(big + k, t, role, f"{t} {k if t else ''}") for k in range(4) for t, role in enumerate(("user", "assistant"))] + [(-2, 0, "user", "x"), (-1, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["pair_id"], r["segment"]) for r in preference.neighbours(df).collect()}
+    assert got == {(big // 2 + k, s) for k in range(2) for s in ("prompt", "chosen", "rejected")} | {(-1, "prompt")}
+
+
+def test_one_turn_number_for_many_rows(spark):
+    rows = [(1, None if i % 2 else 5, "user", f"t{i % 50}") for i in range(3000)]
+    assert sorted((r["pair_id"], r["segment"], r["role"], r["rendered"], r["loss"]) for r in run(spark, rows, rows[:10]).collect()) == brute(rows, rows[:10])
+
+
 def test_empty(spark):
     assert run(spark, [], []).count() == 0

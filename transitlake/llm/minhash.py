@@ -74,13 +74,14 @@ _BLANK[[*range(9, 14), *range(28, 33)]] = True
 
 def hashes(text: str) -> np.ndarray:
     """64-bit hashes of the text's lower-cased words, which blanks part: differences of one running
-    polynomial over its bytes, piece by piece (a word longer than a piece counts as several)."""
+    polynomial over its bytes, piece by piece. What a piece holds of a word that goes on is carried to the next."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    out, at = [], 0
+    out, at, begun, size = [], 0, 0, 0
     while at < len(data):
         piece = data[at:at + PIECE_BYTES]
         blank = _BLANK[piece]
-        if at + len(piece) < len(data) and blank.any():
+        more = at + len(piece) < len(data)
+        if more and blank.any():
             n = len(blank) - int(blank[::-1].argmax())
             piece, blank = piece[:n], blank[:n]
         at += len(piece)
@@ -88,7 +89,16 @@ def hashes(text: str) -> np.ndarray:
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece + np.uint64(1)) * _UP[:len(piece)], out=total[1:])
         start, end = edge[::2], edge[1::2]
-        out.append(mixed((total[end] - total[start]) * _DOWN[start]))
+        words = (total[end] - total[start]) * _DOWN[start]
+        if size and len(words) and not start[0]:  # the rest of a word of which earlier pieces held ``size`` bytes
+            words[:1] = words[:1] * np.uint64(pow(BASE, size, 1 << 64)) + np.uint64(begun)
+        elif size:
+            out.append(mixed(np.array([begun], np.uint64)))
+        if more and not blank.any():
+            begun, size = int(words[0]), size + len(piece)
+            continue
+        begun, size = 0, 0
+        out.append(mixed(words))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -17,9 +17,11 @@ prompt. Extra columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transitlake.operators.positional import with_position
+
 TRAINED = "assistant"
 
 
@@ -32,11 +34,14 @@ def rendered() -> Column:
 
 
 def turns(side: DataFrame) -> DataFrame:
-    """(pair_id, turn, part, role, text) of one side's rows."""
+    """(pair_id, turn, part, role, text) of one side's rows. Rows that repeat a turn number, however many, are numbered
+    by range partitioning."""
     side = side.where("pair_id is not null").select(
-        "pair_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    part = F.row_number().over(Window.partitionBy("pair_id", "turn").orderBy("role", "text")) - 1
-    return side.withColumn("part", part)
+        F.struct("pair_id", "turn").alias("place"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    repeated = side.groupBy("place").count().where("count > 1").select("place")
+    once = side.join(repeated, "place", "left_anti").withColumn("part", F.lit(0))
+    more = with_position(side.join(repeated, "place", "left_semi"), ["place"], ["role", "text"], "part").withColumn("part", F.col("part").cast("int"))
+    return once.unionByName(more).select("place.pair_id", "place.turn", "part", "role", "text")
 
 
 def preference_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -82,12 +87,20 @@ def assembled(rows: DataFrame) -> DataFrame:
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Preference turns of the table's conversations, paired by id: 2k is chosen over 2k + 1."""
     rows = conversations.select("conv_id", "turn", "role", "text")
-    pair = F.floor(F.col("conv_id") / 2).alias("pair_id")
+    pair = F.shiftright("conv_id", 1).alias("pair_id")
     even = F.pmod("conv_id", F.lit(2)) == 0
     side = lambda keep: rows.where(keep).select(pair, "turn", "role", "text")
     return preference_turns(side(even), side(~even))
 
 
+def pairs(conversations: DataFrame) -> DataFrame:
+    """(pair_id, prompt, chosen, chosen_loss, rejected, rejected_loss): the training examples themselves, one row a pair. The ranges
+    under loss are code points of their completion, ``start:end`` comma-joined."""
+    rows = assembled(neighbours(conversations))
+    ranges = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return rows.withColumn("chosen_loss", ranges("chosen_loss")).withColumn("rejected_loss", ranges("rejected_loss"))
+
+
 def _sql(side: str) -> str:
     even = "=" if side == "c" else "<>"
     return f"""(select conv_id // 2 as pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
@@ -112,3 +125,18 @@ select pair_id, case when shared then 'prompt' else side end as segment, turn, c
     not shared and role = 'assistant' as loss
 from cut where not (shared and side = 'rejected')
 """
+
+PAIRS_SQL = f"""
+with turns as ({ORACLE_SQL}),
+placed as (
+    select *, coalesce(sum(length(rendered)) over (partition by pair_id, segment order by turn, part rows between unbounded preceding and 1 preceding), 0) as begun
+    from turns),
+sides as (
+    select pair_id, segment, string_agg(rendered, '' order by turn, part) as text,
+        coalesce(string_agg(begun || ':' || (begun + length(rendered)), ',' order by turn, part) filter (where loss), '') as loss
+    from placed group by pair_id, segment)
+select pair_id, coalesce(max(text) filter (where segment = 'prompt'), '') as prompt, coalesce(max(text) filter (where segment = 'chosen'), '') as chosen,
+    coalesce(max(loss) filter (where segment = 'chosen'), '') as chosen_loss, coalesce(max(text) filter (where segment = 'rejected'), '') as rejected,
+    coalesce(max(loss) filter (where segment = 'rejected'), '') as rejected_loss
+from sides group by pair_id
+"""

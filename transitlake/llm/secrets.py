@@ -11,8 +11,8 @@ Base kinds (leftmost, not overlapping, each kind on its own; a match that fails
 ids of 20 or more characters), ``hex`` (runs of 24 or more lower-case hex digits). The method adds
 ``pem`` (private keys from the header through the END line, or through the last line of the
 key's base64 where none follows) and ``jwt`` (three-part web tokens). Spans count code points, end
-exclusive. A null text counts as empty; repeated rows give a row each; extra columns are ignored;
-empty tables give empty results.
+exclusive. A null text counts as empty; repeated rows give a row each; extra columns are ignored by the scans and
+pass through ``redact_documents``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm.common import materialize, texts
+from transitlake.session import scratch_path
+from transitlake.sources.files import exists
 
-RULES = "3"
+RULES = "4"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem", "jwt")
 # Only ``assign`` can match and yet fail (its value may be short); the lengths of the others are in the pattern,
@@ -31,14 +33,15 @@ _PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
-    # the loops hold a dash or a line each and are bounded, since Java's matcher recurses in them
+    # the loops are possessive, which Java's matcher runs without recursion: a key may have any number of lines
     "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-           r"(?:[A-Za-z0-9+/=:,.\s\\]*+(?:-(?!----)[A-Za-z0-9+/=:,.\s\\]*+){0,40}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-           r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]{0,200}+){0,8}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+){0,1000}+"
+           r"(?:[A-Za-z0-9+/=:,.\s\\]*+(?:-(?!----)[A-Za-z0-9+/=:,.\s\\]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+           r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+"
            r"(?:(?:\s*[\r\n]\s*|(?:\\[nr])+)[A-Za-z0-9+/]{1,15}={0,2}(?=\s*[\r\n]|\s*\z))?)",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 _SPAN = "struct<start:int,kind:int,end:int>"
+LEDGER_SCHEMA = f"blob string, rules string, spans array<{_SPAN}>"
 
 
 def _none() -> Column:
@@ -117,6 +120,47 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataF
     return report, full
 
 
+def scan_with_ledger(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(report, new): ``secret_scan`` with the ledger that is kept under ``root``, a folder in shared storage: blobs that it holds under
+    the current rules are not read again, and what was scanned now is appended to it. ``new`` are the appended rows."""
+    spark = docs.sparkSession
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(root) if exists(spark, root) else spark.createDataFrame([], LEDGER_SCHEMA)
+    new = materialize(update_ledger(addressed(texts(docs)).select("blob", "text"), ledger), "ledger")
+    report, _ = secret_scan(docs, ledger.unionByName(new))
+    new.write.mode("append").parquet(root)
+    return report, new
+
+
+def ledger_increments(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Three scans with one kept ledger: the documents, the same again, and documents and pages together. A row for each scan (step):
+    n_paths, n_scanned (blobs read), n_found (paths with a finding of a base kind)."""
+    root = scratch_path(documents.sparkSession, "secret-ledger")
+    docs = documents.select("doc_id", "text")
+    both = docs.unionByName(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    out = None
+    for step, rows in enumerate((docs, docs, both), 1):
+        report, new = scan_with_ledger(rows, root)
+        found = report.agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n_paths"), F.count_if(F.col("n_assign") + F.col("n_access") + F.col("n_hex") > 0)
+                           .alias("n_found"))
+        one = materialize(found.join(new.agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n_scanned")), "step"), "increment")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LEDGER_SQL = r"""
+with docs as (select coalesce(text, '') as text from documents),
+both as (select text from docs union all select coalesce(html, '') from pages),
+found as (select text, regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]{6,}')
+        or regexp_matches(text, 'AKIA[A-Z0-9]{16,}') or regexp_matches(text, '[0-9a-f]{24,}') as hit from both),
+hits as (select text from found where hit)
+select 1 as step, (select count(*) from docs) as n_paths, (select count(*) from docs where text in (select text from hits)) as n_found,
+    (select count(distinct text) from docs) as n_scanned
+union all select 2, (select count(*) from docs), (select count(*) from docs where text in (select text from hits)), 0
+union all select 3, (select count(*) from both), (select count(*) from both where text in (select text from hits)),
+    (select count(distinct text) from both) - (select count(distinct text) from docs)
+"""
+
+
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with every span replaced; overlapping spans become one mask."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
