@@ -5,7 +5,7 @@ quality   documents that the classifier rejects go
 near-dup  one document of each class of near-duplicate texts stays
 secrets   secrets are masked; no document goes
 mixing    sources are brought to their target weights; a document may appear up to three times
-packing   segments of at most 2048 words, in length buckets and batches of a word budget
+packing   segments of at most 2048 tokens, in length buckets and batches of a token budget
 
 A stage is to be written before the next one is called, as ``run`` does: each call deletes the intermediate tables
 of the stage called before it in the same application, and no others.
