@@ -69,3 +69,13 @@ def test_empty_table(spark):
 def test_ids_follow_the_merges():
     assert tokens.ranks_of({"vocab": {"a": 0, "b": 1}, "merges": []}) is None
     assert tokens.RunCounts(public_tokenizers.path("byte_bpe_50k.json")).quick is not None
+
+
+def test_a_file_with_another_pre_tokenizer_goes_to_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    assert not tokens.RunCounts(path).by_runs and tokens.RunCounts(public_tokenizers.path("byte_bpe_50k.json")).by_runs
+    on_workers(spark)
+    rows = [(i, t, "x") for i, t in enumerate(CASES)]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(spark.createDataFrame(rows, SCHEMA), path).collect()}
+    assert got == {i: expected(other, t or "") for i, t, _ in rows}

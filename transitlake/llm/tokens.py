@@ -69,8 +69,16 @@ def ranks_of(model: dict) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in t): i for t, i in vocab.items() if i in known}
 
 
+def splits_by_pattern(config: dict) -> bool:
+    """Whether the tokenizer file cuts texts by ``PATTERN`` and does nothing else to them before its merges."""
+    pre = config.get("pre_tokenizer") or {}
+    return (config.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True)
+            and pre.get("use_regex", True))
+
+
 class RunCounts:
-    """Token counts of texts; one per tokenizer file in each process."""
+    """Token counts of texts; one per tokenizer file in each process. Where the file does not cut texts by ``PATTERN``, runs are
+    no units of their own and every text goes to the tokenizer whole."""
 
     _by_path: dict = {}
 
@@ -79,7 +87,9 @@ class RunCounts:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            ranks = ranks_of(json.load(f)["model"])
+            config = json.load(f)
+        self.by_runs = splits_by_pattern(config)
+        ranks = ranks_of(config["model"]) if self.by_runs and config["model"].get("type") == "BPE" else None
         self.quick = Encoding("runs", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -112,7 +122,7 @@ class RunCounts:
         return len(parts) - 1, [p for p in parts if p]
 
     def count(self, text: str) -> int:
-        if self.unsure(text):
+        if not self.by_runs or self.unsure(text):
             return self.whole(text)
         n, parts = self.parts(text)
         if len(self.cache) > CACHE:
@@ -153,7 +163,7 @@ def frequent_runs(docs: DataFrame, path: str) -> list[str]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
-                if not c.unsure(t):
+                if c.by_runs and not c.unsure(t):
                     for part in c.parts(t)[1]:
                         seen.update(runs_of(part)[1])
                 if len(seen) > CACHE:

@@ -9,7 +9,7 @@ score; a block whose bound only ties it is scored too unless all its ids are lar
 
 Queries (``vec_id`` divisible by ``EVERY``) are packed into blocks of ``QUERIES``; a task takes one query
 block and a tile of ``TILE`` document blocks, whose memory is bounded, and hands on k rows a
-query. Null vectors, and those that hold null or non-finite components, take no part; vectors
+query. The forward index is copied once for each query block. Null vectors, and those that hold null or non-finite components, take no part; vectors
 are scored only against those of the same length; an empty vector scores 0 with its like. A repeated
 ``vec_id`` is a candidate once for each row, and a query once for each row; a query's own id is never
 its candidate. Rows with a null id take no part. Empty tables give an empty result.
@@ -30,7 +30,7 @@ EVERY = 50
 SCALE = 256
 BLOCK = 256
 TILE = 64
-QUERIES = 256
+QUERIES = 2048
 
 _PACKED = "size int, block long, ids binary, m binary"
 
