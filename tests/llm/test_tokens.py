@@ -51,6 +51,30 @@ def test_table_and_cache_do_not_change_counts(spark, monkeypatch, library):
     assert [c.count(t) for t in texts] == want
 
 
+def test_a_run_in_both_tiers_counts_once(library):
+    c = tokens.RunCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "one two three two"
+    assert c.count(text) == expected(library, text)
+    c.frequent = c.lengths(["two", "three"])  # the next query's table, in a worker whose cache holds both
+    assert c.count(text) == expected(library, text)
+
+
+def test_a_second_query_in_the_same_workers(spark, library):
+    """The first query caches what its table has no room for; the second one's table holds just that."""
+    on_workers(spark)
+    words = [f"word{i}" for i in range(tokens.PER_TASK + 2000)]
+    for some in (words, words[-2500:]):
+        rows = [(i, " ".join(some), "x") for i in range(32)]
+        got = {r["n_tokens"] for r in tokens.token_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == {expected(library, rows[0][1])}
+
+
+def test_a_million_blanks_in_a_row(library):
+    c = tokens.RunCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_200_000 + "a", "a b" + "\n" * 1_200_000 + "c d", "a " + "\t" * 1_200_000):
+        assert c.count(text) == expected(library, text)
+
+
 def test_unicode_ranges_split_as_the_library_does(library):
     """Every 7th character of the trusted ranges, before and after letters, digits and blanks."""
     c = tokens.RunCounts(public_tokenizers.path("byte_bpe_50k.json"))

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ FREQUENT = 1 << 16
 PER_TASK = 1 << 12
 CACHE = 1 << 19
 OVER = 512
+LONG = 1 << 16  # characters of a run from which on it goes to the tokenizer: the quick encoder fails on a million blanks in a row
 
 # The pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -107,7 +107,7 @@ class RunCounts:
         return cls._by_path[path]
 
     def length(self, run: str) -> int:
-        if self.quick:
+        if self.quick and len(run) < LONG:
             return len(self.quick.encode_ordinary(run))
         return self.whole(run)
 
@@ -133,13 +133,13 @@ class RunCounts:
             new = set(runs).difference(frequent).difference(cache)
             if new:
                 cache.update(self.lengths(new))
-            # a run is in one of the two tiers
-            n += self.length(first) + sum(map(frequent.get, runs, repeat(0))) + sum(map(cache.get, runs, repeat(0)))
+            # a worker's cache outlives a table: a run may be in both tiers and counts once
+            n += self.length(first) + sum(map(frequent.get, runs, map(cache.get, runs)))
         return n
 
     def lengths(self, runs) -> dict[str, int]:
         """Token counts of runs after a blank: they are encoded as one text, and its tokens dealt out by their bytes."""
-        alone = [r for r in runs if not r or r[-1].isspace()] if self.quick else runs
+        alone = [r for r in runs if not r or r[-1].isspace() or len(r) >= LONG] if self.quick else runs
         out = {r: self.length(" " + r) for r in alone}
         runs = [r for r in runs if r not in out]
         if runs:
