@@ -129,6 +129,20 @@ def test_recall_on_pairs_just_above_the_threshold(spark):
     assert all(r[1] <= 1 for r in got)
 
 
+def test_no_pair_is_left_to_chance_in_a_label_of_many_blocks(spark):
+    on_workers(spark)
+    rng, rows = np.random.default_rng(12), []
+    for i in range(1200):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, list(map(float, a)), 1), (2 * i + 1, list(map(float, 0.931 * a + np.sqrt(1 - 0.931 ** 2) * b)), 1)]
+    got = run(spark, rows, window=16, block=32)
+    assert got == [(i, 1, i - i % 2, i % 2 == 0) for i in range(2400)]
+
+
 @pytest.mark.parametrize("background", [0.7, 0.85])
 @pytest.mark.parametrize("block", [64, 1024])  # passes or all pairs at 0.7
 def test_recall_in_a_label_with_a_common_mean(spark, background, block):

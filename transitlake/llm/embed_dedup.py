@@ -9,9 +9,10 @@ a sample of each label shows how often the hashes of its unlinked vectors agree,
 of passes follows from it, by whichever of the two needs fewer, so that a pair at the threshold meets in some window with
 probability ``RECALL``. (Dense spots of unlinked vectors too rare for ``SAMPLE`` vectors to show are not seen.)
 
-Two exact steps follow the passes. Where a label has no more blocks of ``BLOCK`` vectors than it had passes, or would need more than
-``MOST`` of them, its vectors are compared in block pairs too, so that no pair is left to chance. And since a window holds only a
-part of a vector's links in a dense cluster, within each component every pair of representatives is compared, in blocks of
+Two exact steps follow the passes, whatever the size of the table. The vectors of a label that one window does not hold (where it
+does, the first pass compares them all) are compared in block pairs too, so that no pair is left to chance: the links found are all
+links. This step is quadratic in a label's vectors; its block pairs are dealt over all tasks. And since a window holds only a part
+of a vector's links in a dense cluster, within each component every pair of representatives is compared, in blocks of
 ``BLOCK`` vectors, of which only the number of links per vector leaves the block.
 
 Nothing grows in one task or in the driver: windows are cut from range partitions into groups of at most
@@ -36,6 +37,7 @@ from transitlake.operators.positional import with_position
 THRESHOLD = 0.93
 WINDOW = 64
 BLOCK = 1024
+WIDE = 4  # blocks to a side of a block pair in the comparison of whole labels: a row is sent out less often
 RECALL = 0.995
 SAMPLE = 2048
 MOST = 256
@@ -81,8 +83,8 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def planned(reps: DataFrame, window: int = WINDOW, block: int = BLOCK, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """``reps`` with size, and by label and size: passes (none for a vector alone), centre, and whether block pairs follow (whole)."""
+def planned(reps: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
+    """``reps`` with size, and by label and size: passes (none for a vector alone), centre, and whether it is more than a window holds (whole: block pairs follow)."""
     sized = reps.withColumn("size", F.size("v"))
     several = sized.groupBy("label", "size").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     drawn = F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 30)) < F.ceil(F.lit((1 << 30) * SAMPLE) / F.col("many"))
@@ -91,12 +93,11 @@ def planned(reps: DataFrame, window: int = WINDOW, block: int = BLOCK, threshold
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
         x, n = _unit(rows["v"]), int(rows["many"].iloc[0])
-        blocks = -(-n // block)
         passes, centre = 1, np.zeros(x.shape[1])
         if n > window + 1:  # else one window holds the label
             passes, centre = min(((passes_for(x, c, n, MOST, window, threshold), c) for c in (centre, x.mean(axis=0))), key=lambda p: p[0])
         return pd.DataFrame({"label": rows["label"].iloc[:1], "size": rows["size"].iloc[:1], "passes": min(passes, MOST),
-                             "whole": n > window + 1 and (blocks <= passes or passes > MOST),
+                             "whole": n > window + 1,
                              "centre": pd.Series([centre.tolist()], index=rows.index[:1], dtype=object)})
 
     label = reps.schema["label"].dataType.simpleString()
@@ -179,18 +180,20 @@ def block_pairs(rows: DataFrame, group: list[str], block: int) -> DataFrame:
 
 def whole_links(reps: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that connect what the links between all representatives of a label and size connect: from each pair
-    of blocks its components as stars, which are as many pairs as rows however dense the links."""
+    of ``WIDE`` blocks its components as stars, which are as many pairs as rows however dense the links."""
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["block", "rid"])
         x, rid = _unit(rows["v"]), rows["rid"].to_numpy()
         k = len(rows) if rows["i"].iloc[0] == rows["j"].iloc[0] else int((rows["block"] == rows["i"].iloc[0]).sum())
         first = 0 if k == len(rows) else k
-        a, b = np.nonzero(x[:k] @ x[first:].T >= threshold)
-        used, top = _stars(a, b + first, len(rows))
+        used, top = np.zeros(0, int), np.zeros(0, int)
+        for at in range(0, k, block):  # a block's links are reduced to stars before the next one's are made
+            a, b = np.nonzero(x[at:min(at + block, k)] @ x[first:].T >= threshold)
+            used, top = _stars(np.concatenate([used, a + at]), np.concatenate([top, b + first]), len(rows))
         x, y = rid[used].astype(str), rid[top].astype(str)
         return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)})
 
-    return (block_pairs(reps.select("label", "size", "rid", "v", "n"), ["label", "size"], block)
+    return (block_pairs(reps.select("label", "size", "rid", "v", "n"), ["label", "size"], WIDE * block)
             .groupBy("label", "size", "i", "j").applyInPandas(connect, "a string, b string").distinct())
 
 
@@ -227,7 +230,7 @@ def near_vectors(vectors: DataFrame, window: int = WINDOW, block: int = BLOCK, t
                            F.lpad(F.hex(F.xxhash64(F.lit(k), "label", "v")), 16, "0") for k in range(2)]))), "vectors")
     reps = materialize(rows.where("rid is not null").groupBy("rid", "label", "v")
                        .agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low")), "representatives")
-    plan = materialize(planned(reps, window, block, threshold, seed), "planned")
+    plan = materialize(planned(reps, window, threshold, seed), "planned")
     pairs = window_pairs(sort_keys(plan, seed), window, block, threshold)
     pairs = materialize(pairs.unionByName(whole_links(plan.where("whole"), block, threshold)).distinct(), "pairs")
     parts = materialize(components(pairs), "components")
