@@ -59,6 +59,24 @@ def test_ids_do_not_repeat_over_several_files(spark, tmp_path):
     assert got == [(1 + 4 * i + k, f"{i}-{k}") for i in range(3) for k in range(4)]
 
 
+def test_features_are_written_by_many_tasks_and_read_in_order(spark, tmp_path):
+    n, path = 95, str(tmp_path / "f.geojson")
+    ring = F.array(F.array(F.array(F.col("idx").cast("double"), F.lit(48.0))))
+    props = F.struct(*[F.when(F.col("idx") % 7 != 0, c).alias(name) for name, c in (
+        (Q.PROP_NAME, F.concat(F.lit('"}],{ '), F.col("idx").cast("string"))), (Q.PROP_CODE, F.lit("c")), (Q.PROP_ARR, F.col("idx").cast("int")),
+        (Q.PROP_SURFACE, F.col("idx") / 2), (Q.PROP_PERIMETER, F.lit(1.0)))])
+    feats = spark.range(n).withColumnRenamed("id", "idx").select(
+        "idx", props.alias("p"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
+    Q.write_features(feats.repartition(5), path, per_file=10)
+    written = sorted((tmp_path / "f.geojson").glob("file=*/part-*"))
+    assert len(written) == 10
+    assert [len(json.loads(f.read_text(encoding="utf-8"))["features"]) for f in written] == [10] * 9 + [5]
+    got = sorted(tuple(r) for r in Q.read_features(spark, path).collect())
+    assert [r[0] for r in got] == list(range(n)) and got == sorted(tuple(r) for r in feats.collect())
+    Q.write_features(feats.limit(0), str(tmp_path / "e.geojson"))
+    assert Q.read_features(spark, str(tmp_path / "e.geojson")).count() == 0
+
+
 def test_upsert_sets_and_inserts(spark, tmp_path):
     cur = spark.createDataFrame([(1, "A", None), (2, "B", None), (3, "C", None)],
                                 "id_quartier long, nom string, nom_reel string")

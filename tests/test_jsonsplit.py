@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitlake.operators import districts
-from transitlake.sources import files
+from transitlake.sources import files, jsonsplit
 from transitlake.sources.jsonsplit import json_records, numbered_over_files
 
 CONF = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "1"}
@@ -75,6 +75,18 @@ def test_a_file_is_read_by_many_tasks_and_numbered_alike(spark, tmp_path):
     assert split == whole and [r[1]["c_ar"] for r in split] == list(range(300)) and split[299][2]["coordinates"] == [[[299.0, 1.0], [2.0, 3.0]]]
 
 
+def test_many_chunks_in_a_split(spark, tmp_path, monkeypatch):
+    """Running totals go on from chunk to chunk, and no window holds more pieces than a chunk, however large the split."""
+    monkeypatch.setattr(jsonsplit, "CHUNK", 7)
+    feats = [thing(random.Random(i)) for i in range(200)]
+    (tmp_path / "q.json").write_text(json.dumps({"a": "}", "features": feats, "z": [{}]}), encoding="utf-8")
+    pieces = jsonsplit._pieces(spark, str(tmp_path))
+    assert pieces.select("block").distinct().count() == 1
+    assert pieces.groupBy(*jsonsplit._CHUNK).count().agg(F.max("count")).first()[0] == 7
+    got = json_records(spark, str(tmp_path), "features").orderBy("at").collect()
+    assert [json.loads(r["json"]) for r in got] == feats
+
+
 def test_json_map_round_trip(spark, tmp_path, small_splits):
     value_type = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType()), T.StructField("s", T.StructType([T.StructField("x", T.DoubleType())]))])
     data = [(f'k"{i}\\}}', f'{{"v": [{i}]}} é', None if i % 5 == 0 else i, (i / 2,)) for i in range(60)]

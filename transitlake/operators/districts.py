@@ -3,7 +3,7 @@ synthetic-to-real pairing (M8) and its upsert into the collection (M9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,20 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("idx", F.col("f.properties").alias("p"), F.col("f.geometry").alias("geometry"))
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """A FeatureCollection as one file: a head, a line for each feature (idx, p, geometry) in order, and a foot. A
-    dimension's size; the lines are made by many tasks, the last one joins them."""
+FEATURES_PER_FILE = 1 << 14
+
+
+def write_features(features: DataFrame, path: str, per_file: int = FEATURES_PER_FILE) -> None:
+    """Features (idx, p, geometry) as FeatureCollections in ``path``: a file for each ``per_file`` places, with a line for each feature in
+    order, the first one after the head, the last one before the foot. The files are in the features' order too, which is how
+    ``read_features`` reads them; each is written by one task, which sees no other's features."""
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("p").alias("properties"), "geometry"))
-    lines = features.select("idx", F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), feature).alias("value"))
-    frame = features.sparkSession.createDataFrame([(-1, '{"type": "FeatureCollection", "features": ['), (1 << 62, "]}")], "idx long, value string")
-    lines.unionByName(frame).coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(path)
+    lines = features.select("idx", F.lpad(F.floor(F.col("idx") / per_file).cast("string"), 12, "0").alias("file"), feature.alias("value"))
+    own = Window.partitionBy("file").orderBy("idx")
+    first, last = F.lag("idx").over(own).isNull(), F.lead("idx").over(own).isNull()
+    head = F.when(first, '{"type": "FeatureCollection", "features": [\n').otherwise(",")
+    framed = lines.select("file", "idx", F.concat(head, "value", F.when(last, "\n]}").otherwise("")).alias("value"))
+    framed.sortWithinPartitions("file", "idx").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def features_of(quartiers: DataFrame) -> DataFrame:

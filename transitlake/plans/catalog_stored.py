@@ -43,7 +43,7 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same features, written as one FeatureCollection and read from it."""
+    """The same features, written as FeatureCollections in order and read from them."""
     path = scratch_path(spark, "features.geojson")
     districts.write_features(part_features(spark, sf_dir), path)
     return districts.read_features(spark, path)

@@ -3,8 +3,8 @@ r"""Reading one large JSON document in many tasks (S5, S10).
 A JSON array or object is a single document, which Spark's reader parses in one task. Here the file is read as text cut at ``}``,
 which the text source splits by bytes, and the structure is found from running totals over the pieces in file order: the
 parity of the quotes tells which pieces begin inside a string, the depth of brackets outside strings tells where a
-record ends. A running total is a window inside a chunk (one split of a file) plus the totals of the chunks before it, so no task
-sees more than a split, whatever the size of the file. The pieces of a record, which may lie in two splits, are then put
+record ends. A running total is a window inside a chunk (at most ``CHUNK`` pieces of one split of a file) plus the totals of the
+chunks before it, so no window holds more than a chunk and a large split is shared by many tasks, whatever the size of the file. The pieces of a record, which may lie in two splits, are then put
 together; records are numbered by the ends before them.
 
 Escapes never straddle a cut, since ``\}`` is none. Records are objects; an element of another kind before one fails
@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 
 from transitlake.session import stored
 
-_PLACE = ["file", "block", "row"]
+CHUNK = 1 << 14
+_CHUNK = ["file", "block", "chunk"]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, value): the text between two ``}``; ``row`` rises within a split."""
+    """(file, block, chunk, row, value): the text between two ``}``; ``row`` and ``chunk`` rise within a split."""
     text = spark.read.option("lineSep", "}").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("row"), "value")
+    return rows.withColumn("chunk", F.floor(F.col("row") / CHUNK))
 
 
 def _running(df: DataFrame, value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the earlier pieces of the same file."""
-    local = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*_CHUNK).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     valued = df.withColumn("_v", value).withColumn("_l", F.coalesce(F.sum("_v").over(local), F.lit(0)))
-    chunks = valued.groupBy("file", "block").agg(F.sum("_v").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    return valued.join(chunks.drop("_t"), ["file", "block"]).withColumn(name, F.col("_l") + F.col("_b")).drop("_v", "_l", "_b")
+    chunks = valued.groupBy(*_CHUNK).agg(F.sum("_v").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    return valued.join(chunks.drop("_t"), _CHUNK).withColumn(name, F.col("_l") + F.col("_b")).drop("_v", "_l", "_b")
 
 
 def _count(text: Column, chars: str) -> Column:
