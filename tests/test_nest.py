@@ -130,3 +130,59 @@ def test_collections_roundtrip_through_parquet(spark, net, tmp_path):
     flat = DocViews.from_network(net)
     for letter in ("b", "d", "e", "i", "m"):
         assert rows(rounded(D.REPORTS[letter](back))) == rows(rounded(D.REPORTS[letter](flat)))
+
+
+def _own_network(spark, net):
+    """Stop 1: 9 measures of two sensors, 3 timetable rows; stop 2: 4 measures (exactly ``max_items``) and 6 timetable rows; stop 3: one
+    sensor without measures; one sensor row comes twice (stop 4), one has no stop, some measures no known sensor or none."""
+    from transitlake.sources.binding import network_from_frames
+    stops = spark.createDataFrame([(i, f"a{i}", 48.0, 2.0, 5) for i in (1, 2, 3, 4)], "id_arret long, nom string, latitude double, longitude double, id_ligne int")
+    caps = spark.createDataFrame([(c, a, "CO2", 48.0, 2.0) for c, a in ((10, 1), (11, 1), (20, 2), (30, 3), (40, 4), (40, 4), (50, None))],
+                                 "id_capteur long, id_arret long, type_capteur string, latitude double, longitude double")
+    n = {10: 5, 11: 4, 20: 4, 40: 3, 50: 2, 99: 7, None: 6}
+    values = spark.createDataFrame([(c, float(i), "x") for c, k in n.items() for i in range(k)], "id_capteur long, valeur double, unite string") \
+        .withColumn("horodatage", F.lit("2050-01-01 00:00:00").cast("timestamp_ntz"))
+    times = net.Horaire.limit(1).select(*[F.col(c) for c in net.Horaire.columns if c not in ("id_horaire", "id_arret")]).crossJoin(
+        spark.createDataFrame([(i, 1 if i < 3 else 2 if i < 9 else None) for i in range(15)], "id_horaire long, id_arret long"))
+    bridge = spark.createDataFrame([(1, 1), (2, 1)], "id_arret long, id_quartier long")
+    incidents = spark.createDataFrame([(i, t) for i, t in enumerate([7] * 9 + [8] * 4 + [None] * 6)], "id_incident long, id_trafic long") \
+        .withColumns({"description": F.lit("d"), "gravite": F.lit(1), "horodatage": F.lit("2050-01-01 00:00:00").cast("timestamp_ntz")})
+    trafic = net.Trafic.limit(1).drop("id_trafic").crossJoin(spark.createDataFrame([(7,), (8,), (9,)], "id_trafic long"))
+    return network_from_frames({**net.tables(), "Arret": stops, "Capteur": caps, "Mesure": values, "Horaire": times, "ArretQuartier": bridge,
+                                "Incident": incidents, "Trafic": trafic})
+
+
+def test_crowded_and_other_parents_side_by_side(spark, net):
+    from transitlake.sources.collections import LoadCounts
+    own, counts = _own_network(spark, net), LoadCounts()
+    got = {}
+    for r in nest.nest_arrets(own, max_items=4, counts=counts).collect():
+        values = [[m["valeur"] for m in c["mesures"]] for c in r["capteurs"]]
+        got[r["id_arret"], r["part"]] = ([c["id_capteur"] for c in r["capteurs"]], values, len(r["horaires"]), len(r["quartiers"]))
+    assert got == {(1, 0): ([10], [[0, 1, 2, 3]], 3, 1), (1, 1): ([10, 11], [[4], [0, 1, 2]], 0, 0), (1, 2): ([11], [[3]], 0, 0),
+                   (2, 0): ([20], [[0, 1, 2, 3]], 4, 1), (2, 1): ([], [], 2, 0), (3, 0): ([30], [[]], 0, 0),
+                   (4, 0): ([40], [[0, 0, 1, 1]], 0, 0), (4, 1): ([40], [[2, 2]], 0, 0)}
+    docs = {(r["id_trafic"], r["part"]): len(r["incidents"]) for r in nest.nest_trafic(own, max_items=4, counts=counts).collect()}
+    assert docs == {(7, 0): 4, (7, 1): 4, (7, 2): 1, (8, 0): 4, (9, 0): 0}
+    assert counts.rows() == {"mesures": 5 + 4 + 4 + 2 * 3 + 2 + 7, "incidents": 13}
+
+
+def test_only_crowded_parents_are_numbered(spark, net, monkeypatch):
+    """Lists that fit are grouped as they are: no sort over all children, no positions."""
+    numbered, number = [], nest.with_position
+
+    def spy(df, group, order):
+        numbered.append({r[0] for r in df.select(group[0]).distinct().collect()})
+        return number(df, group, order)
+    monkeypatch.setattr(nest, "with_position", spy)
+    own = _own_network(spark, net)
+    assert nest.nest_arrets(own).count() == 4 and nest.nest_trafic(own).count() == 3 and numbered == []
+    nest.nest_arrets(own, max_items=5), nest.nest_trafic(own, max_items=5)
+    assert numbered == [{1, 2, 4}, {1, 2}, {1, 2}, {7}]  # stop 4: three measures of a sensor that comes twice
+
+
+def test_keys_of_a_full_bucket_are_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(nest, "BUCKETS", 1)
+    keys = spark.createDataFrame([(k,) for k, n in {1: 5, 2: 4, 3: 6, None: 9}.items() for _ in range(n)], "k long")
+    assert {r["k"] for r in nest.crowded(keys, "k", 4).collect()} == {1, 3}
+    assert nest.crowded(keys, "k", 6) is None and nest.crowded(keys.where("k = 2"), "k", 4) is None

@@ -14,8 +14,6 @@ passes see the same partition boundaries.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +33,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def with_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "pos",
-                  num_partitions: int | None = None, watch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based position of each row within its group (all rows when
     ``group_cols`` is empty), following ``order_cols`` (make them a total
-    order for repeatable positions). The number of range partitions follows the input's size.
-    ``watch`` is put on the sorted frame, whose rows are computed once."""
+    order for repeatable positions). The number of range partitions follows the input's size."""
     spark = df.sparkSession
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // _TARGET_BYTES))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -47,7 +44,7 @@ def with_position(df: DataFrame, group_cols: list[str], order_cols: list, name:
     ranked = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.shiftright(mid, 33))
               .withColumn("_local", mid.bitwiseAND(F.lit(_LOW33))))
-    ranked = stored(watch(ranked) if watch else ranked, "positions")
+    ranked = stored(ranked, "positions")
     g = group_cols
     span = ranked.groupBy(*g, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_pid") \

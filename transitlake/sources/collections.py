@@ -36,11 +36,11 @@ class LoadCounts:
     def __init__(self):
         self._watched: list[tuple[Observation, list[str]]] = []
 
-    def watch(self, df: DataFrame, **counts: Column) -> DataFrame:
-        """``df``, of which the rows that hold each condition are counted when it is written."""
+    def watch(self, df: DataFrame, weight: Column | None = None, **counts: Column) -> DataFrame:
+        """``df``, of which the rows that hold each condition are counted when it is written; a row counts as ``weight`` where given."""
         seen = Observation()
         self._watched.append((seen, list(counts)))
-        return df.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()])
+        return df.observe(seen, *[(F.count_if(c) if weight is None else F.sum(F.when(c, weight))).alias(name) for name, c in counts.items()])
 
     def rows(self) -> dict[str, int]:
         return {name: int(seen.get.get(name) or 0) for seen, names in self._watched for name in names}
