@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transitlake.session import stored
@@ -52,6 +52,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 SMALL_EDGES = 1 << 17
+SMALL_ROUNDS = 3
+
+
+def _small_round(e: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on ``e`` (u, v), u > v, of one partition: windows in place of the joins, so the
+    plan reads ``e`` once and has no exchange."""
+    def least(rows):
+        return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+
+    def pairs(*of):
+        return F.inline(F.array(*[F.struct(a.alias("u"), b.alias("v")) for a, b in of]))
+
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    both = e.select(pairs((u, v), (v, u)))
+    large = least(both).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(v.alias("u"), m.alias("v")).where("u <> v")
+    small = least(large).select(pairs((F.greatest(v, m), F.least(v, m)), (F.greatest(u, m), F.least(u, m))))
+    return small.where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,8 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every node is relinked to the smallest node of its
     neighbourhood until nothing changes. All steps are joins and min-aggregates on the edges, so a
-    node with very many edges costs one partial aggregate and a join that Spark can split. Of at most
-    ``SMALL_EDGES`` edges (a count decides) one partition is made, which spares the exchanges; the steps are the same.
+    node with very many edges costs one partial aggregate and a join that Spark can split. At most
+    ``SMALL_EDGES`` edges (a count decides) make one partition, and ``SMALL_ROUNDS`` rounds of the same steps one job of one
+    stage: plans of joins, a job each round, would cost the driver far more memory than the edges.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .distinct(), "edges")
@@ -70,15 +88,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         if now[0] <= SMALL_EDGES:
             e = e.coalesce(1)
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if now[0] <= SMALL_EDGES else both
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))))
-        small = small.coalesce(1) if now[0] <= SMALL_EDGES else small
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+            for _ in range(SMALL_ROUNDS):
+                e = _small_round(e)
+            e = materialize(e, "edges").coalesce(1)
+        else:
+            both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                     .unionByName(low.select("u", F.col("m").alias("v"))))
+            e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     e = e.coalesce(1) if now[0] <= SMALL_EDGES else e
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
