@@ -377,11 +377,10 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = verified(pairs, held, idf)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = materialize(found if links is None else links.unionByName(found), "links")
-        member = _in_several_components(buckets, materialize(components(links), "components"))
-        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid")))
-        degree = ends.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-        member = member.join(degree, "rid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    links = materialize(links.unionByName(cross_links(near_rows(member, reps, held), held, idf)), "links")
+        several = _in_several_components(buckets, materialize(components(links), "components"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+        member = several.join(degree, "rid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    links = materialize(links.unionByName(cross_links(near_rows(several, reps, held), held, idf)), "links")
     parts = materialize(components(links), "components")
     whole = (reps.select("rid", "low").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
              .withColumn("part", F.coalesce("component", "rid")))
